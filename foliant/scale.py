@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,3 +55,15 @@ def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package: by path where the file system is shared with them, else as a zip."""
+    sc = spark.sparkContext
+    root = str(Path(__file__).resolve().parent.parent)
+    paths = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        sc.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+        if not sc.master.startswith("local"):
+            made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="foliant-"), "foliant"), "zip", root, "foliant")
+            sc.addPyFile(made)
