@@ -101,6 +101,13 @@ def block_plan(targets: DataFrame, n_shards: int = SHARDS, max_epochs: int = MAX
     return b.select("party", "number", "words", "times", "before", seats.alias("shards"))
 
 
+def apportion(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, n_shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """The stored targets (a row a source, numbered by ``party``) and block plan for (source, source_size)."""
+    targets = source_targets(sizes, weights, max_epochs).withColumn("party", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("long"))
+    targets = stash(targets)
+    return targets, sized(stash(block_plan(targets, n_shards, max_epochs, seed)))
+
+
 def mix(rows: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, n_shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """(doc_id, source, size, ...) with source_size, target, ``taken`` (words the mix takes, repeats counted), ``shards`` (where the
     first word's block goes).
@@ -109,10 +116,7 @@ def mix(rows: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, n_shards
     Documents of size 0 take nothing. An empty table gives no rows. No document is taken more than max_epochs times.
     ``rows`` is read several times: pass a stash of the few columns.
     """
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sizes, weights, max_epochs).withColumn("party", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("long"))
-    targets = stash(targets)
-    plan = sized(stash(block_plan(targets, n_shards, max_epochs, seed)))
+    targets, plan = apportion(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs, n_shards, seed)
     small = sized(targets.select(F.col("source").alias("__source"), "source_size", "target", "party", "block"))
     t = rows.join(small, rows["source"].eqNullSafe(F.col("__source")))
     t = prefix_offsets(t, "party", F.col("size"), [F.col("doc_id"), F.col("size")], seed, "__a")
@@ -127,6 +131,25 @@ def mix(rows: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, n_shards
     return t.drop("__source", "__a", "__e", "__f", "__l", "__fp", "__fn", "__ft", "__fb", "__lp", "__ln", "__lt", "__lb", "party", "block")
 
 
+def mixed(df: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+    """The mix as whole documents, same columns. Each source gets the words that its block seats grant it.
+
+    Its documents, in order of size class and then of a seeded hash, are sampled at even steps of granted / own words, so a
+    source misses its share by about one document. Documents without words are left out.
+    """
+    t = df.withColumn("__size", word_count(F.col("text"))).where("__size > 0")
+    sizes = stash(t.groupBy("source").agg(F.sum("__size").alias("source_size")))
+    targets, plan = apportion(sizes, weights, max_epochs, SHARDS, seed)
+    granted = plan.groupBy("party").agg(F.sum(F.col("words") * F.col("times")).alias("granted"))
+    rates = sized(targets.join(granted, "party").select(F.col("source").alias("__source"), F.col("party").alias("__party"), (F.col("granted") / F.col("source_size")).alias("__rate")))
+    t = t.join(rates, t["source"].eqNullSafe(rates["__source"]))
+    classes = F.floor(8 * F.log2("__size"))
+    t = prefix_offsets(t, "__party", F.lit(1), [F.col("doc_id"), F.col("__size")], seed, "__at", classes, 256)
+    step = lambda k: F.floor(k * F.col("__rate") + 0.5)
+    t = t.withColumn("__times", (step(F.col("__at") + 1) - step(F.col("__at"))).cast("int")).where("__times > 0")
+    return t.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "documents")
     rows = stash(d.select("doc_id", "source", word_count(F.col("text")).alias("size")))

@@ -7,7 +7,7 @@ with too little are rejected. DataFrame expressions only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.scale import read_table, sized, stash
@@ -143,3 +143,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     out = quality_verdicts(d)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_removed")
+
+
+def accepted(df: DataFrame, host: str = "source") -> DataFrame:
+    """The rows of ``df`` that are kept, same columns: frequent lines are out of the text, n_chars follows where text changed."""
+    found = quality_verdicts(df.select("doc_id", "text", host), host)
+    odd = found.where("not kept or removed is not null").select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t"), F.col(host).alias("__o"), F.col("kept").alias("__kept"), F.col("removed").alias("__removed"))
+    odd = sized(stash(odd.dropDuplicates(["__d", "__t", "__o"])), 100_000)
+    t = F.coalesce(F.col("text"), F.lit(""))
+    d = df.withColumn("__hash", F.xxhash64(t, F.length(t)))
+    d = d.join(odd, d["doc_id"].eqNullSafe(odd["__d"]) & (d["__hash"] == odd["__t"]) & d[host].eqNullSafe(odd["__o"]), "left")
+    d = d.where("coalesce(__kept, true)").withColumn("text", clean_text(F.col("text"), F.col("__removed")))
+    if "n_chars" in df.columns:
+        d = d.withColumn("n_chars", F.when(F.col("__removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(df.schema["n_chars"].dataType)))
+    return d.select(*[F.col(f"`{c}`") for c in df.columns])

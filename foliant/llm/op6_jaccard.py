@@ -34,6 +34,12 @@ SKETCH_WORDS = 16
 _PARTS_SEED = np.uint64(0xD6E8FEB86659FD93)
 
 
+def text_hash(text):
+    """Identity of a text (a null one counts as empty)."""
+    t = F.coalesce(text, F.lit(""))
+    return F.xxhash64(t, F.length(t))
+
+
 @functools.cache
 def bands(percent: int) -> np.ndarray:
     """Least size of each band; a band's greatest size times percent / 100 is at most its least."""
@@ -121,7 +127,8 @@ def _features(shingle: int, percent: int):
                 c2.append(b)
                 sig.append(None if (a, b) in met else signatures(h, percent).view(np.int64))
                 met.add((a, b))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(sig, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "c1", "c2", "sig"])
+            cols = [batch.column(0), batch.column(2), pa.array(ns, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(sig, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "n_shingles", "c1", "c2", "sig"])
 
     return run
 
@@ -215,7 +222,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(df: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links): one row for each row of ``df`` (doc_id, text).
+    """(doc_id, text_hash, n_shingles, component_id, n_links): one row for each row of ``df`` (doc_id, text).
 
     component_id is the least doc_id reachable by links of similarity percent / 100 or more, itself included. n_links counts
     the verified links of the document's class that connected its component (copies not counted).
@@ -223,8 +230,8 @@ def jaccard_components(df: DataFrame, shingle: int = SHINGLE, percent: int = PER
     shingle are one shingle; an empty table gives no rows. Rows with a null doc_id never name a component.
     """
     ship(df.sparkSession)
-    df = df.select("doc_id", "text")
-    feats = stash(df.mapInArrow(_features(shingle, percent), "doc_id long, n_shingles long, c1 long, c2 long, sig array<long>"))
+    df = df.select("doc_id", "text", text_hash(F.col("text")).alias("text_hash"))
+    feats = stash(df.mapInArrow(_features(shingle, percent), "doc_id long, text_hash long, n_shingles long, c1 long, c2 long, sig array<long>"))
     classes = stash(feats.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("rows")))
     rows = feats.where("sig is not null").select(F.explode("sig").alias("sig"), "c1")
     sorted_rows = rows.repartition("sig").sortWithinPartitions("sig", "c1")
@@ -262,9 +269,25 @@ def finish(feats: DataFrame, classes: DataFrame, links: DataFrame, labels: DataF
     linked = named.where("node is not null or rows > 1").select("label", F.col("c1").alias("k1"), F.col("c2").alias("k2"))
     linked = linked.join(least, "label").join(degree, F.col("k1") == degree["c"], "left").select("k1", "k2", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     linked = sized(stash(linked))
-    out = feats.select("doc_id", "n_shingles", "c1", "c2").join(linked, (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")) & (F.col("n_shingles") > 0), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = feats.select("doc_id", "text_hash", "n_shingles", "c1", "c2").join(linked, (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")) & (F.col("n_shingles") > 0), "left")
+    return out.select("doc_id", "text_hash", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def representatives(df: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The rows of ``df`` with one document a component: the one with the least doc_id; repeats of that row go as well.
+
+    Rows without a set (null or empty text) are in no group and stay. Rows without an id stay unless they link to one with an id.
+    """
+    found = stash(jaccard_components(df, shingle, percent))
+    gone = found.where("n_shingles > 0 and not (doc_id <=> component_id)").select("doc_id", "text_hash").distinct()
+    gone = sized(stash(gone.withColumnRenamed("doc_id", "__d").withColumnRenamed("text_hash", "__t")))
+    t = df.withColumn("__hash", text_hash(F.col("text")))
+    t = t.join(gone, t["doc_id"].eqNullSafe(gone["__d"]) & (t["__hash"] == gone["__t"]), "left_anti")
+    if found.where("n_shingles > 0").groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
+        has = t.where("trim(text) <> ''")
+        t = has.dropDuplicates(["doc_id", "__hash"]).unionByName(t.where("coalesce(trim(text), '') = ''"))
+    return t.drop("__hash")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(read_table(spark, sf_dir, "documents"))
+    return jaccard_components(read_table(spark, sf_dir, "documents")).drop("text_hash")

@@ -232,3 +232,9 @@ def contaminated_ids(df: DataFrame, items: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def decontaminated(df: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose doc_id has no contaminated text (rows without an id count as one id)."""
+    bad = contaminated_ids(df, items).withColumnRenamed("doc_id", "__d")
+    return df.join(bad, df["doc_id"].eqNullSafe(bad["__d"]), "left_anti")

@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 BUCKETS = 16_384
 
 
-def prefix_offsets(df: DataFrame, group: str, weight: Column, ties: list[Column], seed: int, out: str) -> DataFrame:
+def prefix_offsets(df: DataFrame, group: str, weight: Column, ties: list[Column], seed: int, out: str, strata: Column | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Add ``out``: the sum of ``weight`` over the rows of the same group that come before, in a seeded pseudo-random order.
 
-    A group's rows go to BUCKETS buckets by a hash of ``ties``; bucket totals are summed per group (at most BUCKETS rows in
-    a task), and a window inside (group, bucket) adds the rest, so a group that holds a third of all rows is still split.
-    Rows equal in all ``ties`` are interchangeable. Null groups form one group.
+    A group's rows go to ``buckets`` buckets by a hash of ``ties``; bucket totals are summed per group (at most ``buckets`` rows a
+    stratum in a task), and a window inside (group, bucket) adds the rest, so a group that holds a third of all rows is still split.
+    ``strata`` (a small number) orders before the hash: rows of a lower stratum come first. Rows equal in all ``ties`` are interchangeable. Null groups form one group.
     """
     h = F.xxhash64(F.lit(seed), *ties)
-    t = df.withColumn("__w", weight.cast("long")).withColumn("__h", h).withColumn("__b", F.pmod("__h", F.lit(BUCKETS)))
+    t = df.withColumn("__w", weight.cast("long")).withColumn("__h", h).withColumn("__b", F.coalesce(strata if strata is not None else F.lit(0), F.lit(0)).cast("long") * buckets + F.pmod("__h", F.lit(buckets)))
     sums = t.groupBy(F.col(group).alias("__g"), F.col("__b").alias("__gb")).agg(F.sum("__w").alias("__bw"))
     before = Window.partitionBy("__g").orderBy("__gb").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("__start", F.coalesce(F.sum("__bw").over(before), F.lit(0))).drop("__bw")
