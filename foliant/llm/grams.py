@@ -17,7 +17,7 @@ NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
 ALPHANUMERIC = np.zeros(256, bool)
 ALPHANUMERIC[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 #: Bytes handled at once: bounds the working memory to about 60 times this.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -109,26 +109,34 @@ def class_hash(h: np.ndarray) -> tuple[int, int]:
 
 
 def _sets(batch, column: int, shingle: int):
+    """(first row, sets) over runs of a few rows, so that one run is in memory at a time."""
     for row, data, starts, ends in grams.text_chunks(batch.column(column)):
         words, counts = grams.word_hashes(data, starts, ends, grams.NOT_SPACE)
-        for i, h in enumerate(grams.shingles(words, counts, shingle)):
-            yield row + i, h
+        yield row, grams.shingles(words, counts, shingle)
+
+
+def _lists(arrays: list[np.ndarray | None]) -> pa.Array:
+    """Arrays of 64-bit numbers, or None, as a list column without Python numbers in between."""
+    sizes = np.array([0 if a is None else len(a) for a in arrays], np.int64)
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    flat = np.concatenate([np.zeros(0, np.uint64), *[a for a in arrays if a is not None]]).view(np.int64)
+    none = np.array([a is None for a in arrays], bool)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array(none))
 
 
 def _features(shingle: int, percent: int):
     def run(batches):
         for batch in batches:
-            ns, c1, c2, sig = [], [], [], []
             met: set[tuple[int, int]] = set()  # copies inside a batch emit their signatures once
-            for _, h in _sets(batch, 1, shingle):
-                a, b = class_hash(h)
-                ns.append(len(h))
-                c1.append(a)
-                c2.append(b)
-                sig.append(None if (a, b) in met else signatures(h, percent).view(np.int64))
-                met.add((a, b))
-            cols = [batch.column(0), batch.column(2), pa.array(ns, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(sig, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "n_shingles", "c1", "c2", "sig"])
+            for row, sets in _sets(batch, 1, shingle):
+                keys = [class_hash(h) for h in sets]
+                sig: list[np.ndarray | None] = []
+                for k, h in zip(keys, sets, strict=True):
+                    sig.append(None if k in met else signatures(h, percent))
+                    met.add(k)
+                cut = batch.slice(row, len(sets))
+                cols = [cut.column(0), cut.column(2), pa.array([len(h) for h in sets], pa.int64()), *[pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)], _lists(sig)]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "n_shingles", "c1", "c2", "sig"])
 
     return run
 
@@ -177,14 +185,13 @@ def _buckets(batches):
 def _class_sets(shingle: int):
     def run(batches):
         for batch in batches:
-            c1, n, sets, sketch = [], [], [], []
-            for _, h in _sets(batch, 1, shingle):
-                c1.append(class_hash(h)[0])
-                n.append(len(h))
-                sets.append(h.view(np.int64))
-                bits = np.bincount((grams.mix(h ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
-                sketch.append(np.packbits(bits.astype(np.uint8)).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(c1, pa.int64()), pa.array(n, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["c1", "n", "items", "sketch"])
+            for _, sets in _sets(batch, 1, shingle):
+                sketch = []
+                for h in sets:
+                    bits = np.bincount((grams.mix(h ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+                    sketch.append(np.packbits(bits.astype(np.uint8)).tobytes())
+                cols = [pa.array([class_hash(h)[0] for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), _lists(sets), pa.array(sketch, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["c1", "n", "items", "sketch"])
 
     return run
 
