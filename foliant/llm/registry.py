@@ -1,13 +1,18 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from foliant.llm import op1_sharding, op3_mixing, op4_quality, op6_jaccard, op9_decontamination
+from foliant.llm import op1_sharding, op2_tokens, op3_mixing, op4_quality, op5_language, op6_jaccard, op7_toxicity, op8_urls, op9_decontamination, op10_templates
 
 QUERIES = {
     "op1_hilbert_shards": op1_sharding.query,
+    "op2_trie_tokens": op2_tokens.query,
     "op3_sainte_lague_mix": op3_mixing.query,
     "op4_line_frequency": op4_quality.query,
+    "op5_language_bitmasks": op5_language.query,
     "op6_partenum_join": op6_jaccard.query,
+    "op7_toxicity_trees": op7_toxicity.query,
+    "op8_url_models": op8_urls.query,
     "op9_positional_index": op9_decontamination.query,
+    "op10_line_templates": op10_templates.query,
 }
 
 ORACLE: dict[str, str] = {}
