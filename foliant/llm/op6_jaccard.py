@@ -196,26 +196,45 @@ def _class_sets(shingle: int):
     return run
 
 
-def close_pairs(c1, label, n, sketch, left, percent: int):
-    """Pairs (left i, any j > i in class order) of one block with different labels that the size and parity bounds allow."""
-    out = []
-    for i in np.flatnonzero(left):
-        apart = np.bitwise_count(sketch ^ sketch[i]).sum(1, dtype=np.int64)
-        lo, hi = np.minimum(n, n[i]), np.maximum(n, n[i])
-        ok = (label != label[i]) & (100 * lo >= percent * hi) & (apart * (100 + percent) <= (n + n[i]) * (100 - percent)) & (c1 != c1[i])
-        out += [(min(c1[i], c1[j]), max(c1[i], c1[j])) for j in np.flatnonzero(ok)]
-    return out
+def close_pairs(c1, label, n, sketch, left, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (one of ``left``, any other) of one block with different labels that the size and parity bounds allow."""
+    a, b = [], []
+    for i in left.tolist():
+        ok = (label != label[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+        j = np.flatnonzero(ok)
+        apart = np.bitwise_count(sketch[j] ^ sketch[i]).sum(1, dtype=np.int64)
+        j = j[apart * (100 + percent) <= (n[j] + n[i]) * (100 - percent)]
+        a.append(np.minimum(c1[j], c1[i]))
+        b.append(np.maximum(c1[j], c1[i]))
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
 
 
 def _compare(percent: int):
-    def run(key, pdf):
-        import pandas as pd
+    """Rows sorted by (sig, i, j) -> close pairs of each group. A group, two blocks at most, is held at a time."""
+
+    def close(t: pa.Table):
+        sig, i, j, block, c1, label, n = (t.column(k).to_numpy() for k in ("sig", "i", "j", "block", "c1", "label", "n"))
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS)
+        cuts = np.flatnonzero((sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        out = [close_pairs(c1[s:e], label[s:e], n[s:e], sketch[s:e], np.flatnonzero(block[s:e] == i[s]), percent) for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sig)], strict=True)]
+        a, b = (np.concatenate([x[k] for x in out]) for k in (0, 1))
+        pairs = np.unique(np.stack([a, b], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-        i, j = key[1], key[2]
-        c1, label, n = (pdf[x].to_numpy() for x in ("c1", "label", "n"))
-        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(pdf), SKETCH_WORDS)
-        left = np.ones(len(pdf), bool) if i == j else (pdf["block"] == i).to_numpy()
-        return pd.DataFrame(sorted(set(close_pairs(c1, label, n, sketch, left, percent))), columns=["a", "b"], dtype="int64")
+    def run(batches):
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch]).combine_chunks()
+            t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
+            if not t.num_rows:
+                continue
+            sig, i, j = (t.column(k).to_numpy() for k in ("sig", "i", "j"))
+            open_at = int(np.flatnonzero((sig != sig[-1]) | (i != i[-1]) | (j != j[-1]))[-1]) + 1 if (sig[0], i[0], j[0]) != (sig[-1], i[-1], j[-1]) else 0
+            held = t.slice(open_at)
+            if open_at:
+                yield close(t.slice(0, open_at))
+        if held is not None:
+            yield close(held)
 
     return run
 
@@ -264,8 +283,8 @@ def link_classes(df: DataFrame, members: DataFrame, classes: DataFrame, shingle:
     rest = tagged.join(sized(stash(per)), "sig").join(sets.select("c1", "n", "sketch"), "c1").withColumn("block", F.pmod(F.xxhash64("c1"), F.col("blocks")).cast("int"))
     spread = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
     rest = rest.withColumn("ij", F.explode(spread)).select("sig", F.col("ij.i").alias("i"), F.col("ij.j").alias("j"), "block", "c1", "label", "n", "sketch")
-    more = rest.groupBy("sig", "i", "j").applyInPandas(_compare(percent), "a long, b long").distinct()
-    links = stash(links.unionByName(verify(stash(more), sets, percent)))
+    more = rest.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(_compare(percent), "a long, b long")
+    links = stash(links.unionByName(verify(stash(more.distinct()), sets, percent)))
     return links, stash(components(links))
 
 
