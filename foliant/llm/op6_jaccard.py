@@ -196,27 +196,35 @@ def _class_sets(shingle: int):
     return run
 
 
-def close_pairs(c1, label, n, sketch, left, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (one of ``left``, any other) of one block with different labels that the size and parity bounds allow."""
+def close_pairs(c1, label, n, sketch, left, percent: int, forest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (one of ``left``, any other) of one block with different labels that the size and parity bounds allow.
+
+    forest: of these only what joins all labels that they connect, closest first in each row: fewer pairs than labels.
+    """
     a, b = [], []
+    _, root = np.unique(label, return_inverse=True)
     for i in left.tolist():
-        ok = (label != label[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-        j = np.flatnonzero(ok)
+        j = np.flatnonzero((root != root[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
         apart = np.bitwise_count(sketch[j] ^ sketch[i]).sum(1, dtype=np.int64)
-        j = j[apart * (100 + percent) <= (n[j] + n[i]) * (100 - percent)]
+        ok = apart * (100 + percent) <= (n[j] + n[i]) * (100 - percent)
+        j = j[ok]
+        if forest and len(j):
+            j = j[np.lexsort((c1[j], apart[ok]))]
+            j = j[np.sort(np.unique(root[j], return_index=True)[1])]
+            root[np.isin(root, root[j])] = root[i]
         a.append(np.minimum(c1[j], c1[i]))
         b.append(np.maximum(c1[j], c1[i]))
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
 
 
-def _compare(percent: int):
+def _compare(percent: int, forest: bool):
     """Rows sorted by (sig, i, j) -> close pairs of each group. A group, two blocks at most, is held at a time."""
 
     def close(t: pa.Table):
         sig, i, j, block, c1, label, n = (t.column(k).to_numpy() for k in ("sig", "i", "j", "block", "c1", "label", "n"))
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS)
         cuts = np.flatnonzero((sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        out = [close_pairs(c1[s:e], label[s:e], n[s:e], sketch[s:e], np.flatnonzero(block[s:e] == i[s]), percent) for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sig)], strict=True)]
+        out = [close_pairs(c1[s:e], label[s:e], n[s:e], sketch[s:e], np.flatnonzero(block[s:e] == i[s]), percent, forest) for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sig)], strict=True)]
         a, b = (np.concatenate([x[k] for x in out]) for k in (0, 1))
         pairs = np.unique(np.stack([a, b], 1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -276,16 +284,25 @@ def link_classes(df: DataFrame, members: DataFrame, classes: DataFrame, shingle:
     best = met.groupBy("c1").agg(F.max(F.struct("k", "pivot")).alias("m")).select(F.col("c1").alias("b"), F.col("m.pivot").alias("a"))
     links = stash(verify(best, sets, percent))
     labels = stash(components(links))
-    # Round 2: buckets that still span components; equal buckets once.
+    # Buckets that still span components, each membership once: twice what is closest, then every pair that the bounds allow.
+    for forest in (True, True, False):
+        more = stash(_residual(members, labels, sets, percent, forest))
+        if not more.limit(1).count():
+            break
+        links = stash(links.unionByName(verify(more, sets, percent)))
+        labels = stash(components(links))
+    return links, labels
+
+
+def _residual(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Distinct pairs (a, b) to verify, of classes that share a bucket and have different labels."""
     tagged = members.select("sig", "c1").join(labels.withColumnRenamed("node", "c1"), "c1", "left").withColumn("label", F.coalesce("label", "c1"))
     per = tagged.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("c1").bitwiseAND(F.lit((1 << 40) - 1))).alias("sum"), F.min("c1").alias("c_lo"), F.max("c1").alias("c_hi")).where("lo <> hi")
     per = per.groupBy("size", "sum", "c_lo", "c_hi").agg(F.min("sig").alias("sig")).select("sig", F.expr(f"int((size + {BLOCK - 1}) div {BLOCK})").alias("blocks"))
     rest = tagged.join(sized(stash(per)), "sig").join(sets.select("c1", "n", "sketch"), "c1").withColumn("block", F.pmod(F.xxhash64("c1"), F.col("blocks")).cast("int"))
     spread = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
     rest = rest.withColumn("ij", F.explode(spread)).select("sig", F.col("ij.i").alias("i"), F.col("ij.j").alias("j"), "block", "c1", "label", "n", "sketch")
-    more = rest.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(_compare(percent), "a long, b long")
-    links = stash(links.unionByName(verify(stash(more.distinct()), sets, percent)))
-    return links, stash(components(links))
+    return rest.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(_compare(percent, forest), "a long, b long").distinct()
 
 
 def finish(feats: DataFrame, classes: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
