@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.llm.op4_quality import let
 from foliant.scale import read_table, sized, stash
 
 #: Leading tokens on the path to a leaf.
@@ -27,8 +28,9 @@ ANY = "<*>"
 
 def masked(line: Column) -> Column:
     """The line's tokens, single-spaced, tokens with a digit made variable."""
-    flat = F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
-    return F.regexp_replace(flat, r"[^ ]*[0-9][^ ]*", ANY)
+    odd = line.rlike(r"[\x09-\x0D]|  |^ | $")
+    flat = F.when(odd, F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))).otherwise(line)
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(flat, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", ANY)).otherwise(flat)
 
 
 def line_keys(text: Column) -> Column:
@@ -51,11 +53,12 @@ def text_hash(text: Column) -> Column:
 def recurrent_lines(df: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, token_share: float = TOKEN_SHARE) -> tuple[DataFrame, DataFrame]:
     """(lines, held): ``lines`` (h, template, n_docs) to drop, ``held`` (h, text_hash) of lines in busy leaves."""
     t = df.select(text_hash(F.col("text")).alias("text_hash"), line_keys(F.coalesce("text", F.lit(""))).alias("keys"))
-    leaves = t.select("text_hash", F.explode(F.array_distinct(F.transform("keys", lambda x: x["leaf"]))).alias("leaf"))
+    # explode_outer: for explode the optimiser would add a filter that computes the keys once more.
+    leaves = t.select("text_hash", F.explode_outer(F.array_distinct(F.transform("keys", lambda x: x["leaf"]))).alias("leaf")).where("leaf is not null")
     # Copies of a text meet in (leaf, text_hash) before documents are counted.
     busy = leaves.distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("leaf_docs")).where(F.col("leaf_docs") >= min_docs)
     busy = sized(stash(busy))
-    each = t.select("text_hash", F.explode("keys").alias("x")).select("text_hash", "x.h", "x.leaf", "x.n", "x.line")
+    each = t.select("text_hash", F.explode_outer("keys").alias("x")).where("x is not null").select("text_hash", "x.h", "x.leaf", "x.n", "x.line")
     held = stash(each.join(busy, "leaf").groupBy("h", "text_hash").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.first("line").alias("line"), F.first("leaf_docs").alias("leaf_docs")))
     lines = stash(held.groupBy("h").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.first("line").alias("line"), F.first("leaf_docs").alias("leaf_docs"), F.count(F.lit(1)).alias("docs")))
     tokens = lines.select("h", "leaf", "n", "leaf_docs", "docs", F.posexplode(F.split("line", " ")).alias("pos", "token")).where(F.col("token") != ANY)
@@ -80,14 +83,15 @@ def drop_recurrent(df: DataFrame, **limits) -> DataFrame:
     per = held.join(lines, "h").groupBy("text_hash").agg(F.collect_set("h").alias("__drop")).withColumnRenamed("text_hash", "__th")
     per = sized(stash(per), 100_000)
     t = df.withColumn("__hash", text_hash(F.col("text"))).join(per, F.col("__hash") == F.col("__th"), "left")
-    tokens = lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+"))
     every = F.split(F.coalesce("text", F.lit("")), "\n")
-    gone = F.when(F.col("__drop").isNull(), F.array().cast("array<string>")).otherwise(F.filter(every, lambda x: F.array_contains(F.col("__drop"), F.xxhash64(masked(x))) & (tokens(x) >= MIN_TOKENS)))
-    stay = F.filter(every, lambda x: ~(F.array_contains(F.col("__drop"), F.xxhash64(masked(x))) & (tokens(x) >= MIN_TOKENS)))
-    t = t.withColumn("n_lines", F.size(F.filter(every, lambda x: tokens(x) > 0)).cast("long")).withColumn("__gone", gone)
-    t = t.withColumn("n_dropped", F.size("__gone").cast("long")).withColumn("dropped_words", F.aggregate("__gone", F.lit(0).cast("long"), lambda a, x: a + tokens(x)))
-    t = t.withColumn("text", F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n")))
-    return t.drop("__hash", "__th", "__drop", "__gone")
+    flagged = F.when(F.col("__drop").isNotNull(), F.transform(every, lambda x: F.struct(x.alias("x"), F.array_contains("__drop", F.xxhash64(masked(x))).alias("d"))))
+    t = t.withColumn("n_lines", F.size(F.filter(every, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long"))
+    words = lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+"))
+    done = let(flagged, lambda f: F.struct(F.filter(f, lambda s: s["d"]).alias("gone"), F.array_join(F.transform(F.filter(f, lambda s: ~s["d"]), lambda s: s["x"]), "\n").alias("text")))
+    t = t.withColumn("__done", F.when(F.col("__drop").isNotNull(), done)).withColumn("__gone", F.coalesce("__done.gone", F.array().cast("array<struct<x:string,d:boolean>>")))
+    t = t.withColumn("n_dropped", F.size("__gone").cast("long")).withColumn("dropped_words", F.aggregate("__gone", F.lit(0).cast("long"), lambda a, s: a + words(s["x"])))
+    t = t.withColumn("text", F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.col("__done.text")))
+    return t.drop("__hash", "__th", "__drop", "__done", "__gone")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
