@@ -26,22 +26,31 @@ MIN_TOKENS = 4
 ANY = "<*>"
 
 
+def spaced(line: Column) -> Column:
+    """The line's tokens, single-spaced; most lines are so already, and are only searched for what would not be."""
+    odd = line.startswith(" ") | line.endswith(" ") | line.contains("  ")
+    for c in "\t\x0b\x0c\r":
+        odd = odd | line.contains(c)
+    return F.when(odd, F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))).otherwise(line)
+
+
+def variable(flat: Column) -> Column:
+    """A single-spaced line with its tokens that have a digit made variable."""
+    return F.when(flat.rlike("[0-9]"), F.regexp_replace(flat, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", ANY)).otherwise(flat)
+
+
 def masked(line: Column) -> Column:
-    """The line's tokens, single-spaced, tokens with a digit made variable."""
-    odd = line.rlike(r"[\x09-\x0D]|  |^ | $")
-    flat = F.when(odd, F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))).otherwise(line)
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(flat, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", ANY)).otherwise(flat)
+    return variable(spaced(line))
 
 
-def line_keys(text: Column) -> Column:
-    """Array of (raw, h, n, leaf, line) for the lines that have MIN_TOKENS tokens or more."""
+def line_leaves(text: Column) -> Column:
+    """Array of (n, leaf, flat) for the lines that have MIN_TOKENS tokens or more."""
 
     def of(x: Column) -> Column:
-        n = F.length(x) - F.length(F.translate(x, " ", "")) + 1
-        leaf = F.xxhash64(n, F.substring_index(x, " ", LEADING))
-        return F.struct(F.xxhash64(x).alias("h"), n.alias("n"), leaf.alias("leaf"), x.alias("line"))
+        n = F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
+        return F.struct(n.alias("n"), F.xxhash64(n, variable(F.substring_index(x, " ", LEADING))).alias("leaf"), x.alias("flat"))
 
-    lines = F.transform(F.split(text, "\n"), masked)
+    lines = F.transform(F.split(text, "\n"), spaced)
     return F.filter(F.transform(lines, of), lambda s: (s["n"] >= MIN_TOKENS))
 
 
@@ -52,14 +61,15 @@ def text_hash(text: Column) -> Column:
 
 def recurrent_lines(df: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, token_share: float = TOKEN_SHARE) -> tuple[DataFrame, DataFrame]:
     """(lines, held): ``lines`` (h, template, n_docs) to drop, ``held`` (h, text_hash) of lines in busy leaves."""
-    t = df.select(text_hash(F.col("text")).alias("text_hash"), line_keys(F.coalesce("text", F.lit(""))).alias("keys"))
+    t = df.select(text_hash(F.col("text")).alias("text_hash"), line_leaves(F.coalesce("text", F.lit(""))).alias("keys"))
     # explode_outer: for explode the optimiser would add a filter that computes the keys once more.
     leaves = t.select("text_hash", F.explode_outer(F.array_distinct(F.transform("keys", lambda x: x["leaf"]))).alias("leaf")).where("leaf is not null")
     # Copies of a text meet in (leaf, text_hash) before documents are counted.
     busy = leaves.distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("leaf_docs")).where(F.col("leaf_docs") >= min_docs)
     busy = sized(stash(busy))
-    each = t.select("text_hash", F.explode_outer("keys").alias("x")).where("x is not null").select("text_hash", "x.h", "x.leaf", "x.n", "x.line")
-    held = stash(each.join(busy, "leaf").groupBy("h", "text_hash").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.first("line").alias("line"), F.first("leaf_docs").alias("leaf_docs")))
+    each = t.select("text_hash", F.explode_outer("keys").alias("x")).where("x is not null").select("text_hash", "x.leaf", "x.n", "x.flat")
+    each = each.join(busy, "leaf").withColumn("line", variable(F.col("flat"))).withColumn("h", F.xxhash64("line"))
+    held = stash(each.groupBy("h", "text_hash").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.first("line").alias("line"), F.first("leaf_docs").alias("leaf_docs")))
     lines = stash(held.groupBy("h").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.first("line").alias("line"), F.first("leaf_docs").alias("leaf_docs"), F.count(F.lit(1)).alias("docs")))
     tokens = lines.select("h", "leaf", "n", "leaf_docs", "docs", F.posexplode(F.split("line", " ")).alias("pos", "token")).where(F.col("token") != ANY)
     fixed = tokens.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("token_docs"), F.first("leaf_docs").alias("ld")).where((F.col("token_docs") >= min_docs) & (F.col("token_docs") >= token_share * F.col("ld")))
