@@ -124,19 +124,32 @@ def _lists(arrays: list[np.ndarray | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array(none))
 
 
-def _features(shingle: int, percent: int):
+def _features(shingle: int):
     def run(batches):
         for batch in batches:
-            met: set[tuple[int, int]] = set()  # copies inside a batch emit their signatures once
             for row, sets in _sets(batch, 1, shingle):
-                keys = [class_hash(h) for h in sets]
-                sig: list[np.ndarray | None] = []
-                for k, h in zip(keys, sets, strict=True):
-                    sig.append(None if k in met else signatures(h, percent))
-                    met.add(k)
-                cut = batch.slice(row, len(sets))
-                cols = [cut.column(0), cut.column(2), pa.array([len(h) for h in sets], pa.int64()), *[pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)], _lists(sig)]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "n_shingles", "c1", "c2", "sig"])
+                keys, cut = [class_hash(h) for h in sets], batch.slice(row, len(sets))
+                cols = [cut.column(0), cut.column(2), pa.array([len(h) for h in sets], pa.int64()), *[pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)]]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "n_shingles", "c1", "c2"])
+
+    return run
+
+
+def _signature_rows(shingle: int, percent: int):
+    """(text) -> (c1, sig): signatures of each set; copies inside a batch emit theirs once."""
+
+    def run(batches):
+        for batch in batches:
+            met: set[tuple[int, int]] = set()
+            for _, sets in _sets(batch, 0, shingle):
+                c1, sig = [], []
+                for h in sets:
+                    k = class_hash(h)
+                    if k not in met and len(h):
+                        met.add(k)
+                        c1.append(k[0])
+                        sig.append(signatures(h, percent))
+                yield pa.RecordBatch.from_arrays([pa.array(c1, pa.int64()), _lists(sig)], names=["c1", "sig"])
 
     return run
 
@@ -265,9 +278,10 @@ def jaccard_components(df: DataFrame, shingle: int = SHINGLE, percent: int = PER
     """
     ship(df.sparkSession)
     df = df.select("doc_id", "text", text_hash(F.col("text")).alias("text_hash"))
-    feats = stash(df.mapInArrow(_features(shingle, percent), "doc_id long, text_hash long, n_shingles long, c1 long, c2 long, sig array<long>"))
+    feats = stash(df.mapInArrow(_features(shingle), "doc_id long, text_hash long, n_shingles long, c1 long, c2 long"))
     classes = stash(feats.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("rows")))
-    rows = feats.where("sig is not null").select(F.explode("sig").alias("sig"), "c1")
+    # Texts are read again rather than all signatures stored: those take more space than the input.
+    rows = df.select("text").mapInArrow(_signature_rows(shingle, percent), "c1 long, sig array<long>").select(F.explode("sig").alias("sig"), "c1")
     sorted_rows = rows.repartition("sig").sortWithinPartitions("sig", "c1")
     members = stash(sorted_rows.mapInArrow(_buckets, "sig long, pivot long, c1 long"))
     links, labels = link_classes(df, members, classes, shingle, percent)
