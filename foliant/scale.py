@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 _own_dir: str | None = None
+#: Stashes that ``release`` deletes.
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,22 +32,28 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir}"
 
 
-def stash(df: DataFrame) -> DataFrame:
+def stash(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write ``df`` once to shared storage and read it back: lineage is cut, lost executors lose nothing, later reads prune columns."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    return out
+    if not keep:
+        _made.append(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every stash of this application's shared folder; call it when no result that reads one is needed any more."""
-    jvm, root = spark._jvm, shared_dir(spark)
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{root}/stash-*")) or []:
-        fs.delete(status.getPath(), True)
+def made() -> list[str]:
+    """Paths of the stashes made so far, in order, but for those to keep."""
+    return list(_made)
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete these stashes, or all; call it when every result that reads one has been written."""
+    for p in made() if paths is None else paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if p in _made:
+            _made.remove(p)
 
 
 def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
