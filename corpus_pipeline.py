@@ -1,36 +1,63 @@
-"""From raw documents to shards: five stages, each over all rows that the one before has kept."""
+"""From raw documents to shards: five stages, each over all rows that the one before has kept.
+
+A stage's result is written before the next stage begins, so each stage first deletes the temporary tables of those before.
+"""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from foliant.llm import op1_sharding, op3_mixing, op4_quality, op6_jaccard, op9_decontamination
-from foliant.scale import read_table, stash
+from foliant.scale import made, read_table, release, stash
 
 #: Near duplicates: five-word shingles, similarity 0.8 or more.
 SHINGLE, PERCENT = 5, 80
 
 
+_temporary: list[str] = []
+
+
+def tidy(stage):
+    """Before the stage, delete what the stage before has stashed."""
+
+    @functools.wraps(stage)
+    def wrapped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _temporary)
+        before = set(made())
+        out = stage(spark, docs, sf_dir)
+        _temporary[:] = [p for p in made() if p not in before]
+        return out
+
+    return wrapped
+
+
+@tidy
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are not depleted; lines that too many of their host's documents hold are cut."""
     return op4_quality.accepted(docs)
 
 
+@tidy
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the least id) of each group that similarity links hold together."""
     return op6_jaccard.representatives(docs, SHINGLE, PERCENT)
 
 
+@tidy
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark window occurs."""
     return op9_decontamination.decontaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
+@tidy
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the proportions of the target weights, up to three times each."""
     return op3_mixing.mixed(docs)
 
 
+@tidy
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows with shard and slot, in Hilbert order of source, language and size."""
     return op1_sharding.hilbert_shards(docs)
@@ -51,5 +78,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir))
+        docs = stash(stage(spark, docs, sf_dir), keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)

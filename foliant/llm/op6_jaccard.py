@@ -278,12 +278,12 @@ def jaccard_components(df: DataFrame, shingle: int = SHINGLE, percent: int = PER
     """
     ship(df.sparkSession)
     df = df.select("doc_id", "text", text_hash(F.col("text")).alias("text_hash"))
-    feats = stash(df.mapInArrow(_features(shingle), "doc_id long, text_hash long, n_shingles long, c1 long, c2 long"))
+    feats = stash(df.mapInArrow(grams.frugal(_features(shingle)), "doc_id long, text_hash long, n_shingles long, c1 long, c2 long"))
     classes = stash(feats.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("rows")))
     # Texts are read again rather than all signatures stored: those take more space than the input.
-    rows = df.select("text").mapInArrow(_signature_rows(shingle, percent), "c1 long, sig array<long>").select(F.explode("sig").alias("sig"), "c1")
+    rows = df.select("text").mapInArrow(grams.frugal(_signature_rows(shingle, percent)), "c1 long, sig array<long>").select(F.explode("sig").alias("sig"), "c1")
     sorted_rows = rows.repartition("sig").sortWithinPartitions("sig", "c1")
-    members = stash(sorted_rows.mapInArrow(_buckets, "sig long, pivot long, c1 long"))
+    members = stash(sorted_rows.mapInArrow(grams.frugal(_buckets), "sig long, pivot long, c1 long"))
     links, labels = link_classes(df, members, classes, shingle, percent)
     return finish(feats, classes, links, labels)
 
@@ -291,7 +291,7 @@ def jaccard_components(df: DataFrame, shingle: int = SHINGLE, percent: int = PER
 def link_classes(df: DataFrame, members: DataFrame, classes: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
     involved = stash(members.select("c1").distinct().join(classes.select("c1", "rep"), "c1").where("rep is not null"))
     ids = sized(involved.select(F.col("rep").alias("doc_id")).distinct())
-    found = df.join(ids, "doc_id", "left_semi").mapInArrow(_class_sets(shingle), "c1 long, n long, items array<long>, sketch binary")
+    found = df.join(ids, "doc_id", "left_semi").mapInArrow(grams.frugal(_class_sets(shingle)), "c1 long, n long, items array<long>, sketch binary")
     sets = stash(found.dropDuplicates(["c1"]))
     # Round 1: each class against the class that it meets in most buckets.
     met = members.where("c1 <> pivot").groupBy("c1", "pivot").agg(F.count(F.lit(1)).alias("k"))
@@ -316,7 +316,7 @@ def _residual(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: i
     rest = tagged.join(sized(stash(per)), "sig").join(sets.select("c1", "n", "sketch"), "c1").withColumn("block", F.pmod(F.xxhash64("c1"), F.col("blocks")).cast("int"))
     spread = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
     rest = rest.withColumn("ij", F.explode(spread)).select("sig", F.col("ij.i").alias("i"), F.col("ij.j").alias("j"), "block", "c1", "label", "n", "sketch")
-    return rest.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(_compare(percent, forest), "a long, b long").distinct()
+    return rest.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(grams.frugal(_compare(percent, forest)), "a long, b long").distinct()
 
 
 def finish(feats: DataFrame, classes: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:

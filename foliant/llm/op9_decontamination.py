@@ -42,7 +42,7 @@ def _postings(batches):
 def build_index(df: DataFrame) -> DataFrame:
     """The stored index of (doc_id, text): every word of every text. Null and empty texts are documents without words."""
     ship(df.sparkSession)
-    return stash(df.select("doc_id", "text").mapInArrow(_postings, INDEX))
+    return stash(df.select("doc_id", "text").mapInArrow(grams.frugal(_postings), INDEX))
 
 
 def term_statistics(index: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def find_items(index: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFr
     parts = []
     for k in range(slices):
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(slices)) == k).collect()
-        parts.append(index.mapInArrow(_search([r.item for r in rows], windows([r.text for r in rows], size)), FOUND))
+        parts.append(index.mapInArrow(grams.frugal(_search([r.item for r in rows], windows([r.text for r in rows], size))), FOUND))
     if slices == 1:
         return parts[0]
     out = parts[0]

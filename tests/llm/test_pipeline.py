@@ -18,7 +18,7 @@ def test_stages(spark):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
     for name, stage in cp.STAGES:
         before = docs.collect()
-        docs = stash(stage(spark, docs, d))
+        docs = stash(stage(spark, docs, d), keep=True)
         after = docs.collect()
         if name != "sharding":
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
@@ -56,5 +56,5 @@ def test_odd_rows(spark, tmp_path):
     for start in (df, df.where("false")):
         docs = start
         for _, stage in cp.STAGES:
-            docs = stash(stage(spark, docs, str(tmp_path)))
+            docs = stash(stage(spark, docs, str(tmp_path)), keep=True)
         assert {r.doc_id for r in docs.collect()} == ({4, 6} if start is df else set())
