@@ -73,7 +73,7 @@ class Engine:
 
     def browse(self, where, k: int) -> DataFrame:
         if where is None:
-            return self.chunks.limit(0)
+            return self.chunks.limit(0).withColumn("rank", F.lit(None).cast("int"))
         t = self.chunks.where(where).orderBy("file_path", "chunk_index", "id").limit(k)
         return t.withColumn("rank", F.row_number().over(Window.orderBy("file_path", "chunk_index", "id")))
 
