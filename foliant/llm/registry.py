@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from foliant.llm import op1_sharding, op2_tokens, op3_mixing, op4_quality, op5_language, op6_jaccard, op7_toxicity, op8_urls, op9_decontamination, op10_templates
+from foliant.llm import op1_sharding, op2_tokens, op3_mixing, op4_quality, op5_language, op6_jaccard, op7_toxicity, op8_urls, op9_decontamination, op10_templates, oracles
 
 QUERIES = {
     "op1_hilbert_shards": op1_sharding.query,
@@ -15,4 +15,9 @@ QUERIES = {
     "op10_line_templates": op10_templates.query,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_line_frequency": oracles.LINE_FREQUENCY,
+    "op6_partenum_join": oracles.PARTENUM_JOIN,
+    "op9_positional_index": oracles.POSITIONAL_INDEX,
+    "op10_line_templates": oracles.LINE_TEMPLATES,
+}
