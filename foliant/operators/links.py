@@ -35,7 +35,7 @@ def extract_links(files: DataFrame) -> DataFrame:
     return t.select(F.col("file_path").alias("source"), F.col("k.raw").alias("target_raw"), F.col("k.kind").alias("link_type"), F.col("l.i").alias("line"), F.substring(F.trim("l.x"), 1, 200).alias("context"))
 
 
-@F.udf(T.StringType())
+@F.udf(T.StringType(), useArrow=True)
 def joined_path(source: str, raw: str, root: str):
     """Target path of a link as written: against its folder, or against the source's root."""
     path = raw.split("#", 1)[0].split("?", 1)[0]

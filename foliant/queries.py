@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.text import any_term, lexical_tokens, matched_terms, snippet, time_text
+from foliant.functions.paths import excluded
+from foliant.functions.text import any_term, highlights, html_escape, lexical_tokens, matched_terms, one_line, snippet, split_tags, time_text
 from foliant.operators import clusters, fusion, grouping, indexer, lexical, links, mindmap, snapshot, status, tags, vectors
 from foliant.operators.export import export_rows
 from foliant.operators.search import Engine, chunks_of, exclude_rows, files_with_tags
 from foliant.plans.compiler import any_value, predicate
-from foliant.plans.querylang import parse_query
+from foliant.plans.querylang import combine, parse_query, tag_query
 from foliant.scale import read_table, ship
 from foliant.sources.parsing import ChunkConfig, chunk_files, explode_chunks, paragraphs_of, title_of
 from foliant.sources.scan import documents_as_files
@@ -198,9 +199,10 @@ def best_group(spark, d):
 
 
 def _old_new(spark, d):
-    f = documents_as_files(read_table(spark, d, "documents")).select("file_path", "md5_hash", "doc_id")
-    old = f.where("doc_id % 10 <> 3").withColumn("md5_hash", F.when(F.col("doc_id") % 10 == 4, F.lit("old")).otherwise(F.col("md5_hash")))
-    return f.where("doc_id % 10 <> 5").drop("doc_id"), old.drop("doc_id")
+    f = documents_as_files(read_table(spark, d, "documents")).select("file_path", "md5_hash", "source")
+    # The index lacks one source and holds older versions of one language; another source has left the disk.
+    old = f.where("source <> '/src2'").withColumn("md5_hash", F.when(F.col("file_path").contains("/de/"), F.lit("old")).otherwise(F.col("md5_hash")))
+    return f.where("source <> '/src3'").drop("source"), old.drop("source")
 
 
 def incremental(spark, d):
@@ -229,7 +231,7 @@ def per_source(spark, d):
 
 def overview(spark, d):
     c = chunks(spark, d)
-    star = c.where("id % 7 = 0").select("file_path")
+    star = c.where("array_contains(file_tags, 'toxic')").select("file_path")
     return status.overview(c, c, file_tags(spark, d), star)
 
 
@@ -239,7 +241,7 @@ def recent(spark, d):
 
 
 def starred(spark, d):
-    c = chunks(spark, d).where("id < 200").select("file_path", "file_name")
+    c = chunks(spark, d).select("file_path", "file_name")
     out = status.starred_first(c, c.where(F.col("file_path").contains("/en/")))
     order = Window.orderBy(F.desc("starred"), F.lower("file_name"), "file_path")
     return out.withColumn("pos", F.row_number().over(order)).select("file_path", "starred", "pos")
@@ -333,6 +335,101 @@ def shared_topics(spark, d):
     return mindmap.shared_keywords(keyword_tags(spark, d).withColumnRenamed("id", "file_path"))
 
 
+def exclude_paths(spark, d):
+    f = documents_as_files(read_table(spark, d, "documents"))
+    return f.where(~excluded(F.col("file_path"), "/", ["src2", "  ", "FR", "1?.txt", "src4/en/*"])).select("file_path")
+
+
+def tag_picker(spark, d):
+    both = combine(parse_query("license -token"), tag_query(["toxic", "de"], "OR"))
+    return chunks(spark, d).where(predicate(both.expr)).select("id")
+
+
+def highlight(spark, d):
+    t = texts(spark, d).select("id", F.explode(highlights(F.col("text"), ["License", "licens", "token"])).alias("x"))
+    return t.select("id", "x.start", "x.end")
+
+
+def file_names(spark, d):
+    return tags.filter_names(chunks(spark, d), "/EN/1").select("file_path")
+
+
+def distinct_hits(spark, d):
+    return grouping.distinct_rows(_hits(spark, d).withColumn("file_path", F.regexp_replace("file_path", "/[^/]*$", ""))).select("file_path")
+
+
+def merged_clusters(spark, d):
+    c = _vectors(spark, d).groupBy("label").agg(F.array_sort(F.collect_list("id")).alias("files"))
+    c = c.select(F.col("label").alias("id"), F.concat(F.lit("c"), F.col("label").cast("string")).alias("label"), "files")
+    return tags.merge_clusters(c, [2, 1], "both").select("id", "label", F.array_join(F.transform("files", lambda x: x.cast("string")), ",").alias("files"))
+
+
+def cluster_sizes(spark, d):
+    return _vectors(spark, d).groupBy("label").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+def retagged(spark, d):
+    ft = file_tags(spark, d)
+    new = ft.where("tag = 'toxic'").select("file_path", F.explode(F.array(F.lit("review"), F.lit("hidden"))).alias("tag")).withColumn("ord", F.when(F.col("tag") == "review", 0).otherwise(1))
+    return tags.tags_of(tags.set_tags(ft, new)).select("file_path", F.array_join("file_tags", ",").alias("tags"))
+
+
+def removed_files(spark, d):
+    ft = file_tags(spark, d)
+    return tags.drop_files(ft, tags.files_by_tag(ft, "toxic")).select("file_path", "tag")
+
+
+def link_neighbours(spark, d):
+    return links.neighbours(_edges(spark, d).select("source", F.coalesce(F.col("target"), F.lit(-1)).alias("target")), 0)
+
+
+def node_cap(spark, d):
+    return links.render_cap(_edges(spark, d).select(F.col("href").alias("path")).distinct())
+
+
+def _notes(spark, d):
+    """Pages as Markdown notes: a heading, anchors to known pages as wikilinks, other anchors as links, one fenced link."""
+    e = _edges(spark, d).groupBy(F.col("source").alias("page_id")).agg(F.array_sort(F.collect_list(F.coalesce(F.concat(F.lit("[["), F.col("target").cast("string"), F.lit("|x]]")), F.concat(F.lit("[x](../b/"), F.md5("href"), F.lit(".md)"))))).alias("l"))
+    p = read_table(spark, d, "pages").select("page_id").join(e, "page_id", "left")
+    text = F.concat(F.lit("# note\n```\n[[hidden]]\n```\n"), F.array_join(F.coalesce("l", F.array().cast("array<string>")), "\n"))
+    return p.select(F.concat(F.lit("/a/"), F.col("page_id").cast("string"), F.lit(".md")).alias("file_path"), F.lit("/a").alias("source"), F.lit(None).cast("string").alias("title"), text.alias("text"))
+
+
+def markdown_links(spark, d):
+    return links.extract_links(_notes(spark, d)).select("source", "target_raw", "link_type", "line")
+
+
+def note_graph_edges(spark, d):
+    n = _notes(spark, d)
+    return links.graph(n, links.extract_links(n))[1].select("source", "target", "link_type")
+
+
+def note_graph_nodes(spark, d):
+    n = _notes(spark, d)
+    return links.graph(n, links.extract_links(n))[0].select("path", "kind")
+
+
+def summaries(spark, d):
+    return texts(spark, d).select("id", F.md5(F.encode(one_line(F.col("text"), 100), "UTF-8")).alias("summary_md5"))
+
+
+def escaped(spark, d):
+    return texts(spark, d).select("id", F.md5(F.encode(html_escape(F.col("text")), "UTF-8")).alias("html_md5"))
+
+
+def tag_input(spark, d):
+    return texts(spark, d).select("id", F.size(split_tags(F.col("text"))).alias("n_tags"))
+
+
+def text_paragraphs(spark, d):
+    t = paragraphs_of(read_table(spark, d, "documents").select(F.col("doc_id").cast("string"), "text"), "text")
+    return t.select("id", "pos", "line", F.md5(F.encode("content", "UTF-8")).alias("content_md5"))
+
+
+def markdown_paragraphs(spark, d):
+    return paragraphs_of(_notes(spark, d).select("file_path", "text"), "markdown")
+
+
 def export_results(spark, d):
     return export_rows(_hits(spark, d))
 
@@ -401,6 +498,27 @@ QUERIES = {
     "mindmap_rows": mindmap_rows,
     "mindmap_results": mindmap_results,
     "shared_topics": shared_topics,
+    "exclude_paths": exclude_paths,
+    "tag_picker_or": tag_picker,
+    "highlight_spans": highlight,
+    "filter_file_names": file_names,
+    "filter_tag_names": lambda s, d: tags.filter_tags(tags.tag_counts(file_tags(s, d)), "TO"),
+    "tags_of_files": lambda s, d: tags.tags_of(file_tags(s, d)).select("file_path", F.array_join("file_tags", ",").alias("tags")),
+    "distinct_hits": distinct_hits,
+    "cluster_merge": merged_clusters,
+    "cluster_sizes": cluster_sizes,
+    "set_tags": retagged,
+    "remove_files": removed_files,
+    "link_neighbours": link_neighbours,
+    "graph_node_cap": node_cap,
+    "markdown_links": markdown_links,
+    "note_graph_edges": note_graph_edges,
+    "note_graph_nodes": note_graph_nodes,
+    "one_line_summary": summaries,
+    "html_escape": escaped,
+    "split_tag_input": tag_input,
+    "text_paragraphs": text_paragraphs,
+    "markdown_paragraphs": markdown_paragraphs,
     "export_rows": export_results,
 }
 
@@ -432,8 +550,8 @@ _FUSED = f"""WITH {_bm25(_TERMS)}, {_V}, l AS (SELECT id, lexical_score, row_num
   g AS (SELECT *, CAST(row_number() OVER (ORDER BY x DESC, mr NULLS LAST, lr NULLS LAST, id) AS INT) AS rank FROM f)"""
 _HITS = f"""WITH {_C}, {_bm25(["license"])}, h AS (SELECT c.*, lexical_score / max(lexical_score) OVER () AS similarity, rank FROM
   (SELECT id, lexical_score, CAST(row_number() OVER (ORDER BY lexical_score DESC, id) AS INT) AS rank FROM s QUALIFY rank <= 50) JOIN c USING (id))"""
-_OLDNEW = """WITH f AS (SELECT '/'||source||'/'||lang||'/'||doc_id||'.txt' AS file_path, md5(text) AS h, doc_id FROM documents),
-  o AS (SELECT file_path, CASE WHEN doc_id % 10 = 4 THEN 'old' ELSE h END AS h FROM f WHERE doc_id % 10 <> 3), n AS (SELECT file_path, h FROM f WHERE doc_id % 10 <> 5)"""
+_OLDNEW = """WITH f AS (SELECT '/'||source||'/'||lang||'/'||doc_id||'.txt' AS file_path, md5(text) AS h, source, lang FROM documents),
+  o AS (SELECT file_path, CASE WHEN lang = 'de' THEN 'old' ELSE h END AS h FROM f WHERE source <> 'src2'), n AS (SELECT file_path, h FROM f WHERE source <> 'src3')"""
 _DIFF = f"{_OLDNEW}, d AS (SELECT n.file_path, CASE WHEN o.h IS NULL THEN 'new' WHEN o.h = n.h THEN 'unchanged' ELSE 'updated' END AS change FROM n LEFT JOIN o ON n.file_path = o.file_path)"
 _HREF = """WITH a AS (SELECT page_id, regexp_extract_all(html, '(?i)<a\\s[^>]*href="([^"]*)"', 1) AS h FROM pages),
   b AS (SELECT page_id, CAST(generate_subscripts(h, 1) - 1 AS INT) AS pos, unnest(h) AS href FROM a),
@@ -500,9 +618,9 @@ ORACLE = {
     "orphans": f"{_OLDNEW} SELECT file_path FROM o WHERE file_path NOT IN (SELECT file_path FROM n)",
     "merge_tags": f"WITH {_C} SELECT file_path, array_to_string(list_concat(file_tags, CASE WHEN list_contains(file_tags, 'en') THEN ['added'] ELSE ['en', 'added'] END), ',') AS tags FROM c",
     "status_per_source": "SELECT s AS source, count(doc_id) AS n_files FROM (SELECT '/src' || i AS s FROM range(1, 8) t(i)) LEFT JOIN documents ON s = '/' || source GROUP BY s",
-    "status_overview": f"{_FT} SELECT (SELECT count(*) FROM c) AS indexed_files, (SELECT count(*) FROM c) AS total_chunks, (SELECT CAST(sum(length(content)) AS BIGINT) FROM c) AS total_chars, (SELECT count(DISTINCT tag) FROM ft) AS n_tags, (SELECT count(*) FROM c WHERE id % 7 = 0) AS starred_count",
+    "status_overview": f"{_FT} SELECT (SELECT count(*) FROM c) AS indexed_files, (SELECT count(*) FROM c) AS total_chunks, (SELECT CAST(sum(length(content)) AS BIGINT) FROM c) AS total_chars, (SELECT count(DISTINCT tag) FROM ft) AS n_tags, (SELECT count(*) FROM c WHERE list_contains(file_tags, 'toxic')) AS starred_count",
     "recent_updates": "SELECT CAST(event_id AS VARCHAR) AS file_path, strftime(ts, '%Y-%m-%d %H:%M') AS updated FROM events ORDER BY ts DESC, CAST(event_id AS VARCHAR) LIMIT 10",
-    "starred_first": f"WITH {_C} SELECT file_path, contains(file_path, '/en/') AS starred, CAST(row_number() OVER (ORDER BY contains(file_path, '/en/') DESC, lower(file_name), file_path) AS INT) AS pos FROM c WHERE id < 200",
+    "starred_first": f"WITH {_C} SELECT file_path, contains(file_path, '/en/') AS starred, CAST(row_number() OVER (ORDER BY contains(file_path, '/en/') DESC, lower(file_name), file_path) AS INT) AS pos FROM c",
     "html_title": "SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title FROM pages",
     "html_links": f"{_HREF} SELECT page_id, pos, href FROM b",
     "link_edges": f"{_HREF} SELECT source, href, target FROM e",
@@ -512,5 +630,31 @@ ORACLE = {
   b AS (SELECT user_id, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a), g AS (SELECT user_id, s, count(*) AS n FROM b GROUP BY user_id, s)
   SELECT user_id, count(*) AS n_bursts, CAST(sum(n) AS BIGINT) AS n_events, max(n) AS largest FROM g GROUP BY user_id""",
     "recent_searches": "SELECT q, strftime(t, '%Y-%m-%d %H:%M') AS last FROM (SELECT event_type || ':' || user_id AS q, max(ts) AS t FROM events GROUP BY 1) ORDER BY t DESC, q LIMIT 50",
+    "exclude_paths": f"WITH {_C} SELECT file_path FROM c WHERE source <> '/src2' AND NOT contains(file_path, '/fr/') AND NOT regexp_matches(file_name, '^1.\\.txt$') AND NOT starts_with(file_path, '/src4/en/')",
+    "tag_picker_or": f"WITH {_C} SELECT id FROM c WHERE contains(lower(content), 'license') AND NOT contains(lower(content), 'token') AND (list_contains(file_tags, 'toxic') OR list_contains(file_tags, 'de'))",
+    "highlight_spans": """WITH q(t) AS (VALUES ('license'), ('token')), a AS (SELECT doc_id AS id, lower(text) AS x, t FROM documents, q WHERE contains(lower(text), t))
+  SELECT id, CAST(i AS INT) AS start, CAST(i + length(t) AS INT) AS "end" FROM a, unnest(range(0, length(x) - length(t) + 1)) u(i) WHERE substr(x, i + 1, length(t)) = t""",
+    "filter_file_names": f"WITH {_C} SELECT file_path FROM c WHERE contains(lower(file_path), '/en/1')",
+    "filter_tag_names": f"{_FT} SELECT tag, count(DISTINCT file_path) AS n_files FROM ft WHERE contains(tag, 'to') GROUP BY tag",
+    "tags_of_files": f"WITH {_C} SELECT file_path, array_to_string(file_tags, ',') AS tags FROM c WHERE len(file_tags) > 0",
+    "distinct_hits": f"{_HITS} SELECT DISTINCT regexp_replace(file_path, '/[^/]*$', '') AS file_path FROM h",
+    "cluster_merge": """WITH c AS (SELECT label AS id, 'c' || label AS label, string_agg(vec_id, ',' ORDER BY vec_id) AS files FROM embeddings GROUP BY 1, 2)
+  SELECT * FROM c WHERE id NOT IN (1, 2) UNION ALL SELECT 2, 'both', concat_ws(',', max(files) FILTER (id = 2), max(files) FILTER (id = 1)) FROM c HAVING count(*) FILTER (id IN (1, 2)) > 0""",
+    "cluster_sizes": "SELECT label, count(*) AS n_files FROM embeddings GROUP BY label",
+    "set_tags": f"WITH {_C} SELECT file_path, CASE WHEN list_contains(file_tags, 'toxic') THEN 'review,hidden' ELSE array_to_string(file_tags, ',') END AS tags FROM c WHERE len(file_tags) > 0",
+    "remove_files": f"{_FT} SELECT file_path, tag FROM ft WHERE file_path NOT IN (SELECT file_path FROM ft WHERE tag = 'toxic')",
+    "link_neighbours": f"{_HREF} SELECT DISTINCT coalesce(target, -1) AS path, 'out' AS direction FROM e WHERE source = 0 UNION SELECT source, 'in' FROM e WHERE target = 0",
+    "graph_node_cap": f"{_HREF} SELECT DISTINCT href AS path FROM e ORDER BY path LIMIT 500",
+    "markdown_links": f"""{_HREF}, k AS (SELECT source, target, href, CASE WHEN target IS NULL THEN '[x](../b/' || md5(href) || '.md)' ELSE '[[' || target || '|x]]' END AS s FROM e)
+  SELECT '/a/' || source || '.md' AS source, CASE WHEN target IS NULL THEN '../b/' || md5(href) || '.md' ELSE CAST(target AS VARCHAR) END AS target_raw, CASE WHEN target IS NULL THEN 'relpath' ELSE 'wikilink' END AS link_type,
+    CAST(row_number() OVER (PARTITION BY source ORDER BY s) + 3 AS INT) AS line FROM k""",
+    "note_graph_edges": f"{_HREF} SELECT '/a/' || source || '.md' AS source, CASE WHEN target IS NULL THEN '../b/' || md5(href) || '.md' ELSE '/a/' || target || '.md' END AS target, CASE WHEN target IS NULL THEN 'relpath' ELSE 'wikilink' END AS link_type FROM e",
+    "note_graph_nodes": f"{_HREF} SELECT '/a/' || page_id || '.md' AS path, 'article' AS kind FROM pages UNION SELECT '../b/' || md5(href) || '.md', 'missing' FROM e WHERE target IS NULL",
+    "one_line_summary": r"SELECT doc_id AS id, md5(CASE WHEN length(x) > 100 THEN substr(x, 1, 100) || '...' ELSE x END) AS summary_md5 FROM (SELECT doc_id, trim(regexp_replace(text, '[\x09-\x0D ]+', ' ', 'g'), ' ') AS x FROM documents)",
+    "html_escape": "SELECT doc_id AS id, md5(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS html_md5 FROM documents",
+    "split_tag_input": r"SELECT doc_id AS id, CAST(len(list_filter(string_split_regex(text, '[,，\x09-\x0D ]+'), lambda x: length(x) > 0)) AS INT) AS n_tags FROM documents",
+    "text_paragraphs": """WITH a AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+  b AS (SELECT doc_id, i, regexp_replace(x, '^\\s+|\\s+$', '', 'g') AS x, count(*) FILTER (NOT regexp_matches(x, '\\S')) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM a)
+  SELECT CAST(doc_id AS VARCHAR) AS id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) - 1 AS INT) AS pos, CAST(min(i) AS INT) AS line, md5(string_agg(x, chr(10) ORDER BY i)) AS content_md5 FROM b WHERE x <> '' GROUP BY doc_id, g""",
     "section_groups": "SELECT conv_id, turn, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS section FROM conversations",
 }
