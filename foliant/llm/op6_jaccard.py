@@ -341,8 +341,8 @@ def representatives(df: DataFrame, shingle: int, percent: int) -> DataFrame:
     t = df.withColumn("__hash", text_hash(F.col("text")))
     t = t.join(gone, t["doc_id"].eqNullSafe(gone["__d"]) & (t["__hash"] == gone["__t"]), "left_anti")
     if found.where("n_shingles > 0").groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
-        has = t.where("trim(text) <> ''")
-        t = has.dropDuplicates(["doc_id", "__hash"]).unionByName(t.where("coalesce(trim(text), '') = ''"))
+        has = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+        t = t.where(has).dropDuplicates(["doc_id", "__hash"]).unionByName(t.where(~has))
     return t.drop("__hash")
 
 

@@ -19,7 +19,7 @@ from foliant.scale import read_table, ship, sized, stash
 #: Words of a window.
 WINDOW = 10
 #: Bytes of test texts held at once (driver and each worker); more are searched for in further passes.
-QUERY_BYTES = 32 << 20
+QUERY_BYTES = 2 << 20
 INDEX = "block long, doc_ids array<long>, doc_words array<int>, terms binary, counts binary, positions binary"
 FOUND = "block long, ordinal int, doc_id long, n_words long, spans array<struct<a:int,b:int>>, items array<string>"
 MATCH = "phrase int, doc_id long, position int, exact boolean"
