@@ -18,8 +18,8 @@ from foliant.scale import read_table, sized, stash
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 #: Characters of the longest gram (context and character).
 ORDER = 5
-#: A gram is stored if it makes up this share of all positions, and occurs at least twice: at most 1 / share grams an order.
-SHARE = 2e-6
+#: A gram is stored if it occurs this often, whatever the table's size: the model grows with the input.
+LEAST = 2
 #: Weight of the shorter context's estimate, in characters, and the alphabet's size for the shortest.
 BACKOFF, ALPHABET = 5.0, 256
 #: One labelled URL in this many is held back for calibration.
@@ -66,15 +66,14 @@ def train(labelled: DataFrame) -> DataFrame:
     counts = stash(counts.groupBy("k", "gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r")))
     n = counts.where("k = 1").agg(F.sum("a"), F.sum("r")).first()
     na, nr = (n[0] or 0), (n[1] or 0)
-    least = max(2, int(SHARE * (na + nr)))
-    stored = counts.where(F.col("a") + F.col("r") >= least)
+    stored = counts.where(F.col("a") + F.col("r") >= LEAST)
     prob = lambda c, total, shorter: (F.col(c) + BACKOFF * shorter) / (F.coalesce(F.col(total), F.lit(0)) + BACKOFF)
     model = stored.where("k = 1").select("gram", ((F.col("a") + 1) / F.lit(float(na + ALPHABET))).alias("pa"), ((F.col("r") + 1) / F.lit(float(nr + ALPHABET))).alias("pr"))
     parts = [model]
     for k in range(2, ORDER + 1):
         level = counts.where(f"k = {k}")
         context = level.groupBy(F.substring("gram", 1, k - 1).alias("context")).agg(F.sum("a").alias("ca"), F.sum("r").alias("cr"))
-        t = level.where(F.col("a") + F.col("r") >= least).withColumn("context", F.substring("gram", 1, k - 1)).withColumn("shorter", F.substring("gram", 2, k - 1))
+        t = level.where(F.col("a") + F.col("r") >= LEAST).withColumn("context", F.substring("gram", 1, k - 1)).withColumn("shorter", F.substring("gram", 2, k - 1))
         t = t.join(context, "context").join(parts[-1].select(F.col("gram").alias("shorter"), F.col("pa").alias("sa"), F.col("pr").alias("sr")), "shorter")
         parts.append(stash(t.select("gram", prob("a", "ca", F.col("sa")).alias("pa"), prob("r", "cr", F.col("sr")).alias("pr"))))
     return stash(reduce(DataFrame.unionByName, parts).select("gram", F.log(F.col("pa") / F.col("pr")).alias("delta")))
@@ -82,10 +81,11 @@ def train(labelled: DataFrame) -> DataFrame:
 
 def score(df: DataFrame, model: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns of every row of ``df`` and ``score``; rows without url_text score 0. Equal rows stay apart."""
-    model = sized(model, 2_000_000)
+    # Each order's grams are a side of their own, broadcast or shuffled by their own count.
+    orders = {k: sized(model.where(F.length("gram") == k)) for k in range(1, ORDER + 1)}
     t = grams(df.withColumn("__row", F.monotonically_increasing_id()), ["__row", *keep])
     for k in range(ORDER, 0, -1):
-        t = t.join(model.select(F.col("gram").alias(f"__m{k}"), F.col("delta").alias(f"__d{k}")), F.col(f"g{k}") == F.col(f"__m{k}"), "left").drop(f"__m{k}")
+        t = t.join(orders[k].select(F.col("gram").alias(f"__m{k}"), F.col("delta").alias(f"__d{k}")), F.col(f"g{k}") == F.col(f"__m{k}"), "left").drop(f"__m{k}")
     delta = F.coalesce(*[F.col(f"__d{k}") for k in range(ORDER, 0, -1)], F.lit(0.0))
     return t.groupBy("__row", *keep).agg(F.avg(delta).alias("score")).drop("__row")
 

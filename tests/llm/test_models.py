@@ -157,6 +157,18 @@ def test_urls(spark):
     assert op8_urls.judge(lone).first().verdict == "allow"
 
 
+def test_url_grams_of_large_tables(spark, monkeypatch):
+    rare = spark.createDataFrame([("qzx", True), ("qzx", True)], "url_text string, accepted boolean")
+    many = spark.range(2000).select(F.repeat(F.lit("ab"), 400).alias("url_text"), (F.col("id") % 2 == 0).alias("accepted"))
+    model = op8_urls.train(many.unionByName(rare))  # 1.6 million characters
+    assert {"q", "qz", "qzx"} <= {r.gram for r in model.collect()}
+    urls = spark.createDataFrame([(1, "qzx"), (2, "abab"), (3, ""), (3, "")], "page_id long, url_text string")
+    found = lambda: sorted((r.page_id, r.score) for r in op8_urls.score(urls, model, ["page_id"]).collect())
+    want = found()
+    monkeypatch.setattr(op8_urls, "sized", lambda df: df)  # as if too large to broadcast
+    assert [i for i, _ in want] == [1, 2, 3, 3] and [x for _, x in found()] == pytest.approx([x for _, x in want])
+
+
 def mask(line):
     flat = re.sub(r"[\x20\x09-\x0D]+", " ", line).strip(" ")
     return re.sub(r"[^ ]*[0-9][^ ]*", "<*>", flat)
