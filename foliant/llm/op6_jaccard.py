@@ -268,11 +268,12 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(100 * F.col("both") >= percent * (F.size("a_items") + F.size("b_items") - F.col("both"))).select("a", "b")
 
 
-def jaccard_components(df: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, component_id, n_links): one row for each row of ``df`` (doc_id, text).
+def jaccard_components(df: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, count_links: bool = False) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component_id): one row for each row of ``df`` (doc_id, text).
 
-    component_id is the least doc_id reachable by links of similarity percent / 100 or more, itself included. n_links counts
-    the verified links of the document's class that connected its component (copies not counted).
+    component_id is the least doc_id reachable by links of similarity percent / 100 or more, itself included. With count_links
+    also n_links: to how many other classes the document's class links (copies not counted, nor classes without an id). That
+    verifies each pair of classes that the bounds allow, so its work is quadratic in a group of similar texts.
     Null and empty texts have no set and no links; copies and repeated rows share a class; texts with fewer words than a
     shingle are one shingle; an empty table gives no rows. Rows with a null doc_id never name a component.
     """
@@ -284,15 +285,21 @@ def jaccard_components(df: DataFrame, shingle: int = SHINGLE, percent: int = PER
     rows = df.select("text").mapInArrow(grams.frugal(_signature_rows(shingle, percent)), "c1 long, sig array<long>").select(F.explode("sig").alias("sig"), "c1")
     sorted_rows = rows.repartition("sig").sortWithinPartitions("sig", "c1")
     members = stash(sorted_rows.mapInArrow(grams.frugal(_buckets), "sig long, pivot long, c1 long"))
-    links, labels = link_classes(df, members, classes, shingle, percent)
-    return finish(feats, classes, links, labels)
+    sets = class_sets(df, members, classes, shingle)
+    labels = link_classes(members, sets, percent)
+    return finish(feats, classes, labels, all_links(members, labels, sets, percent) if count_links else None)
 
 
-def link_classes(df: DataFrame, members: DataFrame, classes: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def class_sets(df: DataFrame, members: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
+    """(c1, n, items, sketch) of the classes that share a bucket with another."""
     involved = stash(members.select("c1").distinct().join(classes.select("c1", "rep"), "c1").where("rep is not null"))
     ids = sized(involved.select(F.col("rep").alias("doc_id")).distinct())
     found = df.join(ids, "doc_id", "left_semi").mapInArrow(grams.frugal(_class_sets(shingle)), "c1 long, n long, items array<long>, sketch binary")
-    sets = stash(found.dropDuplicates(["c1"]))
+    return stash(found.dropDuplicates(["c1"]))
+
+
+def link_classes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, label) of the classes that links connect."""
     # Round 1: each class against the class that it meets in most buckets.
     met = members.where("c1 <> pivot").groupBy("c1", "pivot").agg(F.count(F.lit(1)).alias("k"))
     best = met.groupBy("c1").agg(F.max(F.struct("k", "pivot")).alias("m")).select(F.col("c1").alias("b"), F.col("m.pivot").alias("a"))
@@ -305,7 +312,12 @@ def link_classes(df: DataFrame, members: DataFrame, classes: DataFrame, shingle:
             break
         links = stash(links.unionByName(verify(more, sets, percent)))
         labels = stash(components(links))
-    return links, labels
+    return labels
+
+
+def all_links(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of every two classes that link: without labels no pair that shares a bucket counts as connected already."""
+    return stash(verify(stash(_residual(members, labels.where("false"), sets, percent, False)), sets, percent))
 
 
 def _residual(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, forest: bool) -> DataFrame:
@@ -319,15 +331,18 @@ def _residual(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: i
     return rest.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(grams.frugal(_compare(percent, forest)), "a long, b long").distinct()
 
 
-def finish(feats: DataFrame, classes: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
-    degree = links.select(F.col("a").alias("c")).unionByName(links.select(F.col("b").alias("c"))).groupBy("c").count().withColumnRenamed("count", "n_links")
+def finish(feats: DataFrame, classes: DataFrame, labels: DataFrame, links: DataFrame | None) -> DataFrame:
     named = classes.join(labels, classes["c1"] == labels["node"], "left").withColumn("label", F.coalesce("label", "c1"))
     least = named.groupBy("label").agg(F.min("rep").alias("component"))
-    linked = named.where("node is not null or rows > 1").select("label", F.col("c1").alias("k1"), F.col("c2").alias("k2"))
-    linked = linked.join(least, "label").join(degree, F.col("k1") == degree["c"], "left").select("k1", "k2", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    linked = named.where("node is not null or rows > 1").select("label", F.col("c1").alias("k1"), F.col("c2").alias("k2")).join(least, "label").select("k1", "k2", "component")
+    counted = []
+    if links is not None:
+        degree = links.select(F.col("a").alias("c")).unionByName(links.select(F.col("b").alias("c"))).groupBy("c").agg(F.count(F.lit(1)).alias("n_links"))
+        linked = linked.join(degree, F.col("k1") == degree["c"], "left").drop("c")
+        counted = [F.coalesce("n_links", F.lit(0)).alias("n_links")]
     linked = sized(stash(linked))
     out = feats.select("doc_id", "text_hash", "n_shingles", "c1", "c2").join(linked, (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")) & (F.col("n_shingles") > 0), "left")
-    return out.select("doc_id", "text_hash", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", "text_hash", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), *counted)
 
 
 def representatives(df: DataFrame, shingle: int, percent: int) -> DataFrame:

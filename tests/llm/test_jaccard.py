@@ -126,3 +126,19 @@ def test_residual_blocks(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in op6_jaccard.jaccard_components(df).collect())
     assert got == brute(rows)
+
+
+def test_all_links_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(op6_jaccard, "BLOCK", 5)
+    word = [f"w{i}" for i in range(200)]
+    alike = [" ".join([*word[:k], f"x{k}", *word[k + 1 :]]) for k in range(10, 190, 15)]
+    rows = [*near_copies(4, 15), *[(9000 + i, t) for i, t in enumerate([*alike, alike[0]])], (9990, None), (9991, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_links for r in op6_jaccard.jaccard_components(df, count_links=True).collect()}
+    sets = {i: shingle_set(t) for i, t in rows}
+
+    def links(s):
+        return sum(s != o and 100 * len(s & o) >= 85 * len(s | o) for o in set(sets.values()) if s and o)
+
+    assert got == {i: links(s) for i, s in sets.items()}
+    assert {got[9000 + i] for i in range(13)} == {11}
