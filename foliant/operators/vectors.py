@@ -68,6 +68,41 @@ def knn_batches(chunks: DataFrame, queries: np.ndarray, k: int, key: str = "id",
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def knn_join(chunks: DataFrame, queries: DataFrame, k: int, key: str = "id", vector: str = "embedding", block: int = 2048) -> DataFrame:
+    """(query, key, similarity, rank): the k nearest rows of ``chunks`` of every row of ``queries`` (same key and vector columns).
+
+    Blocked: each block of queries meets each block of rows in one matrix product that keeps k a query, and those that tie. The
+    number of blocks follows both row counts, so a task holds two blocks whatever the input.
+    """
+    ship(chunks.sparkSession)
+    take = lambda df: df.select(F.col(key).alias("k"), doubles(F.col(vector)).alias("v"))
+    rows, asked = take(chunks), take(queries)
+    n_rows, n_asked = (max(1, -(-t.count() // block)) for t in (rows, asked))
+    placed = lambda n: F.pmod(F.xxhash64("k"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    x = asked.select("k", "v", F.lit(True).alias("q"), placed(n_asked).alias("i"), every(n_rows).alias("j"))
+    y = rows.select("k", "v", F.lit(False).alias("q"), every(n_asked).alias("i"), placed(n_rows).alias("j"))
+    kind = chunks.schema[key].dataType.simpleString()
+
+    def compare(table):
+        q = table.column("q").to_numpy()
+        m = np.array(table.column("v").to_pylist(), float)
+        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+        left, right, ids = np.flatnonzero(q), np.flatnonzero(~q), table.column("k").combine_chunks()
+        a, b = np.zeros(0, int), np.zeros(0, int)
+        if len(left) and len(right):
+            sims = m[left] @ m[right].T
+            n = min(k, len(right))
+            kth = np.partition(sims, len(right) - n, axis=1)[:, len(right) - n, None]
+            a, b = np.nonzero(sims >= kth - 1e-12)  # rows that tie with it all go on
+            a, b = left[a], right[b]
+        return pa.table({"query": ids.take(pa.array(a)), key: ids.take(pa.array(b)), "similarity": pa.array(np.einsum("ij,ij->i", m[a], m[b]), pa.float64())})
+
+    near = x.unionByName(y).groupBy("i", "j").applyInArrow(compare, f"query {kind}, {key} {kind}, similarity double")
+    w = Window.partitionBy("query").orderBy(F.desc("similarity"), key)
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def file_vectors(chunks: DataFrame, file: str = "file_path", vector: str = "embedding") -> DataFrame:
     """(file, vec): the element-wise mean of a file's vectors; positions are averaged separately, so no group is collected whole."""
     each = chunks.select(file, F.posexplode(doubles(F.col(vector))).alias("pos", "v")).groupBy(file, "pos").agg(F.avg("v").alias("v"))

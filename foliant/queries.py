@@ -123,6 +123,12 @@ def knn_block(spark, d):
     return near.select(F.col("query").cast("long").alias("probe"), "id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+def knn_all_blocks(spark, d):
+    v = _vectors(spark, d)
+    near = vectors.knn_join(v, v.where("id % 20 = 0"), 5)
+    return near.select(F.col("query").alias("probe"), "id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
 def similar(spark, d):
     t = vectors.similar_files(_vectors(spark, d).withColumn("label", F.col("label").cast("string")), "0", 5, "label")
     return t.select("label", "id", F.round("similarity", 6).alias("similarity"))
@@ -460,6 +466,7 @@ QUERIES = {
     "knn_topk": knn,
     "knn_prefiltered": knn_prefiltered,
     "knn_query_block": knn_block,
+    "knn_query_blocks": knn_all_blocks,
     "query_similar_by_label": similar,
     "file_vector_meanpool": mean_pool,
     "dup_pairs_cosine": dup_pairs,
@@ -596,6 +603,8 @@ ORACLE = {
     "knn_prefiltered": f"WITH {_V} {_NEAR.format(w='label IN (1, 2)', k=10)}",
     "knn_query_block": f"""WITH {_V} SELECT a.id AS probe, b.id AS id, round(list_cosine_similarity(a.e, b.e), 6) AS similarity,
   CAST(row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.id) AS INT) AS rank FROM v a, v b WHERE a.id < 5 QUALIFY rank <= 5""",
+    "knn_query_blocks": f"""WITH {_V} SELECT a.id AS probe, b.id AS id, round(list_cosine_similarity(a.e, b.e), 6) AS similarity,
+  CAST(row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.id) AS INT) AS rank FROM v a, v b WHERE a.id % 20 = 0 QUALIFY rank <= 5""",
     "query_similar_by_label": f"""WITH {_V}, x AS (SELECT label, unnest(e) AS y, generate_subscripts(e, 1) AS i FROM v), m AS (SELECT list(y ORDER BY i) AS q FROM (SELECT i, avg(y) AS y FROM x WHERE label = 0 GROUP BY i)),
   z AS (SELECT CAST(label AS VARCHAR) AS label, id, list_cosine_similarity(e, m.q) AS s FROM v, m WHERE label <> 0 QUALIFY row_number() OVER (PARTITION BY label ORDER BY s DESC, id) = 1)
   SELECT label, id, round(s, 6) AS similarity FROM z ORDER BY s DESC, label LIMIT 5""",

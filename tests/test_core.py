@@ -155,3 +155,23 @@ def test_state(spark, tmp_path):
     assert sorted(r.n_events for r in debounce(e).collect()) == [2, 3]
     docs = spark.createDataFrame([("a", "x y x"), ("b", "")], "id string, text string")
     assert lexical.postings(docs).where("term = 'x'").first().tf == 2
+
+
+def test_knn_of_all_queries(spark):
+    import numpy as np
+
+    from foliant.operators import vectors
+
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(90, 6)).round(1)
+    m[40] = m[7]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, embedding array<double>")
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    for block in (4, 2048):
+        got = {(r.query, r["rank"]): (r.id, round(r.similarity, 9)) for r in vectors.knn_join(df, df.where("id % 20 = 0"), 3, block=block).collect()}
+        want = {}
+        for i in range(0, 90, 20):
+            near = sorted(range(90), key=lambda j: (-round(float(u[i] @ u[j]), 9), j))[:3]
+            want |= {(i, r + 1): (j, round(float(u[i] @ u[j]), 9)) for r, j in enumerate(near)}
+        assert got == want
+    assert vectors.knn_join(df, df.where("false"), 3).count() == vectors.knn_join(df.where("false"), df, 3).count() == 0
