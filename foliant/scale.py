@@ -7,13 +7,15 @@ import os
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager, suppress
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a measured side is broadcast (narrow rows: about 32 MB at 64 bytes each).
-BROADCAST_ROWS = 500_000
+#: Measured bytes up to which a side is broadcast. It is hashed in the driver and in each executor, at some three times this.
+BROADCAST_BYTES = 16 << 20
 
 _own_dir: str | None = None
 #: Stashes that ``release`` deletes.
@@ -21,11 +23,17 @@ _made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset a local master gets a temporary one; on a cluster, whose machines don't share one, that is an error.
+    """
     global _own_dir
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there:
         return there.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines share: master is {master}")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="foliant-")
         atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
@@ -33,12 +41,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stash(df: DataFrame, keep: bool = False) -> DataFrame:
-    """Write ``df`` once to shared storage and read it back: lineage is cut, lost executors lose nothing, later reads prune columns."""
+    """Write ``df`` once to shared storage and read it back: lineage is cut, lost executors lose nothing, later reads prune columns.
+
+    ``release`` and the end of a ``scratch`` block delete it, and so does the end of the program; with ``keep`` only the caller does.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     if not keep:
+        if not _made:
+            atexit.unregister(_release_rest)
+            atexit.register(_release_rest, spark)
         _made.append(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -56,9 +70,46 @@ def release(spark: SparkSession, paths: list[str] | None = None) -> None:
             _made.remove(p)
 
 
-def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows, else as it is (the join then shuffles). ``df`` should be cheap to count."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def _release_rest(spark: SparkSession) -> None:
+    with suppress(Exception):  # the JVM may be gone
+        release(spark)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Stashes made inside the block are deleted at its end: write the results inside."""
+    before = set(_made)
+    try:
+        yield
+    finally:
+        release(spark, [p for p in made() if p not in before])
+
+
+def value_bytes(value: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes in a hashed row."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType)):
+            return F.coalesce(F.aggregate(value, F.lit(24).cast("long"), lambda a, x: a + value_bytes(x, kind.elementType)), F.lit(8))
+        return 8 * F.coalesce(F.size(value), F.lit(0)) + 24
+    if isinstance(kind, T.StructType):
+        return sum((value_bytes(value[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    if isinstance(kind, T.MapType):
+        return value_bytes(F.map_keys(value), T.ArrayType(kind.keyType)) + value_bytes(F.map_values(value), T.ArrayType(kind.valueType))
+    return F.lit(8)
+
+
+def sized(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if its rows take at most ``limit`` bytes, else as it is: the join then shuffles.
+
+    No more rows are measured than may fit. ``df`` should be cheap to read twice: a stash.
+    """
+    limit = BROADCAST_BYTES if limit is None else limit
+    most = limit // (16 + 8 * len(df.columns))
+    width = sum((value_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16)).cast("long")
+    rows, total = df.limit(most + 1).agg(F.count(F.lit(1)), F.sum(width)).first()
+    return F.broadcast(df) if rows <= most and (total or 0) <= limit else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
