@@ -272,15 +272,17 @@ def jaccard_components(df: DataFrame, shingle: int = SHINGLE, percent: int = PER
     """(doc_id, text_hash, n_shingles, component_id): one row for each row of ``df`` (doc_id, text).
 
     component_id is the least doc_id reachable by links of similarity percent / 100 or more, itself included. With count_links
-    also n_links: to how many other classes the document's class links (copies not counted, nor classes without an id). That
-    verifies each pair of classes that the bounds allow, so its work is quadratic in a group of similar texts.
+    also n_links: to how many other classes the document's class links (copies not counted). That verifies each pair of classes
+    that the bounds allow, so its work is quadratic in a group of similar texts.
     Null and empty texts have no set and no links; copies and repeated rows share a class; texts with fewer words than a
-    shingle are one shingle; an empty table gives no rows. Rows with a null doc_id never name a component.
+    shingle are one shingle; an empty table gives no rows. Rows with a null doc_id link others but
+    never name a component; if no reachable row has an id, component_id is null. Only doc_id and text are read, so other input
+    columns can't clash.
     """
     ship(df.sparkSession)
     df = df.select("doc_id", "text", text_hash(F.col("text")).alias("text_hash"))
     feats = stash(df.mapInArrow(grams.frugal(_features(shingle)), "doc_id long, text_hash long, n_shingles long, c1 long, c2 long"))
-    classes = stash(feats.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("rows")))
+    classes = stash(feats.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.coalesce(F.min_by("text_hash", "doc_id"), F.min("text_hash")).alias("rep_text"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("rows")))
     # Texts are read again rather than all signatures stored: those take more space than the input.
     rows = df.select("text").mapInArrow(grams.frugal(_signature_rows(shingle, percent)), "c1 long, sig array<long>").select(F.explode("sig").alias("sig"), "c1")
     sorted_rows = rows.repartition("sig").sortWithinPartitions("sig", "c1")
@@ -291,10 +293,10 @@ def jaccard_components(df: DataFrame, shingle: int = SHINGLE, percent: int = PER
 
 
 def class_sets(df: DataFrame, members: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
-    """(c1, n, items, sketch) of the classes that share a bucket with another."""
-    involved = stash(members.select("c1").distinct().join(classes.select("c1", "rep"), "c1").where("rep is not null"))
-    ids = sized(involved.select(F.col("rep").alias("doc_id")).distinct())
-    found = df.join(ids, "doc_id", "left_semi").mapInArrow(grams.frugal(_class_sets(shingle)), "c1 long, n long, items array<long>, sketch binary")
+    """(c1, n, items, sketch) of the classes that share a bucket with another: from one row of each, which may have no doc_id."""
+    one = members.select("c1").distinct().join(classes.select("c1", "rep", "rep_text"), "c1").select("rep", "rep_text").distinct()
+    one = sized(stash(one))
+    found = df.join(one, df["doc_id"].eqNullSafe(one["rep"]) & (df["text_hash"] == one["rep_text"]), "left_semi").mapInArrow(grams.frugal(_class_sets(shingle)), "c1 long, n long, items array<long>, sketch binary")
     return stash(found.dropDuplicates(["c1"]))
 
 

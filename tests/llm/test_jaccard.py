@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foliant.llm import grams, op6_jaccard
 from foliant.llm.components import components
@@ -38,9 +39,9 @@ def brute(rows, k=4, percent=85):
                 root[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(sets):
-        r = find(i)
-        least[r] = min(x for x in (least.get(r), d) if x is not None) if d is not None or r in least else d
-    return sorted((d, len(s), least[find(i)]) for i, (d, s) in enumerate(sets) if d is not None)
+        if d is not None:
+            least[find(i)] = min(least.get(find(i), d), d)
+    return sorted((d, len(s), least.get(find(i))) for i, (d, s) in enumerate(sets) if d is not None)
 
 
 def near_copies(seed, n_groups=30):
@@ -109,6 +110,25 @@ def test_odd(spark):
     assert {(r.doc_id, r.component_id) for r in op6_jaccard.jaccard_components(one).collect()} == {(None, 4), (4, 4), (7, 4)}
 
 
+def test_texts_without_an_id_link_others(spark):
+    word = [f"w{i}" for i in range(60)]
+    a, b, middle = [*word[:56], "x", "y", "z", "u"], ["p", "q", "r", "s", *word[4:]], word
+    assert [len(x & y) / len(x | y) >= 0.85 for x, y in ((shingle_set(" ".join(a)), shingle_set(" ".join(middle))), (shingle_set(" ".join(a)), shingle_set(" ".join(b))))] == [True, False]
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (None, " ".join(middle)), (None, " ".join(middle)), (None, "alone in its class here"), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component_id", F.lit("clash")).withColumn("rep", F.lit(1))
+    got = [(r.doc_id, r.component_id) for r in op6_jaccard.jaccard_components(df).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1), (2, 1), (None, 1), (None, 1), (None, None), (7, 7)], key=str)
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_hubs(spark, monkeypatch, limit):
+    if limit is not None:
+        monkeypatch.setattr("foliant.scale.BROADCAST_BYTES", limit)
+    star = [(1000, i) for i in range(400)] + [(2000, 399), (2000, 2001)]
+    got = {r.node: r.label for r in components(spark.createDataFrame(star, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(400)}, 1000: 0, 2000: 0, 2001: 0}
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 140)]
