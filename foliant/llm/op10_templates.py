@@ -2,8 +2,9 @@
 
 A line goes down the tree by its token count, then by its leading tokens (tokens with a digit are variable). In a leaf that
 enough documents reach, tokens that are frequent at their position stay and all others become variable; the outcome is the
-line's template. Lines are dropped if enough of their tokens are fixed and enough documents hold the template. Copies of one
-text count as one document. DataFrame expressions only; tokens are exploded for the distinct lines of busy leaves alone.
+line's template. Lines are dropped if enough of their tokens are fixed and enough documents hold the template. Copies and near
+copies of one text count as one document there. DataFrame expressions only; tokens are exploded for the distinct lines of busy
+leaves alone.
 """
 
 from __future__ import annotations
@@ -11,18 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.op4_quality import let
+from foliant.llm.folding import let, near_copy_classes
 from foliant.scale import read_table, sized, stash
 
 #: Leading tokens on the path to a leaf.
 LEADING = 2
-#: Documents that make a leaf busy, a token frequent and a template recurrent.
+#: Texts that make a leaf busy and a token fixed, documents that make a template recurrent, whatever the table's size.
 MIN_DOCS = 10
-#: A frequent token is in this share of its leaf's documents too.
-TOKEN_SHARE = 0.01
-#: Least share of fixed tokens, and least tokens, of a line that may be dropped.
+#: Least share of fixed tokens of a line that may be dropped.
 SIMILARITY = 0.6
-MIN_TOKENS = 4
 ANY = "<*>"
 
 
@@ -44,14 +42,14 @@ def masked(line: Column) -> Column:
 
 
 def line_leaves(text: Column) -> Column:
-    """Array of (n, leaf, flat) for the lines that have MIN_TOKENS tokens or more."""
+    """Array of (n, leaf, flat) for the lines that hold a token; a line of one token has only that on its path."""
 
     def of(x: Column) -> Column:
         n = F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
         return F.struct(n.alias("n"), F.xxhash64(n, variable(F.substring_index(x, " ", LEADING))).alias("leaf"), x.alias("flat"))
 
-    lines = F.transform(F.split(text, "\n"), spaced)
-    return F.filter(F.transform(lines, of), lambda s: (s["n"] >= MIN_TOKENS))
+    lines = F.filter(F.transform(F.split(text, "\n"), spaced), lambda x: x != "")
+    return F.transform(lines, of)
 
 
 def text_hash(text: Column) -> Column:
@@ -59,39 +57,45 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(t, F.length(t))
 
 
-def recurrent_lines(df: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, token_share: float = TOKEN_SHARE) -> tuple[DataFrame, DataFrame]:
+def recurrent_lines(df: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(lines, held): ``lines`` (h, template, n_docs) to drop, ``held`` (h, text_hash) of lines in busy leaves."""
     t = df.select(text_hash(F.col("text")).alias("text_hash"), line_leaves(F.coalesce("text", F.lit(""))).alias("keys"))
     # explode_outer: for explode the optimiser would add a filter that computes the keys once more.
     leaves = t.select("text_hash", F.explode_outer(F.array_distinct(F.transform("keys", lambda x: x["leaf"]))).alias("leaf")).where("leaf is not null")
-    # Copies of a text meet in (leaf, text_hash) before documents are counted.
-    busy = leaves.distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("leaf_docs")).where(F.col("leaf_docs") >= min_docs)
+    # Copies of a text meet in (leaf, text_hash) before texts are counted.
+    busy = leaves.distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("leaf_docs")).where(F.col("leaf_docs") >= min_docs).select("leaf")
     busy = sized(stash(busy))
     each = t.select("text_hash", F.explode_outer("keys").alias("x")).where("x is not null").select("text_hash", "x.leaf", "x.n", "x.flat")
     each = each.join(busy, "leaf").withColumn("line", variable(F.col("flat"))).withColumn("h", F.xxhash64("line"))
-    held = stash(each.groupBy("h", "text_hash").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.first("line").alias("line"), F.first("leaf_docs").alias("leaf_docs")))
-    lines = stash(held.groupBy("h").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.first("line").alias("line"), F.first("leaf_docs").alias("leaf_docs"), F.count(F.lit(1)).alias("docs")))
-    tokens = lines.select("h", "leaf", "n", "leaf_docs", "docs", F.posexplode(F.split("line", " ")).alias("pos", "token")).where(F.col("token") != ANY)
-    fixed = tokens.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("token_docs"), F.first("leaf_docs").alias("ld")).where((F.col("token_docs") >= min_docs) & (F.col("token_docs") >= token_share * F.col("ld")))
-    fixed = fixed.select("leaf", "pos", "token")
+    held = stash(each.groupBy("h", "text_hash").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.first("line").alias("line")))
+    lines = stash(held.groupBy("h").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.first("line").alias("line"), F.count(F.lit(1)).alias("docs")))
+    tokens = lines.select("h", "leaf", "n", "docs", F.posexplode(F.split("line", " ")).alias("pos", "token")).where(F.col("token") != ANY)
+    fixed = tokens.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("token_docs")).where(F.col("token_docs") >= min_docs).select("leaf", "pos", "token")
     kept = tokens.join(sized(stash(fixed)), ["leaf", "pos", "token"], "left_semi").groupBy("h", "leaf", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("tokens"))
     kept = kept.where(F.size("tokens") >= similarity * F.col("n")).select("h", F.xxhash64("leaf", "tokens").alias("template"))
     kept = sized(stash(kept))
-    recur = held.select("h", "text_hash").join(kept, "h").select("template", "text_hash").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs)
-    return kept.join(recur, "template"), held.select("h", "text_hash")
+    # Templates that enough texts hold; only these texts are read again, for their classes.
+    holders = stash(held.select("h", "text_hash").join(kept, "h").select("template", "text_hash").distinct())
+    often = sized(stash(holders.groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("template")))
+    holders = holders.join(often, "template", "left_semi")
+    keys = sized(stash(holders.select(F.col("text_hash").alias("key")).distinct()))
+    texts = df.select(F.lit(0).alias("grp"), text_hash(F.col("text")).alias("key"), "text").join(keys, "key", "left_semi")
+    classes = sized(stash(near_copy_classes(texts).select(F.col("key").alias("text_hash"), "label")))
+    recur = holders.join(classes, "text_hash").select("template", "label").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs)
+    return kept.join(sized(stash(recur)), "template"), held.select("h", "text_hash")
 
 
 def drop_recurrent(df: DataFrame, **limits) -> DataFrame:
     """All rows and columns of ``df``; ``text`` without the recurrent lines, and n_lines (with a token), n_dropped, dropped_words.
 
     Null texts stay null and empty ones empty, without lines; repeated rows and copies are treated alike; an empty table gives
-    no rows; input columns named like the results are replaced.
+    no rows; input columns named like the results are replaced; names that begin with two underscores are the operator's own.
     """
     df = df.drop("n_lines", "n_dropped", "dropped_words")
     lines, held = recurrent_lines(df, **limits)
     lines = sized(stash(lines))
     per = held.join(lines, "h").groupBy("text_hash").agg(F.collect_set("h").alias("__drop")).withColumnRenamed("text_hash", "__th")
-    per = sized(stash(per), 100_000)
+    per = sized(stash(per))
     t = df.withColumn("__hash", text_hash(F.col("text"))).join(per, F.col("__hash") == F.col("__th"), "left")
     every = F.split(F.coalesce("text", F.lit("")), "\n")
     flagged = F.when(F.col("__drop").isNotNull(), F.transform(every, lambda x: F.struct(x.alias("x"), F.array_contains("__drop", F.xxhash64(masked(x))).alias("d"))))

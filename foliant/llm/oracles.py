@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that it can express, over whole tables and texts; strings stand where the operators hash."""
 
-from foliant.llm import op4_quality, op6_jaccard, op9_decontamination, op10_templates
+from foliant.llm import folding, op4_quality, op6_jaccard, op9_decontamination, op10_templates
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -12,15 +12,26 @@ def _words(text: str, kind: str = _WORD) -> str:
     return f"regexp_extract_all({text}, '{kind}')"
 
 
+def _classes(texts: str) -> str:
+    """CTEs that end in cls (grp, t, label) for the texts (grp, t) of the table ``texts``: near copies have one label."""
+    return f"""kw AS (SELECT grp, t, md5(t) AS own, {_words("t")} AS w FROM (SELECT DISTINCT grp, t FROM {texts})),
+  kw2 AS (SELECT grp, t, own, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - {folding.SHINGLE - 2}, 2)), lambda i: left(md5(array_to_string(w[i:i + {folding.SHINGLE - 1}], ' ')), 16))))[1:{folding.SKETCH}] AS sk FROM kw WHERE len(w) > 0),
+  kx AS (SELECT *, unnest(sk) AS v FROM kw2),
+  kf AS (SELECT grp, v, own AS f_own, sk AS f_sk FROM kx QUALIFY row_number() OVER (PARTITION BY grp, v ORDER BY own) = 1),
+  kl AS (SELECT kx.grp, t, min(f_own) AS label FROM kx JOIN kf ON kx.grp IS NOT DISTINCT FROM kf.grp AND kx.v = kf.v WHERE own > f_own AND 2 * len(list_intersect(sk, f_sk)) >= greatest(len(sk), len(f_sk)) GROUP BY kx.grp, t),
+  cls AS (SELECT kw.grp, kw.t, coalesce(label, own) AS label FROM kw LEFT JOIN kl ON kw.grp IS NOT DISTINCT FROM kl.grp AND kw.t = kl.t)"""
+
+
 LINE_FREQUENCY = f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, {_words("coalesce(text, '')")} AS w, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
   win AS (SELECT doc_id, i, array_to_string(w[i:i + {op4_quality.WINDOW - 1}], ' ') AS s FROM d, unnest(range(1, len(w) - {op4_quality.WINDOW - 2})) u(i)),
   twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
   rep AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM twice, range({op4_quality.WINDOW}) r(j) GROUP BY doc_id),
   line AS (SELECT doc_id, source, t, x, trim(regexp_replace(lower(x), '{_SPACE}', ' ', 'g'), ' ') AS h FROM (SELECT doc_id, source, t, unnest(lines) AS x FROM d) WHERE regexp_matches(x, '{_WORD}')),
   dup AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n_dup_lines FROM line GROUP BY doc_id),
-  host AS (SELECT source, count(DISTINCT t) AS n_docs FROM d GROUP BY source),
-  freq AS (SELECT line.source, h FROM line JOIN host ON line.source IS NOT DISTINCT FROM host.source GROUP BY line.source, h, n_docs
-    HAVING count(DISTINCT t) > {op4_quality.LINE_DOCS} AND count(DISTINCT t) > {op4_quality.LINE_SHARE}::DOUBLE * n_docs),
+  often AS (SELECT source, h FROM line GROUP BY source, h HAVING count(DISTINCT t) > {op4_quality.LINE_DOCS}),
+  holder AS (SELECT DISTINCT line.source AS grp, t, line.h FROM line JOIN often ON line.source IS NOT DISTINCT FROM often.source AND line.h = often.h),
+  {_classes("holder")},
+  freq AS (SELECT holder.grp AS source, h FROM holder JOIN cls ON holder.grp IS NOT DISTINCT FROM cls.grp AND holder.t = cls.t GROUP BY holder.grp, h HAVING count(DISTINCT label) > {op4_quality.LINE_DOCS}),
   gone AS (SELECT doc_id, sum(len({_words("x")}))::BIGINT AS words_removed FROM line JOIN freq ON line.source IS NOT DISTINCT FROM freq.source AND line.h = freq.h GROUP BY doc_id),
   b AS (SELECT d.doc_id, len(w) AS n_words, length(translate(t, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ', '')) AS word_chars, length(t) - length(translate(t, '{op4_quality.SYMBOLS}', '')) AS n_symbols,
     coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(words_removed, 0) AS words_removed
@@ -51,13 +62,15 @@ POSITIONAL_INDEX = f"""WITH d AS (SELECT doc_id, coalesce({_words(_LOWER.format(
 LINE_TEMPLATES = f"""WITH d AS (SELECT doc_id, text, coalesce(text, '') AS t FROM documents),
   raw AS (SELECT doc_id, t, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d),
   line AS (SELECT *, list_transform(string_split(trim(regexp_replace(x, '{_SPACE}', ' ', 'g'), ' '), ' '), lambda v: CASE WHEN regexp_matches(v, '[0-9]') THEN '{op10_templates.ANY}' ELSE v END) AS m FROM raw),
-  held AS (SELECT DISTINCT t, m, (len(m) || ' ' || array_to_string(m[1:{op10_templates.LEADING}], ' ')) AS leaf FROM line WHERE len(m) >= {op10_templates.MIN_TOKENS}),
-  busy AS (SELECT leaf, count(DISTINCT t) AS leaf_docs FROM held GROUP BY leaf HAVING count(DISTINCT t) >= {op10_templates.MIN_DOCS}),
-  lines AS (SELECT leaf, m, leaf_docs, count(*) AS docs FROM held JOIN busy USING (leaf) GROUP BY leaf, m, leaf_docs),
-  tok AS (SELECT leaf, m, leaf_docs, docs, unnest(m) AS token, generate_subscripts(m, 1) AS pos FROM lines),
-  fixed AS (SELECT leaf, pos, token FROM tok WHERE token <> '{op10_templates.ANY}' GROUP BY leaf, pos, token, leaf_docs HAVING sum(docs) >= {op10_templates.MIN_DOCS} AND sum(docs) >= {op10_templates.TOKEN_SHARE}::DOUBLE * leaf_docs),
+  held AS (SELECT DISTINCT t, m, (len(m) || ' ' || array_to_string(m[1:{op10_templates.LEADING}], ' ')) AS leaf FROM line WHERE m[1] <> ''),
+  busy AS (SELECT leaf FROM held GROUP BY leaf HAVING count(DISTINCT t) >= {op10_templates.MIN_DOCS}),
+  lines AS (SELECT leaf, m, count(*) AS docs FROM held JOIN busy USING (leaf) GROUP BY leaf, m),
+  tok AS (SELECT leaf, m, docs, unnest(m) AS token, generate_subscripts(m, 1) AS pos FROM lines),
+  fixed AS (SELECT leaf, pos, token FROM tok WHERE token <> '{op10_templates.ANY}' GROUP BY leaf, pos, token HAVING sum(docs) >= {op10_templates.MIN_DOCS}),
   kept AS (SELECT leaf, m, leaf || chr(10) || string_agg(pos || ' ' || token, chr(10) ORDER BY pos) AS template FROM tok JOIN fixed USING (leaf, pos, token) GROUP BY leaf, m HAVING count(*) >= {op10_templates.SIMILARITY}::DOUBLE * len(m)),
-  recur AS (SELECT template FROM held JOIN kept USING (leaf, m) GROUP BY template HAVING count(DISTINCT t) >= {op10_templates.MIN_DOCS}),
+  holder AS (SELECT DISTINCT 0 AS grp, t, template FROM held JOIN kept USING (leaf, m)),
+  {_classes("holder")},
+  recur AS (SELECT template FROM holder JOIN cls USING (t) GROUP BY template HAVING count(DISTINCT label) >= {op10_templates.MIN_DOCS}),
   out AS (SELECT doc_id, x, i, kept.m IS NOT NULL AS gone FROM line LEFT JOIN (SELECT m FROM kept JOIN recur USING (template)) kept ON line.m = kept.m)
   SELECT doc_id, CASE WHEN bool_or(gone) THEN coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT gone), '') ELSE any_value(text) END AS text, count(*) FILTER (regexp_matches(x, '{_WORD}')) AS n_lines,
     count(*) FILTER (gone) AS n_dropped, coalesce(sum(len({_words("x")})) FILTER (gone), 0)::BIGINT AS dropped_words FROM out JOIN d USING (doc_id) GROUP BY doc_id"""

@@ -12,6 +12,7 @@ import regex
 from pyspark.sql import functions as F
 
 from foliant.llm import op2_tokens, op5_language, op7_toxicity, op8_urls, op10_templates
+from tests.llm.test_native_ops import brute_classes
 
 BIG = "/root/testdata/sf0.01"
 ODD = [(1, None), (2, ""), (3, "!!! 123"), (4, "a"), (5, "word " * 20000), (6, "x" * 5000), (7, "naïve Été  \n\n ok"), (7, "naïve Été  \n\n ok"), (None, "the end of it")]
@@ -180,7 +181,7 @@ def plain_templates(rows):
     for _, t in rows:
         for x in (t or "").split("\n"):
             m = tuple(mask(x).split(" "))
-            if len(m) >= 4:
+            if m != ("",):
                 leaf_docs[leaf(m)].add(t)
                 held_lines[m].add(t)
     held_lines = {m: d for m, d in held_lines.items() if len(leaf_docs[leaf(m)]) >= 10}
@@ -191,11 +192,12 @@ def plain_templates(rows):
                 count[leaf(m), i, w] += len(d)
     docs, template = defaultdict(set), {}
     for m, d in held_lines.items():
-        fixed = tuple((i, w) for i, w in enumerate(m) if count[leaf(m), i, w] >= max(10, 0.01 * len(leaf_docs[leaf(m)])))
+        fixed = tuple((i, w) for i, w in enumerate(m) if count[leaf(m), i, w] >= 10)
         if len(fixed) >= 0.6 * len(m):
             template[m] = (leaf(m), fixed)
             docs[template[m]] |= d
-    drop = {m for m, t in template.items() if len(docs[t]) >= 10}
+    label = brute_classes({t for d in docs.values() for t in d if len(d) >= 10})
+    drop = {m for m, t in template.items() if len(docs[t]) >= 10 and len({label[x] for x in docs[t]}) >= 10}
     out = []
     for i, t in rows:
         ls = (t or "").split("\n")
@@ -209,10 +211,16 @@ def test_templates(spark):
     got = sorted((tuple(r) for r in op10_templates.query(spark, BIG).collect()), key=str)
     assert got == plain_templates(rows)
     log = [(1000 + i, f"unique start {'abcdefghijklmnopq'[i]}{i}\nuser u{i} logged in from host{i} today\nplain line number {'abcdefghijklmnopq'[i]}") for i in range(17)]
-    rows = [*ODD, *log, *[(2000 + i, "copied text that recurs only as one text") for i in range(30)]]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_dropped", F.lit("clash"))
+    body = [" ".join(f"b{chr(97 + k)}{chr(97 + j)}" for j in range(12)) for k in range(10)]
+    near = ["\n".join([*body[: i % 10], body[i % 10] + f" changed {i}", *body[i % 10 + 1 :]]) for i in range(40)]
+    short = [(4000 + i, f"{' '.join(f'own{chr(97 + i)}{chr(97 + j)}' for j in range(20))}\nMenu\nHome page\nAll rights reserved.") for i in range(12)]
+    rows = [*ODD, *log, *[(2000 + i, "copied text that recurs only as one text") for i in range(30)], *[(3000 + i, t) for i, t in enumerate(near)], *short]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("n_lines", "n_dropped", "dropped_words", "h", "leaf", "template", "key", "text_hash"):
+        df = df.withColumn(name, F.lit("clash"))
     got = sorted((tuple(r) for r in op10_templates.drop_recurrent(df).select("doc_id", "text", "n_lines", "n_dropped", "dropped_words").collect()), key=str)
     assert got == plain_templates(rows)
     by = {r[0]: r for r in got}
     assert all(by[1000 + i][3] >= 1 for i in range(17)) and all(by[2000 + i][3] == 0 for i in range(30))
+    assert all(by[3000 + i][3] == 0 for i in range(40)) and all(by[4000 + i][3] == 3 for i in range(12))
     assert op10_templates.drop_recurrent(df.where("false")).count() == 0

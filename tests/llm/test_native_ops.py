@@ -1,5 +1,6 @@
 """Sharding, mixing and quality rules against plain versions."""
 
+import hashlib
 import re
 from collections import Counter, defaultdict
 
@@ -103,6 +104,22 @@ def test_highest_quotients(spark):
     assert got == {p[1]: sum(x == p[1] for _, x in q) for p in parties}
 
 
+def brute_classes(texts):
+    """Text -> label: the first text, by digest, of a bucket that shares half the larger sketch."""
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    sketch, first = {}, {}
+    for t in texts:
+        w = WORD.findall(t)
+        sketch[t] = sorted({md5(" ".join(w[i : i + 5]))[:16] for i in range(max(1, len(w) - 4))})[:8] if w else []
+        for v in sketch[t]:
+            first[v] = min(first.get(v, t), t, key=md5)
+    label = {}
+    for t, s in sketch.items():
+        near = [f for f in map(first.get, s) if 2 * len(set(s) & set(sketch[f])) >= max(len(s), len(sketch[f]))]
+        label[t] = min(map(md5, [t, *near]))
+    return label
+
+
 def brute_quality(rows):
     out, seen, hosts = {}, defaultdict(set), defaultdict(set)
     norm = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", x.lower()).strip(" ")
@@ -112,7 +129,9 @@ def brute_quality(rows):
         for x in t.split("\n"):
             if WORD.search(x):
                 seen[s, norm(x)].add(t)
-    bad = {k for k, v in seen.items() if len(v) > 10 and len(v) > 0.05 * len(hosts[k[0]])}
+    often = {k: v for k, v in seen.items() if len(v) > 10}
+    labels = {s: brute_classes({t for k, v in often.items() if k[0] == s for t in v}) for s in hosts}
+    bad = {k for k, v in often.items() if len({labels[k[0]][t] for t in v}) > 10}
     for i, t, s in rows:
         t = t or ""
         w = WORD.findall(t)
@@ -143,8 +162,23 @@ def test_quality_planted(spark):
     rows = [(i, f"{b}\nthe same  Footer line of all" if i < 20 else b, "h" if i % 2 else None) for i, b in enumerate(body)]
     rows += [(100 + i, "The same footer line of all\n" * 1 + "tiny rest " + " ".join("the same footer line of all".split()) + f"\n{i}", "h") for i in range(3)]
     rows += [(i, t, s) for i, t, s in rows[:5]] + [(200, None, "h"), (201, "", "h")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("kept", F.lit("clash"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for name in (*op4_quality.RESULTS, "h", "x", "n"):
+        df = df.withColumn(name, F.lit("clash"))
     got = {r.doc_id: (r.kept, r.words_removed) for r in op4_quality.quality_verdicts(df).collect()}
     want = brute_quality(rows)
     assert got == {k: (v[6], v[7]) for k, v in want.items()}
     assert op4_quality.quality_verdicts(df.where("false")).count() == 0
+
+
+def test_near_copies_keep_their_lines(spark):
+    """A text's many variants, a third of a host's rows, are one document; a line of 200 unlike documents goes on a large host too."""
+    word = lambda a, b: " ".join(f"w{a}x{i}" for i in range(b))
+    base = [word(f"base{k}", 12) for k in range(10)]
+    rows = [(i, "\n".join([*base[: i % 10], f"{base[i % 10]} changed{i}", *base[i % 10 + 1 :]]), "hot") for i in range(300)]
+    rows += [(1000 + i, f"{word(i, 25)}\n" + ("read more of this here now" if i < 200 else word(f"own{i}", 6)), "hot") for i in range(5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.kept, r.words_removed) for r in op4_quality.quality_verdicts(df).collect()}
+    assert {got[i] for i in range(300)} == {(True, 0)}
+    assert {got[1000 + i] for i in range(200)} == {(True, 6)} and {got[1000 + i] for i in range(200, 5000)} == {(True, 0)}
+    assert got == {k: (v[6], v[7]) for k, v in brute_quality(rows).items()}
