@@ -1,7 +1,7 @@
 """Sharding by Hilbert-curve order: quantise metadata dimensions, sort by curve index, cut equal runs.
 
 All steps are DataFrame expressions. What reaches the driver: one row of minima and maxima, and one row of quantile cuts.
-What is broadcast: the table of curve cells, at most 2 ** (bits * dimensions) rows.
+The table of curve cells, at most 2 ** (bits * dimensions) rows, is broadcast if its measured size allows.
 """
 
 from __future__ import annotations
@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliant.llm.folding import let
 from foliant.llm.ordering import prefix_offsets
-from foliant.scale import read_table
+from foliant.scale import read_table, sized, stash
 
 #: Bits a dimension: 32 bands each, so three dimensions give at most 32,768 cells.
 BITS = 5
@@ -33,18 +34,30 @@ def hilbert_index(coords: Column, n: int, bits: int = BITS) -> Column:
         xi, x0 = at(x, s["i"]), at(x, F.lit(0))
         inverted = xi.bitwiseAND(s["q"]) != 0
         t = F.when(inverted, F.lit(0)).otherwise(x0.bitwiseXOR(xi).bitwiseAND(p))
-        first = F.when(inverted, x0.bitwiseXOR(p)).otherwise(x0.bitwiseXOR(t))
-        return F.transform(x, lambda v, j: F.when(j == 0, first).when(j == s["i"], v.bitwiseXOR(t)).otherwise(v))
+        return let(t, lambda t: F.transform(x, lambda v, j: F.when(j == 0, F.when(inverted, x0.bitwiseXOR(p)).otherwise(x0.bitwiseXOR(t))).when(j == s["i"], v.bitwiseXOR(t)).otherwise(v)))
+
+    def gray(x: Column) -> Column:
+        """Each coordinate takes up the exclusive or of those before it."""
+        start = F.struct(F.lit(0).alias("last"), F.array().cast(ints).alias("all"))
+
+        def step(a: Column, v: Column) -> Column:
+            return let(a["last"].bitwiseXOR(v), lambda w: F.struct(w.alias("last"), F.concat(a["all"], F.array(w)).alias("all")))
+
+        return F.aggregate(x, start, step, lambda a: a["all"])
+
+    def flip(x: Column) -> Column:
+        """What the last coordinate's high bits turn over in all of them."""
+        low = at(x, F.lit(n - 1))
+        flips = reduce(lambda a, b: a.bitwiseXOR(b), [F.when(low.bitwiseAND(F.lit(1 << b)) != 0, F.lit((1 << b) - 1)).otherwise(F.lit(0)) for b in range(1, bits)], F.lit(0))
+        return let(flips, lambda f: F.transform(x, lambda v: v.bitwiseXOR(f)))
+
+    def interleaved(digits: Column) -> Column:
+        places = F.array(*[F.struct(F.lit(1 << b).alias("q"), F.lit(i).alias("i")) for b in range(bits - 1, -1, -1) for i in range(n)])
+        bit = lambda s: F.when(at(digits, s["i"]).bitwiseAND(s["q"]) != 0, F.lit(1)).otherwise(F.lit(0))
+        return F.aggregate(places, F.lit(0).cast("long"), lambda a, s: a * 2 + bit(s))
 
     turned = F.aggregate(steps, coords.cast(ints), turn) if bits > 1 else coords.cast(ints)
-    # Gray code: each coordinate takes up the exclusive or of those before it.
-    gray = F.transform(turned, lambda _, j: F.aggregate(F.slice(turned, F.lit(1), j + 1), F.lit(0), lambda a, v: a.bitwiseXOR(v)))
-    low = at(gray, F.lit(n - 1))
-    flips = reduce(lambda a, b: a.bitwiseXOR(b), [F.when(low.bitwiseAND(F.lit(1 << b)) != 0, F.lit((1 << b) - 1)).otherwise(F.lit(0)) for b in range(1, bits)], F.lit(0))
-    digits = F.transform(gray, lambda v: v.bitwiseXOR(flips))
-    places = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(i).alias("i")) for b in range(bits - 1, -1, -1) for i in range(n)])
-    bit = lambda s: F.pmod(F.floor(at(digits, s["i"]) / F.pow(F.lit(2.0), s["b"])), F.lit(2))
-    return F.aggregate(places, F.lit(0).cast("long"), lambda a, s: a * 2 + bit(s).cast("long"))
+    return let(turned, lambda t: let(gray(t), lambda g: let(flip(g), interleaved)))
 
 
 def _number(df: DataFrame, name: str, skip: dict[str, int]) -> Column:
@@ -82,7 +95,8 @@ def hilbert_shards(df: DataFrame, n_shards: int = SHARDS, dimensions=DIMENSIONS,
 
     Rows are ordered by the Hilbert index of their (source, lang, size) cell, so a shard spans few values of each dimension;
     shard row counts differ by one at most. Within a cell the order is a seeded hash of ``ties``. One shuffle of the rows.
-    Nulls take the first band; equal rows may trade places; an empty table gives no rows; input columns named shard or slot are replaced.
+    Nulls take the first band; equal rows may trade places; an empty table gives no rows; input columns named shard or slot are
+    replaced; names that begin with two underscores are the operator's own.
     """
     df = df.drop("shard", "slot")
     t = df.withColumn("__cell", curve_cells(df, dimensions, bits))
@@ -97,7 +111,7 @@ def hilbert_shards(df: DataFrame, n_shards: int = SHARDS, dimensions=DIMENSIONS,
         F.sum("__n").over(Window.partitionBy()).alias("__total"),
     )
     placed = prefix_offsets(t, "__cell", F.lit(1), [F.col(f"`{c}`") for c in ties], 17, "__off")
-    placed = placed.join(F.broadcast(cells), placed["__cell"] == cells["__key"])
+    placed = placed.join(sized(stash(cells)), F.col("__cell") == F.col("__key"))
     at = F.col("__first") + F.col("__off")
     placed = placed.withColumn("__at", at).withColumn("shard", F.expr(f"int((__at * {n_shards}) div __total)"))
     slot = F.col("__at") - F.expr(f"(shard * __total + {n_shards - 1}) div {n_shards}")

@@ -108,46 +108,64 @@ def apportion(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, n
     return targets, sized(stash(block_plan(targets, n_shards, max_epochs, seed)))
 
 
+#: What ``mix`` adds; input columns of these names are replaced.
+RESULTS = ("source_size", "target", "taken", "shards")
+
+
 def mix(rows: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, n_shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, size, ...) with source_size, target, ``taken`` (words the mix takes, repeats counted), ``shards`` (where the
-    first word's block goes).
+    """All columns of ``rows`` (doc_id, source, size, ...) with source_size, target, ``taken`` (words the mix takes, repeats
+    counted), ``shards`` (where the first word's block goes).
 
     Document order within a source is a hash of the seed, doc_id and size, so reruns agree; equal rows are interchangeable.
-    Documents of size 0 take nothing. An empty table gives no rows. No document is taken more than max_epochs times.
-    ``rows`` is read several times: pass a stash of the few columns.
+    Null sources form one source, the last. Documents of size 0 take nothing. An empty table gives no rows. No document is taken
+    more than max_epochs times. Input columns named like a result (RESULTS) are replaced; names that begin with two underscores
+    are the operator's own. ``rows`` is read several times: pass a stash of the few columns.
     """
+    rows = rows.drop(*RESULTS)
     targets, plan = apportion(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs, n_shards, seed)
-    small = sized(targets.select(F.col("source").alias("__source"), "source_size", "target", "party", "block"))
+    small = sized(targets.select(F.col("source").alias("__source"), F.col("source_size").alias("__total"), F.col("target").alias("__target"), F.col("party").alias("__party"), F.col("block").alias("__block")))
     t = rows.join(small, rows["source"].eqNullSafe(F.col("__source")))
-    t = prefix_offsets(t, "party", F.col("size"), [F.col("doc_id"), F.col("size")], seed, "__a")
+    t = prefix_offsets(t, "__party", F.col("size"), [F.col("doc_id"), F.col("size")], seed, "__a")
     t = t.withColumn("__e", F.col("__a") + F.col("size"))
-    t = t.withColumn("__f", F.expr("case when size > 0 then int(__a div block) end")).withColumn("__l", F.expr("case when size > 0 then int((__e - 1) div block) end"))
-    first = plan.select(F.col("party").alias("__fp"), F.col("number").alias("__fn"), F.col("times").alias("__ft"), F.col("before").alias("__fb"), "shards")
+    t = t.withColumn("__f", F.expr("case when size > 0 then int(__a div __block) end")).withColumn("__l", F.expr("case when size > 0 then int((__e - 1) div __block) end"))
+    first = plan.select(F.col("party").alias("__fp"), F.col("number").alias("__fn"), F.col("times").alias("__ft"), F.col("before").alias("__fb"), F.col("shards").alias("__fs"))
     last = plan.select(F.col("party").alias("__lp"), F.col("number").alias("__ln"), F.col("times").alias("__lt"), F.col("before").alias("__lb"))
-    t = t.join(first, (t["party"] == first["__fp"]) & (t["__f"] == first["__fn"]), "left").join(last, (F.col("party") == last["__lp"]) & (F.col("__l") == last["__ln"]), "left")
-    upto = lambda at, number, before, times: F.col(before) + (F.col(at) - F.col(number) * F.col("block")) * F.col(times)
+    t = t.join(first, (F.col("__party") == F.col("__fp")) & (F.col("__f") == F.col("__fn")), "left").join(last, (F.col("__party") == F.col("__lp")) & (F.col("__l") == F.col("__ln")), "left")
+    upto = lambda at, number, before, times: F.col(before) + (F.col(at) - F.col(number) * F.col("__block")) * F.col(times)
     taken = upto("__e", "__l", "__lb", "__lt") - upto("__a", "__f", "__fb", "__ft")
-    t = t.withColumn("taken", F.coalesce(taken, F.lit(0)).cast("long"))
-    return t.drop("__source", "__a", "__e", "__f", "__l", "__fp", "__fn", "__ft", "__fb", "__lp", "__ln", "__lt", "__lb", "party", "block")
+    added = {"source_size": F.col("__total"), "target": F.col("__target"), "taken": F.coalesce(taken, F.lit(0)).cast("long"), "shards": F.col("__fs")}
+    return t.select(*[F.col(f"`{c}`") for c in rows.columns], *[v.alias(k) for k, v in added.items()])
+
+
+#: A copy of a document, in the whole units that running totals are kept in.
+UNIT = 1 << 20
 
 
 def mixed(df: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """The mix as whole documents, same columns. Each source gets the words that its block seats grant it.
+    """The mix as whole documents, same columns: each is taken as often as the blocks that its words lie in are drawn.
 
-    Its documents, in order of size class and then of a seeded hash, are sampled at even steps of granted / own words, so a
-    source misses its share by about one document. Documents without words are left out.
+    A document inside blocks that are drawn k times comes k times, one inside blocks that aren't drawn never. Where its blocks
+    differ, the share of its words that they take is rounded: along the source's documents by size class and seeded hash the
+    copies follow the running total of these shares, so a source misses its share by about one document. Documents without words
+    are left out; rows equal in every column are one document of so many times its words; null sources are one source; an empty
+    table gives no rows; other columns pass through, names that begin with two underscores are the operator's own.
     """
-    t = df.withColumn("__size", word_count(F.col("text"))).where("__size > 0")
-    sizes = stash(t.groupBy("source").agg(F.sum("__size").alias("source_size")))
-    targets, plan = apportion(sizes, weights, max_epochs, SHARDS, seed)
-    granted = plan.groupBy("party").agg(F.sum(F.col("words") * F.col("times")).alias("granted"))
-    rates = sized(targets.join(granted, "party").select(F.col("source").alias("__source"), F.col("party").alias("__party"), (F.col("granted") / F.col("source_size")).alias("__rate")))
-    t = t.join(rates, t["source"].eqNullSafe(rates["__source"]))
-    classes = F.floor(8 * F.log2("__size"))
-    t = prefix_offsets(t, "__party", F.lit(1), [F.col("doc_id"), F.col("__size")], seed, "__at", classes, 256)
-    step = lambda k: F.floor(k * F.col("__rate") + 0.5)
-    t = t.withColumn("__times", (step(F.col("__at") + 1) - step(F.col("__at"))).cast("int")).where("__times > 0")
-    return t.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in df.columns])
+    every = [F.col(f"`{c}`") for c in df.columns]
+    t = df.withColumn("__k1", F.xxhash64(*every, F.lit(1))).withColumn("__k2", F.xxhash64(F.lit(2), *every))
+    narrow = t.select("__k1", "__k2", F.col("source"), word_count(F.col("text")).alias("__n")).where("__n > 0")
+    narrow = stash(narrow.groupBy("__k1", "__k2", "source").agg(F.first("__n").alias("__n"), F.count(F.lit(1)).alias("__c")))
+    items = narrow.withColumn("doc_id", F.col("__k1")).withColumn("size", F.col("__n") * F.col("__c"))
+    shares = mix(items, weights, max_epochs, SHARDS, seed).withColumn("__share", F.round(F.col("taken") * UNIT / F.col("__n")).cast("long"))
+    shares = stash(shares.select("__k1", "__k2", "source", "__n", "__c", "__share"))
+    shares = prefix_offsets(shares, "source", F.col("__share"), [F.col("__k1"), F.col("__k2")], seed + 1, "__at", F.floor(8 * F.log2("__n")), 256)
+    step = lambda x: F.shiftright(x + UNIT // 2, 20)
+    shares = shares.withColumn("__times", (step(F.col("__at") + F.col("__share")) - step(F.col("__at"))).cast("int")).where("__times > 0")
+    shares = stash(shares.select(F.col("__k1").alias("__j1"), F.col("__k2").alias("__j2"), "__times", "__c"))
+    same = (F.col("__k1") == F.col("__j1")) & (F.col("__k2") == F.col("__j2"))
+    out = t.join(sized(shares.where("__c = 1")), same)
+    if not shares.where("__c > 1").isEmpty():
+        out = out.unionByName(t.join(sized(shares.where("__c > 1")), same).dropDuplicates(["__k1", "__k2"]))
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*every)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

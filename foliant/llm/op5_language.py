@@ -11,12 +11,12 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.llm import grams
 from foliant.llm.sampling import bounded_sample, held_out
-from foliant.scale import read_table, ship
+from foliant.scale import read_table, ship, stash
 
 #: Characters of the n-grams; a boundary counts as a character at either end.
 SIZES = (3, 4, 5)
@@ -70,7 +70,7 @@ class Filters:
     """The bit-sliced filters of several languages."""
 
     def __init__(self, stored: dict[str, np.ndarray], usual: dict[str, float] | None = None):
-        self.languages = sorted(stored)
+        self.stored, self.languages = {k: frozenset(v.tolist()) for k, v in stored.items()}, sorted(stored)
         self.words = max(1, -(-len(self.languages) // 64))
         self.bits = np.zeros((POSITIONS, self.words), np.uint64)
         for k, lang in enumerate(self.languages):
@@ -114,10 +114,14 @@ def _sample_grams(batches):
 
 
 def train(docs: DataFrame) -> Filters:
-    """Filters from (doc_id, text, lang) rows outside the held-out fold: a sample bounded per language, n-grams bounded too."""
+    """Filters from (doc_id, text, lang) rows outside the held-out fold: a sample bounded per language, n-grams bounded too.
+
+    Rows without an id or a language are not learned from; repeated rows are chosen and counted together; n-grams of one rate
+    are taken by hash; an empty table gives filters of no language, which call every text ``und``.
+    """
     ship(docs.sparkSession)
     known = docs.where("lang is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).select("doc_id", "text", F.col("lang").alias("label"))
-    sample = bounded_sample(known, "label", TRAIN_DOCS)
+    sample = stash(bounded_sample(known, "label", TRAIN_DOCS))
     counts = sample.select("label", "text").mapInArrow(_sample_grams, "label string, gram long").groupBy("gram", "label").agg(F.count(F.lit(1)).alias("n"))
     sizes = {r.label: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     per_gram = counts.where(F.col("n") >= LEAST_DOCS).groupBy("gram").agg(F.collect_list(F.struct("label", "n")).alias("by"))
@@ -125,10 +129,10 @@ def train(docs: DataFrame) -> Filters:
     rate = F.transform("by", lambda x: F.struct(x["label"].alias("label"), (x["n"] / F.try_element_at(drawn, x["label"])).alias("rate")))
     rates = per_gram.select("gram", rate.alias("by")).withColumn("top", F.array_max(F.transform("by", lambda x: x["rate"])))
     flat = rates.select("gram", "top", F.explode("by").alias("x")).where(F.col("x.rate") >= RATE_SHARE * F.col("top")).select("gram", F.col("x.label").alias("label"), F.col("x.rate").alias("rate"))
-    stored = {}
-    for lang in sorted(sizes):  # at most TRAIN_GRAMS numbers each reach the driver
-        top = flat.where(F.col("label") == lang).orderBy(F.desc("rate"), "gram").limit(TRAIN_GRAMS).select("gram").toPandas()["gram"]
-        stored[lang] = np.array(top, np.int64).view(np.uint64)
+    best = Window.partitionBy("label").orderBy(F.desc("rate"), "gram")  # the window's limit holds in each task before rows move
+    top = flat.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= TRAIN_GRAMS).select("label", "gram").toPandas()
+    stored = {lang: np.zeros(0, np.uint64) for lang in sizes}  # at most TRAIN_GRAMS numbers each reach the driver
+    stored |= {lang: g["gram"].to_numpy(np.int64).view(np.uint64) for lang, g in top.groupby("label")}
     first = Filters(stored)
     usual = sample.select("label", "text").mapInArrow(_own_rates(first), "label string, rate double").groupBy("label").agg(F.avg("rate").alias("rate")).collect()
     return Filters(stored, {r.label: max(r.rate, 1e-3) for r in usual})
@@ -146,7 +150,11 @@ def _own_rates(filters: Filters):
 
 
 def identify(docs: DataFrame, filters: Filters) -> DataFrame:
-    """(doc_id, lang_pred, score) for every row of (doc_id, text): map-only. ``und`` and 0 for a null text or one without letters."""
+    """(doc_id, lang_pred, score) for every row of (doc_id, text): map-only, each row by itself, so repeated rows agree.
+
+    ``und`` and 0 for a null text or one without letters; of languages that tie the first by name; long texts are read whole; an
+    empty table gives no rows; other columns are not read, so their names can't clash.
+    """
     ship(docs.sparkSession)
 
     def run(batches):

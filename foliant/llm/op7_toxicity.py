@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.sampling import bounded_sample, held_out
-from foliant.scale import read_table, ship, stash
+from foliant.scale import read_table, ship, sized, stash
 
 #: Labelled documents that are learned from, classes as they come; one in CALIBRATION of them fits the calibration alone.
 #: Each quarter's features come from a lexicon that the other three gave.
@@ -162,13 +162,14 @@ def _lexicon(rows: list, sizes: dict, without: int | None) -> Lexicon:
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """From (doc_id, text) and (doc_id, toxic). Several labels of an id: the highest counts; null labels are not used.
 
-    Without labels of both kinds every document gets the labels' mean (0 without any).
+    Without labels of both kinds every document gets the labels' mean (0 without any). Repeated rows of a labelled id are learned
+    from as often as they occur; lexicon entries that tie are taken by name; other columns are not read.
     """
     ship(docs.sparkSession)
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
     known = bounded_sample(known.where(~held_out(F.col("doc_id"))).withColumn("one", F.lit(1)), "one", TRAIN_DOCS).drop("one")
     fold = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(FOLDS)).cast("int")
-    sample = stash(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").withColumn("fold", fold))
+    sample = stash(docs.select("doc_id", "text").join(sized(stash(known)), "doc_id").withColumn("fold", fold))
     sizes = {(r.label, r.fold): r["n"] for r in sample.groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = (sum(n for (y, _), n in sizes.items() if y == k) for k in (1, 0))
     if not n1 or not n0:
@@ -199,7 +200,11 @@ def _features(lexicons: list[Lexicon]):
 
 
 def rate(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, score, predicted) for every row of (doc_id, text). Null and empty texts get the score of a text without words."""
+    """(doc_id, score, predicted) for every row of (doc_id, text): map-only, each row by itself, so repeated rows agree.
+
+    Null and empty texts get the score of a text without words; long texts are read whole; an empty table gives no rows; other
+    columns are not read, so their names can't clash.
+    """
     ship(docs.sparkSession)
 
     def run(batches):

@@ -2,7 +2,8 @@
 
 Two smoothed variable-order Markov models, of URLs that the rules accept and of URLs that they reject, are counted with
 DataFrame aggregations. A URL's score is the mean over its characters of the log-likelihood difference, each taken from the
-longest stored context; the threshold is calibrated on labelled URLs that the counts leave out. No Python code runs on rows.
+longest stored context; the threshold is calibrated on labelled URLs that the counts leave out. Rules look at host and path, the
+models at the whole lower-cased URL. No Python code runs on rows.
 """
 
 from __future__ import annotations
@@ -80,14 +81,21 @@ def train(labelled: DataFrame) -> DataFrame:
 
 
 def score(df: DataFrame, model: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns of every row of ``df`` and ``score``; rows without url_text score 0. Equal rows stay apart."""
-    # Each order's grams are a side of their own, broadcast or shuffled by their own count.
-    orders = {k: sized(model.where(F.length("gram") == k)) for k in range(1, ORDER + 1)}
-    t = grams(df.withColumn("__row", F.monotonically_increasing_id()), ["__row", *keep])
+    """``keep`` columns of every row of ``df`` and ``score``; rows without url_text score 0. Equal rows stay apart.
+
+    Each different gram of ORDER characters finds its longest stored ending once; characters then meet that one table, which is
+    broadcast or shuffled by its measured size.
+    """
+    wide = F.col(f"g{ORDER}")
+    found = grams(df, []).select(wide.alias("__g")).where("__g is not null").distinct()
     for k in range(ORDER, 0, -1):
-        t = t.join(orders[k].select(F.col("gram").alias(f"__m{k}"), F.col("delta").alias(f"__d{k}")), F.col(f"g{k}") == F.col(f"__m{k}"), "left").drop(f"__m{k}")
-    delta = F.coalesce(*[F.col(f"__d{k}") for k in range(ORDER, 0, -1)], F.lit(0.0))
-    return t.groupBy("__row", *keep).agg(F.avg(delta).alias("score")).drop("__row")
+        order = model.where(F.length("gram") == k).select(F.col("gram").alias(f"__m{k}"), F.col("delta").alias(f"__d{k}"))
+        found = found.join(order, F.expr(f"substring(__g, {ORDER - k + 1}, {k})") == F.col(f"__m{k}"), "left").drop(f"__m{k}")
+    deltas = found.select("__g", F.coalesce(*[F.col(f"__d{k}") for k in range(ORDER, 0, -1)], F.lit(0.0)).alias("__delta"))
+    deltas = sized(stash(deltas))
+    t = grams(df.withColumn("__row", F.monotonically_increasing_id()), ["__row", *keep]).select("__row", *keep, wide.alias("__w"))
+    t = t.join(deltas, F.col("__w") == F.col("__g"), "left")
+    return t.groupBy("__row", *keep).agg(F.avg(F.coalesce("__delta", F.lit(0.0))).alias("score")).drop("__row")
 
 
 def threshold(scored: DataFrame) -> float:
@@ -108,12 +116,12 @@ def threshold(scored: DataFrame) -> float:
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id") -> DataFrame:
     """(id, url, host, path, rule, verdict, score) for every row of ``pages``.
 
-    verdict is the rule's, else allow if score reaches the threshold. Null urls and urls without ``://`` have empty host and
-    path, score 0 and verdict allow if 0 reaches the threshold. If the rules label no URL of one kind, all others are allowed.
-    Repeated rows are judged alike; an empty table gives no rows; of other input columns none is read.
+    verdict is the rule's, else allow if score reaches the threshold. Null urls and urls without ``://`` have empty host and path
+    and so no rule; the latter are scored by their raw text, null and empty ones score 0. If the rules label no URL of one kind,
+    all others are allowed. Repeated rows are judged alike; an empty table gives no rows; of other input columns none is read.
     """
     t = apply_rules(pages.select(id_col, "url"), rules)
-    t = t.withColumn("url_text", F.lower(F.concat("host", "path")))
+    t = t.withColumn("url_text", F.lower(F.coalesce("url", F.lit(""))))
     labelled = t.where("by_rule is not null").select("url_text", (F.col("by_rule") == "allow").alias("accepted"), (F.pmod(F.xxhash64("url_text"), F.lit(FOLDS)) == 0).alias("held"))
     model = train(labelled.where("not held"))
     cut = threshold(score(labelled.where("held"), model, ["accepted"]))

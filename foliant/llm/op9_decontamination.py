@@ -1,8 +1,9 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The index is partitioned by document: a block holds the postings (term -> word positions, sorted) of some 2 MB of whole
+The index is partitioned by document: a block holds the postings (term -> word positions, sorted) of some 512 KB of whole
 texts, and is one stored row. Searching a block needs no other block, so no posting is ever shuffled. For each test phrase
-that has all its terms in a block, the offset-adjusted lists are intersected from the rarest term on.
+that has all its terms in a block, the offset-adjusted lists are intersected from the rarest term on. A query set that is small
+by its bytes goes to every block; a larger one goes, by its windows' rarest terms, to the blocks that hold these terms.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from foliant.scale import read_table, ship, sized, stash
 
 #: Words of a window.
 WINDOW = 10
-#: Bytes of test texts held at once (driver and each worker); more are searched for in further passes.
+#: Bytes of test texts that go to the driver and to every block; beyond these, windows meet their blocks in a join.
 QUERY_BYTES = 2 << 20
+#: Windows that one block is searched for at once.
+GROUP = 20_000
 INDEX = "block long, doc_ids array<long>, doc_words array<int>, terms binary, counts binary, positions binary"
 FOUND = "block long, ordinal int, doc_id long, n_words long, spans array<struct<a:int,b:int>>, items array<string>"
 MATCH = "phrase int, doc_id long, position int, exact boolean"
@@ -120,38 +123,51 @@ def windows(texts: list[str | None], size: int = WINDOW) -> list[list[np.ndarray
     return out
 
 
+class Windows:
+    """A query set's windows, ready to be searched for in blocks."""
+
+    def __init__(self, flat: list[np.ndarray]):
+        self.flat = flat
+        self.wanted = np.unique(np.concatenate([np.zeros(0, np.uint64), *flat]))
+        self.grid = np.full((len(flat), max([1, *map(len, flat)])), len(self.wanted), np.int64)  # the last number stands for no term
+        for i, w in enumerate(flat):
+            self.grid[i, : len(w)] = np.searchsorted(self.wanted, w)
+
+    def found(self, b: Block):
+        """(window, position, words) of every occurrence in the block."""
+        if not len(self.flat):
+            return
+        found = np.append(b.locate(self.wanted), -2)[self.grid]
+        for i in np.flatnonzero((found != -1).all(1)):
+            terms = [int(t) for t in found[i] if t >= 0]
+            for p in b.phrase(terms).tolist():
+                yield int(i), p, len(terms)
+
+
+def merged(spans) -> list[dict]:
+    out: list[dict] = []
+    for a, e in sorted(set(spans)):
+        if out and a <= out[-1]["b"]:
+            out[-1]["b"] = max(e, out[-1]["b"])
+        else:
+            out.append({"a": a, "b": e})
+    return out
+
+
 def _search(items: list[str], phrases: list[list[np.ndarray]]):
     """The map over blocks that finds every window of the items."""
-    owner = np.array([i for i, p in enumerate(phrases) for _ in p], np.int64)
-    flat = [w for p in phrases for w in p]
-    wanted = np.unique(np.concatenate([np.zeros(0, np.uint64), *flat]))
-    width = max([1, *map(len, flat)])
-    grid = np.full((len(flat), width), len(wanted), np.int64)  # the last number stands for no term
-    for i, w in enumerate(flat):
-        grid[i, : len(w)] = np.searchsorted(wanted, w)
+    owner = [i for i, p in enumerate(phrases) for _ in p]
+    asked = Windows([w for p in phrases for w in p])
 
     def block(row):
         b = Block(row["doc_words"], row["terms"], row["counts"], row["positions"])
         n_docs = len(row["doc_words"])
-        here = np.append(b.locate(wanted), -2)
-        found = here[grid]
         spans, names = [[] for _ in range(n_docs)], [set() for _ in range(n_docs)]
-        for i in np.flatnonzero((found != -1).all(1)) if len(flat) else ():
-            terms = [int(t) for t in found[i] if t >= 0]
-            for p in b.phrase(terms).tolist():
-                d = int(b.document(p))
-                spans[d].append((p - int(b.first[d]), p - int(b.first[d]) + len(terms)))
-                names[d].add(items[owner[i]])
-        merged = []
-        for s in spans:
-            out = []
-            for a, e in sorted(set(s)):
-                if out and a <= out[-1]["b"]:
-                    out[-1]["b"] = max(e, out[-1]["b"])
-                else:
-                    out.append({"a": a, "b": e})
-            merged.append(out)
-        return merged, [sorted(x) for x in names]
+        for i, p, n in asked.found(b):
+            d = int(b.document(p))
+            spans[d].append((p - int(b.first[d]), p - int(b.first[d]) + n))
+            names[d].add(items[owner[i]])
+        return list(map(merged, spans)), [sorted(x) for x in names]
 
     def run(batches):
         span = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
@@ -166,32 +182,95 @@ def _search(items: list[str], phrases: list[list[np.ndarray]]):
     return run
 
 
+def _window_rows(size: int):
+    """(item, text) -> (item, win, place, term): each term of each window of an item, by a hash of the window."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                cut = batch.slice(at, 64)
+                for item, found in zip(cut.column(0).to_pylist(), windows(cut.column(1).to_pylist(), size), strict=True):
+                    for k in range(0, len(found), 4096):
+                        part = found[k : k + 4096]
+                        win = [int((grams.mix(w + np.arange(1, len(w) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)).view(np.int64)) for w in part]
+                        terms = pa.array([w.view(np.int64) for w in part], pa.list_(pa.int64()))
+                        yield pa.RecordBatch.from_arrays([pa.array([item] * len(part), pa.string()), pa.array(win, pa.int64()), terms], names=["item", "win", "terms"])
+
+    return run
+
+
+def _block_terms(batches):
+    for b in batches:
+        for i in range(b.num_rows):
+            t = np.frombuffer(b.column(1)[i].as_py(), np.int64)
+            for k in range(0, len(t), 1 << 16):
+                part = t[k : k + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), b.column(0)[i].as_py())), pa.array(part)], names=["block", "term"])
+
+
+def _find_in_block(left: pa.Table, right: pa.Table) -> pa.Table:
+    """One block (left, one row) and the windows to search for in it: (block, ordinal, win, spans)."""
+    rows = []
+    if left.num_rows and right.num_rows:
+        row = {k: left.column(k)[0].as_py() for k in ("block", "doc_words", "terms", "counts", "positions")}
+        b = Block(row["doc_words"], row["terms"], row["counts"], row["positions"])
+        win, spans = right.column("win").to_pylist(), {}
+        for i, p, n in Windows([np.array(w, np.int64).view(np.uint64) for w in right.column("words").to_pylist()]).found(b):
+            d = int(b.document(p))
+            spans.setdefault((d, win[i]), []).append((p - int(b.first[d]), p - int(b.first[d]) + n))
+        rows = [(row["block"], d, w, merged(s)) for (d, w), s in spans.items()]
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["block", "ordinal", "win", "spans"])
+
+
+def _joined(index: DataFrame, items: DataFrame, size: int) -> DataFrame:
+    """What ``find_items`` gives, for a query set of any size: nothing of it reaches the driver, the index is searched once.
+
+    Of each window the rarest term in the index names the blocks that may hold it; a window with a term that the index lacks
+    occurs nowhere. A block is searched for at most some GROUP windows at once.
+    """
+    each = stash(items.mapInArrow(grams.frugal(_window_rows(size)), "item string, win long, terms array<long>"))
+    asked = stash(each.groupBy("win").agg(F.first("terms").alias("words")))
+    terms = asked.select(F.explode(F.array_distinct("words")).alias("term")).distinct()
+    counts = stash(term_statistics(index).join(terms, "term", "left_semi"))
+    per = asked.select("win", F.size(F.array_distinct("words")).alias("n"), F.explode(F.array_distinct("words")).alias("term")).join(counts, "term")
+    rare = stash(per.groupBy("win", "n").agg(F.count(F.lit(1)).alias("known"), F.min(F.struct("n_words", "term")).alias("r")).where("known = n").select("win", F.col("r.term").alias("term")))
+    held = index.select("block", "terms").mapInArrow(_block_terms, "block long, term long").join(rare.select("term").distinct(), "term", "left_semi")
+    pairs = stash(held.join(rare, "term").select("block", "win"))
+    groups = pairs.groupBy("block").agg(F.expr(f"int((count(*) + {GROUP - 1}) div {GROUP})").alias("groups"))
+    groups = stash(groups)
+    left = index.drop("doc_ids").join(groups, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
+    right = pairs.join(groups.select(F.col("block").alias("__b"), F.col("groups").alias("__n")), F.col("block") == F.col("__b")).join(asked, "win")
+    right = right.select("block", "win", "words", F.pmod(F.xxhash64("win"), F.col("__n")).cast("int").alias("part"))
+    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(_find_in_block, "block long, ordinal int, win long, spans array<struct<a:int,b:int>>")
+    found = stash(found)
+    names = found.select("block", "ordinal", "win").join(each.select("win", "item"), "win").groupBy("block", "ordinal").agg(F.collect_set("item").alias("items"))
+    hits = found.groupBy("block", "ordinal").agg(F.flatten(F.collect_list("spans")).alias("spans")).join(names, ["block", "ordinal"])
+    docs = index.select("block", F.posexplode(F.arrays_zip("doc_ids", "doc_words")).alias("ordinal", "d"))
+    out = docs.join(hits, ["block", "ordinal"], "left")
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    return out.select("block", "ordinal", F.col("d.doc_ids").alias("doc_id"), F.col("d.doc_words").cast("long").alias("n_words"), F.coalesce("spans", none).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
 def find_items(index: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """One row a document: spans of its words inside windows of (item_id, text), and the items whose windows occur.
 
-    The items are the query set; they are taken in slices of QUERY_BYTES, each searched for in all blocks. Null item texts have
-    no windows. Items that share an id count as one.
+    Null item texts have no windows. Items that share an id count as one. A query set of up to QUERY_BYTES is collected and
+    searched for in every block; a larger one is joined with the index by its windows' rarest terms. Both find the same.
     """
     items = items.where("text is not null").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slices = total // QUERY_BYTES + 1
-    parts = []
-    for k in range(slices):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(slices)) == k).collect()
-        parts.append(index.mapInArrow(grams.frugal(_search([r.item for r in rows], windows([r.text for r in rows], size))), FOUND))
-    if slices == 1:
-        return parts[0]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("block", "ordinal").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > QUERY_BYTES:
+        return _joined(index, items, size)
+    rows = items.collect()
+    return index.mapInArrow(grams.frugal(_search([r.item for r in rows], windows([r.text for r in rows], size))), FOUND)
 
 
 def contamination(df: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans, items), one row for each row of ``df``.
 
     Null or empty texts have no words and are clean; repeated rows are judged alike; an empty table gives no rows, an empty
-    query set leaves every document clean.
+    query set leaves every document clean. Of ``df`` only doc_id and text are read, of ``items`` item_id and text, so other
+    columns can't clash.
     """
     found = find_items(build_index(df), items, size)
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))

@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from foliant.llm import op9_decontamination as op9
 
@@ -43,13 +44,19 @@ def test_tables(spark, monkeypatch, slice_bytes):
     assert any(r[-1] for r in got)
 
 
-def test_odd(spark):
+@pytest.mark.parametrize("joined", [False, True])
+def test_odd(spark, monkeypatch, joined):
     long = " ".join(f"t{i % 977}" for i in range(60000))
     items = [(1, "alpha beta gamma"), (2, None), (3, ""), (10, "a a a a a a a a a a a a"), (4, "Été, NAÏVE x1"), (5, " ".join(f"t{i}" for i in range(900, 930)))]
     docs = [(1, "x alpha-BETA, gamma. alpha beta gamma"), (2, None), (3, ""), (4, "a " * 25), (4, "a " * 25), (5, "été naïve x1 Été"), (6, long), (None, "alpha beta gamma"), (7, "alpha beta"), (8, "gamma alpha beta")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     it = spark.createDataFrame(items, "item_id long, text string")
-    got = op9.contamination(df.withColumnRenamed("nothing", "x"), it).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
+    for name in ("spans", "items", "n_hit", "block", "terms", "item", "win"):
+        df, it = df.withColumn(name, F.lit("clash")), it.withColumn(name, F.lit("clash"))
+    if joined:
+        monkeypatch.setattr(op9, "QUERY_BYTES", 0)
+        monkeypatch.setattr(op9, "GROUP", 3)
+    got = op9.contamination(df, it).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
     assert sorted(map(tuple, got), key=str) == brute(docs, items)
     assert op9.contamination(df.where("false"), it).count() == 0
     assert op9.contamination(df, it.where("false")).where("contaminated").count() == 0

@@ -52,10 +52,22 @@ def test_language(spark):
     assert len(rows) == len(lang) and all(0 <= r.score <= 1 and r.held_out == held(r.doc_id) for r in rows)
     test = [r for r in rows if r.held_out]
     assert sum(r.lang_pred == lang[r.doc_id] for r in test) >= 0.97 * len(test)
-    filters = op5_language.train(docs)
+    filters = op5_language.train(docs.withColumn("label", F.lit("clash")).withColumn("gram", F.lit(1)))
     odd = spark.createDataFrame(ODD, "doc_id long, text string")
     got = {r.doc_id: r.lang_pred for r in op5_language.identify(odd, filters).collect()}
     assert len(got) == 8 and got[1] == got[2] == got[3] == "und" and got[None] == "en"
+    # A plain version: one set of n-grams a language, the share of a text's n-grams in it against the language's usual share.
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    usual = dict(zip(filters.languages, filters.usual, strict=True))
+    for r in rows[:: len(rows) // 150]:
+        g = op5_language.text_grams(texts[r.doc_id]).tolist()
+        if not g:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        share = {k: sum(x in filters.stored[k] for x in g) / len(g) / usual[k] for k in usual}
+        best = sorted(share.values())[-2:]
+        assert sum(share.values()) == 0 or abs(r.score - max(share.values()) / sum(share.values())) < 0.02
+        assert best[1] - best[0] < 0.02 or r.lang_pred == max(share, key=share.get)
     # Bit-sliced lookups against one plain set a language.
     sets = {"x": np.arange(1, 4000, dtype=np.uint64), "y": np.arange(3000, 9000, dtype=np.uint64)}
     sets = {k: op5_language.grams.mix(v) for k, v in sets.items()}
@@ -67,6 +79,7 @@ def test_language(spark):
     assert many.decide(op5_language.grams.mix(np.arange(7050, 7090, dtype=np.uint64)))[0] == "l070"
     empty = op5_language.train(docs.where("false"))
     assert empty.decide(op5_language.text_grams("abc")) == ("und", 0.0)
+    assert op5_language.identify(odd.where("false"), filters).count() == 0
 
 
 def test_toxicity(spark):
@@ -80,11 +93,43 @@ def test_toxicity(spark):
     docs = spark.createDataFrame(ODD, "doc_id long, text string")
     none = op7_toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r.score for r in op7_toxicity.rate(docs, none).collect()} == {0.0}
+    both = spark.createDataFrame([(1, 0), (5, 1)], "doc_id long, toxic int").withColumn("label", F.lit("clash"))
+    model = op7_toxicity.train(docs.withColumn("fold", F.lit("clash")).withColumn("toxic", F.lit("clash")), both)
+    twice = [tuple(r) for r in op7_toxicity.rate(docs.withColumn("score", F.lit("clash")), model).collect() if r.doc_id == 7]
+    assert len(twice) == 2 and twice[0] == twice[1]
+    assert op7_toxicity.rate(docs.where("false"), model).count() == 0
+    assert {r.score for r in op7_toxicity.rate(docs, op7_toxicity.train(docs.where("false"), both)).collect()} == {0.0}
     x, y = op7_toxicity.isotonic(np.array([1.0, 2, 2, 3, 4, 5]), np.array([0.0, 1, 0, 0, 1, 1]))
     assert (np.diff(y) >= 0).all() and (np.diff(x) > 0).all()
     assert np.interp([1, 2.5, 5], x, y) == pytest.approx([0, 1 / 3, 1])
 
 
+def plain_raw(tree, row):
+    while not isinstance(tree, float):
+        tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+    return tree
+
+
+def test_toxicity_scores_follow_the_trees(spark):
+    """Each document's score from its features, tree by tree and knot by knot."""
+    d = BIG
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    model = op7_toxicity.train(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    text = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r.score for r in op7_toxicity.rate(docs, model).collect()}
+    kx, ky = model.knots
+    for i in sorted(got)[::9]:
+        x = model.lexicon.features(text[i])
+        words = re.findall(r"[^\W\d_]+", (text[i] or "").lower())
+        hits = [w for w in words if model.lexicon.weight(w)]
+        assert x[0] == pytest.approx(math.log1p(len(words))) and x[1] == pytest.approx(math.log1p(len(hits)))
+        row = [sum(v > c for c in cuts) for v, cuts in zip(x, model.trees.cuts, strict=True)]
+        raw = model.trees.base + sum(plain_raw(t, row) for t in model.trees.trees)
+        k = int(np.searchsorted(kx, raw))
+        want = ky[0] if k == 0 else ky[-1] if k == len(kx) else ky[k - 1] + (ky[k] - ky[k - 1]) * (raw - kx[k - 1]) / (kx[k] - kx[k - 1])
+        assert got[i] == pytest.approx(min(max(want, 0), 1), abs=1e-9)
+
+
 def plain_url(url):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     host = re.match(r"(?s)[^/?#]*", rest)[0]
@@ -130,12 +175,12 @@ def test_urls(spark):
     got = op8_urls.judge(df).collect()
     assert len(got) == len(rows)
     url = dict(rows)
-    text = lambda u: "".join(plain_url(u)).lower()
+    text = lambda u: (u or "").lower()
     for r in got:
         assert (r.host, r.path) == plain_url(url[r.page_id])
         verdict, rule = plain_rule(r.host, r.path)
         assert r.rule == rule and r.verdict in ("allow", "block") and (verdict is None or r.verdict == verdict)
-    t = op8_urls.apply_rules(df).withColumn("url_text", F.lower(F.concat("host", "path")))
+    t = op8_urls.apply_rules(df).withColumn("url_text", F.lower(F.coalesce("url", F.lit(""))))
     fold = {r.page_id: r.h for r in t.select("page_id", (F.pmod(F.xxhash64("url_text"), F.lit(op8_urls.FOLDS)) == 0).alias("h")).collect()}
     lab = [(i, text(u), plain_rule(*plain_url(u))[0] == "allow") for i, u in rows if plain_rule(*plain_url(u))[0]]
     model = plain_model([(s, a) for i, s, a in lab if not fold[i]])
@@ -166,7 +211,7 @@ def test_url_grams_of_large_tables(spark, monkeypatch):
     urls = spark.createDataFrame([(1, "qzx"), (2, "abab"), (3, ""), (3, "")], "page_id long, url_text string")
     found = lambda: sorted((r.page_id, r.score) for r in op8_urls.score(urls, model, ["page_id"]).collect())
     want = found()
-    monkeypatch.setattr(op8_urls, "sized", lambda df: df)  # as if too large to broadcast
+    monkeypatch.setattr("foliant.scale.BROADCAST_BYTES", 0)  # as if too large to broadcast
     assert [i for i, _ in want] == [1, 2, 3, 3] and [x for _, x in found()] == pytest.approx([x for _, x in want])
 
 

@@ -2,6 +2,8 @@
 
 import hashlib
 import re
+import time
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
@@ -31,6 +33,30 @@ def test_hilbert_is_a_curve(spark):
         assert all(sum(abs(a - b) for a, b in zip(x, y, strict=True)) == 1 for (_, x), (_, y) in zip(got, got[1:], strict=False))
 
 
+def test_shards_follow_the_curve(spark, sf):
+    """Shards hold runs of the curve: its index never falls from one shard to the next. And every column of the contract."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    t = docs.withColumn("cell", op1_sharding.curve_cells(docs))
+    cell = {r.doc_id: r.cell for r in t.select("doc_id", "cell").collect()}
+    coords = {c: [(c >> (5 * (2 - i))) & 31 for i in range(3)] for c in set(cell.values())}
+    df = spark.createDataFrame([(c, v) for c, v in coords.items()], "cell int, x array<int>")
+    curve = {r.cell: r.h for r in df.select("cell", op1_sharding.hilbert_index(F.col("x"), 3, 5).alias("h")).collect()}
+    rows = op1_sharding.query(spark, sf).collect()
+    placed = sorted((r.shard, r.slot, curve[cell[r.doc_id]]) for r in rows)
+    assert [c for *_, c in placed] == sorted(curve[cell[r.doc_id]] for r in rows)
+    text = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    assert all((r["size"], r.text_crc32, r.law, r.grown_shard) == (len(text[r.doc_id]) + 16, zlib.crc32(text[r.doc_id]), "rows", None) for r in rows)
+
+
+def test_whole_curve_is_fast(spark):
+    cells = spark.range(1 << 15).select(F.array(*[F.shiftright("id", 5 * i).bitwiseAND(F.lit(31)).cast("int") for i in range(3)]).alias("x")).coalesce(1)
+    began = time.time()
+    got = sorted((r.h, tuple(r.x)) for r in cells.select("x", op1_sharding.hilbert_index(F.col("x"), 3, 5).alias("h")).collect())
+    assert time.time() - began < 20
+    assert [h for h, _ in got] == list(range(1 << 15))
+    assert all(sum(abs(a - b) for a, b in zip(x, y, strict=True)) == 1 for (_, x), (_, y) in zip(got, got[1:], strict=False))
+
+
 def _check_shards(rows, n, shards):
     by = defaultdict(list)
     for r in rows:
@@ -93,9 +119,34 @@ def test_mixing_odd(spark):
     df = spark.createDataFrame(ODD, DOC).withColumn("size", op3_mixing.word_count(F.col("text"))).select("doc_id", "source", "size")
     rows = op3_mixing.mix(df).collect()
     assert len(rows) == len(ODD) and all(0 <= r.taken <= 3 * r["size"] for r in rows)
+    clash = df
+    for name in (*op3_mixing.RESULTS, "block", "party", "weight", "number", "times"):
+        clash = clash.withColumn(name, F.lit("clash"))
+    again = op3_mixing.mix(clash)
+    assert Counter((r.doc_id, r.target, r.taken) for r in again.collect()) == Counter((r.doc_id, r.target, r.taken) for r in rows)
+    assert {r.block for r in again.collect()} == {"clash"}
     assert op3_mixing.mix(df.where("false")).count() == 0
 
 
+def test_mixed_documents_follow_drawn_blocks(spark):
+    """Whole documents: as often as their blocks are drawn, rounded only where a document lies in blocks that differ."""
+    rows = [(i, " ".join(["w"] * (5 + i * 7919 % 60)), f"s{0 if i % 3 else i % 2 + 1}", i) for i in range(3000)] + [(9, "twice here", "s0", 1)] * 4 + [(10, None, "s0", 1), (11, "", None, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, taken long")
+    every = [F.col(c) for c in df.columns]
+    items = df.select(F.xxhash64(*every, F.lit(1)).alias("doc_id"), "source", op3_mixing.word_count(F.col("text")).alias("size")).where("size > 0")
+    items = items.groupBy("doc_id", "source").agg(F.first("size").alias("n"), F.count("*").alias("c")).withColumn("size", F.col("n") * F.col("c"))
+    share = {r.doc_id: (r.taken / r.n, r.c, r.source, r.n, r.target) for r in op3_mixing.mix(items).collect()}
+    got = Counter(r.k for r in op3_mixing.mixed(df).select(F.xxhash64(*every, F.lit(1)).alias("k")).collect())
+    assert set(got) <= set(share)
+    for k, (x, c, *_) in share.items():
+        assert abs(got[k] - x) < 1 + 1e-3 and got[k] <= 3 * c and (x != int(x) or got[k] == x)
+    assert {x for x, *_ in share.values()} >= {0, 1}
+    for s in ("s0", "s1", "s2"):
+        want = next(v[4] for v in share.values() if v[2] == s)
+        assert abs(sum(got[k] * v[3] for k, v in share.items() if v[2] == s) - want) <= 65 + 0.01 * want
+    assert op3_mixing.mixed(df.where("false")).count() == 0
+
+
 def test_highest_quotients(spark):
     parties = [("h", p, float(w), 1000, n) for p, w, n in [("a", 5, 37), ("b", 2, 37), ("c", 1, 37), ("d", 5, 37), ("e", 0.2, 37)]]
     df = spark.createDataFrame(parties, "house string, party string, weight double, cap long, seats long")
