@@ -1,8 +1,10 @@
 """Each stage of the pipeline against plain versions on its own input."""
 
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline as cp
+from pyspark.sql import functions as F
 from tests.llm.test_decontamination import brute as brute_hits
 from tests.llm.test_jaccard import brute as brute_groups
 from tests.llm.test_native_ops import brute_quality, brute_targets
@@ -58,3 +60,37 @@ def test_odd_rows(spark, tmp_path):
         for _, stage in cp.STAGES:
             docs = stash(stage(spark, docs, str(tmp_path)), keep=True)
         assert {r.doc_id for r in docs.collect()} == ({4, 6} if start is df else set())
+
+
+def test_clashing_columns_pass_through(spark, tmp_path):
+    text = " ".join(f"word{i}" for i in range(50))
+    df = spark.createDataFrame([(i, f"{text} {i}" if i < 3 else " ".join(f"v{i}x{j}" for j in range(60)), "en", "a", 1) for i in range(9)], "doc_id long, text string, lang string, source string, n_chars long")
+    names = ["kept", "removed", "words_removed", "text_hash", "h", "component_id", "rep", "c1", "n_shingles", "spans", "items", "item", "taken", "target", "shards", "size", "times", "block", "party"]
+    for name in names:
+        df = df.withColumn(name, F.lit(name))
+    spark.createDataFrame([(1, "v8x1 v8x2 v8x3 v8x4 v8x5 v8x6 v8x7 v8x8 v8x9 v8x10")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = df
+    for name, stage in cp.STAGES:
+        docs = stash(stage(spark, docs, str(tmp_path)), keep=True)
+        assert docs.columns[: len(df.columns)] == df.columns
+    rows = docs.collect()
+    assert {r.doc_id for r in rows} == {0, 3, 4, 5, 6, 7} and all(r[n] == n for r in rows for n in names)
+
+
+def test_temporary_tables_belong_to_their_run(spark):
+    """A stage deletes what the stage that wrote its input has stashed; never another run's, nor what its input still reads."""
+    made = []
+
+    @cp.tidy
+    def stage(spark, docs, sf_dir):
+        made.append(stash(docs))
+        return made[-1]
+
+    there = lambda df: Path(df.inputFiles()[0].removeprefix("file://")).exists()
+    start = spark.range(3).toDF("doc_id")
+    a, b = stage(spark, start, ""), stage(spark, start, "")
+    stage(spark, a, "")  # not written: still read by the next result
+    assert there(made[0]) and there(made[1])
+    written = stash(b, keep=True)
+    last = stage(spark, written, "")
+    assert there(made[0]) and not any(Path(f.removeprefix("file://")).exists() for f in [made[1]._jdf.inputFiles()[0]]) and last.count() == 3
