@@ -1,6 +1,7 @@
 """Near copies as one: classes of texts that share most of a sketch, from DataFrame expressions only.
 
-A text's sketch is the SKETCH least hashes of its windows of SHINGLE words. In each group of texts, every sketch hash names the
+A text's sketch is the SKETCH least hashes of its windows of SHINGLE words; one in eight windows, told by the first word's first
+character and length, comes before all others, so that few have to be hashed. In each group of texts, every sketch hash names the
 first text (by digest) that holds it; a text joins the first of the texts so named with which it shares half of the larger
 sketch or more, else it stands for itself. What counts classes instead of texts can't be moved by one text's many variants.
 """
@@ -14,6 +15,7 @@ from foliant.scale import sized, stash
 
 SHINGLE = 5
 SKETCH = 8
+EIGHTH = 8
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -23,12 +25,17 @@ def let(value: Column, body) -> Column:
 
 
 def sketch(text: Column) -> Column:
-    """The least window digests; a text of fewer words than a window is one window, one without words has none."""
+    """The least window digests, chosen windows first; a text of fewer words than a window is one window, one without words has none."""
+
+    chosen = lambda w: F.pmod(F.ascii(w) + F.length(w), F.lit(EIGHTH)) == 0
+    digests = lambda words, starts: F.transform(starts, lambda i: F.concat(F.when(chosen(F.get(words, i)), "0").otherwise("1"), F.substring(F.md5(F.array_join(F.slice(words, i + 1, F.lit(SHINGLE)), " ").cast("binary")), 1, 16)))
+    first = lambda keys: F.slice(F.sort_array(F.array_distinct(keys)), 1, SKETCH)
 
     def least(words: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (SHINGLE - 1), F.lit(1)))
-        windows = F.transform(starts, lambda i: F.substring(F.md5(F.array_join(F.slice(words, i, F.lit(SHINGLE)), " ").cast("binary")), 1, 16))
-        return F.when(F.size(words) > 0, F.slice(F.sort_array(F.array_distinct(windows)), 1, SKETCH)).otherwise(F.array().cast("array<string>"))
+        starts = F.sequence(F.lit(0), F.greatest(F.size(words) - SHINGLE, F.lit(0)))
+        some = first(digests(words, F.filter(starts, lambda i: chosen(F.get(words, i)))))
+        both = let(some, lambda s: F.when(F.size(s) == SKETCH, s).otherwise(first(digests(words, starts))))
+        return F.when(F.size(words) > 0, both).otherwise(F.array().cast("array<string>"))
 
     return let(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0)), least)
 

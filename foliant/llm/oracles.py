@@ -15,7 +15,7 @@ def _words(text: str, kind: str = _WORD) -> str:
 def _classes(texts: str) -> str:
     """CTEs that end in cls (grp, t, label) for the texts (grp, t) of the table ``texts``: near copies have one label."""
     return f"""kw AS (SELECT grp, t, md5(t) AS own, {_words("t")} AS w FROM (SELECT DISTINCT grp, t FROM {texts})),
-  kw2 AS (SELECT grp, t, own, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - {folding.SHINGLE - 2}, 2)), lambda i: left(md5(array_to_string(w[i:i + {folding.SHINGLE - 1}], ' ')), 16))))[1:{folding.SKETCH}] AS sk FROM kw WHERE len(w) > 0),
+  kw2 AS (SELECT grp, t, own, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - {folding.SHINGLE - 2}, 2)), lambda i: (CASE WHEN (unicode(w[i]) + length(w[i])) % {folding.EIGHTH} = 0 THEN '0' ELSE '1' END) || left(md5(array_to_string(w[i:i + {folding.SHINGLE - 1}], ' ')), 16))))[1:{folding.SKETCH}] AS sk FROM kw WHERE len(w) > 0),
   kx AS (SELECT *, unnest(sk) AS v FROM kw2),
   kf AS (SELECT grp, v, own AS f_own, sk AS f_sk FROM kx QUALIFY row_number() OVER (PARTITION BY grp, v ORDER BY own) = 1),
   kl AS (SELECT kx.grp, t, min(f_own) AS label FROM kx JOIN kf ON kx.grp IS NOT DISTINCT FROM kf.grp AND kx.v = kf.v WHERE own > f_own AND 2 * len(list_intersect(sk, f_sk)) >= greatest(len(sk), len(f_sk)) GROUP BY kx.grp, t),

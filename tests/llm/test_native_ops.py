@@ -161,7 +161,7 @@ def brute_classes(texts):
     sketch, first = {}, {}
     for t in texts:
         w = WORD.findall(t)
-        sketch[t] = sorted({md5(" ".join(w[i : i + 5]))[:16] for i in range(max(1, len(w) - 4))})[:8] if w else []
+        sketch[t] = sorted({"01"[(ord(w[i][0]) + len(w[i])) % 8 != 0] + md5(" ".join(w[i : i + 5]))[:16] for i in range(max(1, len(w) - 4))})[:8] if w else []
         for v in sketch[t]:
             first[v] = min(first.get(v, t), t, key=md5)
     label = {}
