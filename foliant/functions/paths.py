@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import posixpath
 import re
 
 from pyspark.sql import Column
@@ -74,5 +73,14 @@ def excluded(path: Column, root: str, rules: list[str]) -> Column:
     return out
 
 
-def normal_path(path: str) -> str:
-    return posixpath.normpath(path)
+def normal_path(path: Column) -> Column:
+    """The path without empty and ``.`` segments, each ``..`` taken together with the segment before it."""
+    absolute = path.startswith("/")
+    none = F.array().cast("array<string>")
+
+    def step(done: Column, part: Column) -> Column:
+        back = F.when((F.size(done) > 0) & (F.element_at(done, -1) != ".."), F.slice(done, F.lit(1), F.size(done) - 1)).when(absolute, done).otherwise(F.concat(done, F.array(part)))
+        return F.when(part.isin("", "."), done).when(part == "..", back).otherwise(F.concat(done, F.array(part)))
+
+    joined = F.array_join(F.aggregate(F.split(path, "/"), none, step), "/")
+    return F.when(absolute, F.concat(F.lit("/"), joined)).when(joined == "", ".").otherwise(joined)

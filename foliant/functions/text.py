@@ -19,6 +19,11 @@ STOP_WORDS = (
 CJK = "一-鿿"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, whatever the optimiser inlines."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ngrams(word: Column, sizes: tuple[int, ...]) -> Column:
     """All n-grams of a word by start, then by size."""
     n = F.length(word)
@@ -103,9 +108,14 @@ def highlights(content: Column, terms: list[str]) -> Column:
 
 
 def _spans(low: Column, term: str) -> Column:
-    n = len(term)
-    at = F.when(F.contains(low, F.lit(term)), F.filter(F.sequence(F.lit(0), F.length(low) - n), lambda i: F.substring(low, i + 1, F.lit(n)) == term)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.struct(i.cast("int").alias("start"), (i + n).cast("int").alias("end")))
+    """Places of a term, overlapping ones too: the text is cut before each, and the lengths of the pieces add up to the places."""
+    quoted = "".join(c if c.isalnum() else f"\\x{{{ord(c):x}}}" for c in term)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+    add = lambda a, piece: F.struct((a["at"] + F.length(piece)).cast("int").alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all"))
+    places = F.aggregate(F.split(low, f"(?={quoted})", -1), start, add, lambda a: a["all"])
+    found = F.filter(places, lambda i: (i > 0) | low.startswith(F.lit(term)))
+    found = F.when(F.contains(low, F.lit(term)), found).otherwise(F.array().cast("array<int>"))
+    return F.transform(found, lambda i: F.struct(i.alias("start"), (i + len(term)).cast("int").alias("end")))
 
 
 def time_text(ts: Column) -> Column:

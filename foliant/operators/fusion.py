@@ -9,12 +9,12 @@ K = 60
 
 
 def rrf(semantic: DataFrame, lexical: DataFrame, key: str = "id", k: int = K, top_n: int | None = None) -> DataFrame:
-    """(key, rrf_score, sem_rank, lex_rank, rank) of two lists (key, rank from 1). Rows with a null key don't count.
+    """(key, rrf_score, sem_rank, lex_rank, rank) and the lists' other columns, of two lists (key, rank from 1, ...).
 
-    Order: score, then rank in the first list (absent last), then in the second, then key. Scores are rounded after sorting.
+    Rows with a null key don't count. Order: score, then rank in the first list (absent last), then in the second, then key. Scores are rounded after sorting.
     """
-    s = semantic.where(F.col(key).isNotNull()).select(key, F.col("rank").alias("sem_rank"))
-    x = lexical.where(F.col(key).isNotNull()).select(key, F.col("rank").alias("lex_rank"))
+    s = semantic.where(F.col(key).isNotNull()).withColumnRenamed("rank", "sem_rank")
+    x = lexical.where(F.col(key).isNotNull()).withColumnRenamed("rank", "lex_rank")
     part = lambda c: F.coalesce(1.0 / (F.lit(float(k)) + F.col(c)), F.lit(0.0))
     t = s.join(x, key, "full_outer").withColumn("rrf_score", part("sem_rank") + part("lex_rank"))
     order = [F.desc("rrf_score"), F.asc_nulls_last("sem_rank"), F.asc_nulls_last("lex_rank"), key]

@@ -1,21 +1,25 @@
 """The index as Parquet tables: incremental build by content hash, one batch job a sync.
 
-Layout below the root: files/, chunks/, postings/, auto_tags/ (derived, one version folder a sync) and CURRENT (the version).
-User state (own tags, stars, clusters) is kept apart and survives reindexing.
+Layout below the root: data-<version>-<id>/{files,chunks,postings,auto_tags}/bucket=<n>/ and manifest-<version>.json. User state (own tags, stars, clusters) is kept apart and survives reindexing.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.operators import lexical
+from foliant.operators.search import Engine
 from foliant.operators.tags import keyword_tags
 from foliant.operators.vectors import Embedder, embed
-from foliant.sources.parsing import ChunkConfig, chunk_files, explode_chunks
+from foliant.scale import sized
+from foliant.sources.parsing import CHUNK, ChunkConfig, chunk_files, explode_chunks
 from foliant.sources.scan import SourceList, scan_sources
 
 TABLES = ("files", "chunks", "postings", "auto_tags")
@@ -34,104 +38,166 @@ def orphans(scan: DataFrame, indexed: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
-    """A versioned index below ``root``; every sync writes a new version, then moves the pointer, so readers never see a mix."""
+    """A versioned index below ``root``, cut into buckets by a hash of the file path.
+
+    A change rewrites the buckets of the changed files only. Data folders have names of their own; a manifest, written under
+    another name and renamed into place, lists the folder of each bucket. Readers take the highest manifest, so they see all of
+    a change or nothing, also after a crash. Folders that neither of the last two manifests names are deleted.
+    """
 
     spark: SparkSession
     root: str
     embedder: Embedder | None = None
     config: ChunkConfig = ChunkConfig()
+    buckets: int = 64
+    #: Called as progress(done, total, what) at each step of a change.
+    progress: Callable[[int, int, str], None] | None = None
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
     def _fs(self):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        return jvm, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _names(self, pattern: str) -> list[str]:
+        return sorted(f.getPath().getName() for f in self._fs().globStatus(self._path(pattern)) or [])
+
+    def _read(self, name: str) -> dict:
+        return json.loads("".join(r[0] for r in self.spark.read.text(self._path(name).toString()).collect()))
 
     def info(self) -> dict:
-        jvm, fs = self._fs()
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.root}/CURRENT")
-        if not fs.exists(at):
-            return {"version": 0, "embedding_dim": None}
-        return json.loads(self.spark.read.text(f"{self.root}/CURRENT").first()[0])
+        """The current manifest: version, embedding_dim, buckets (number), folders (bucket -> folder)."""
+        found = self._names("manifest-*.json")
+        return self._read(found[-1]) if found else {"version": 0, "embedding_dim": None, "buckets": self.buckets, "folders": {}}
 
     def _commit(self, info: dict) -> None:
-        jvm, fs = self._fs()
-        temp, at = (jvm.org.apache.hadoop.fs.Path(f"{self.root}/{n}") for n in ("_CURRENT.new", "CURRENT"))
+        fs = self._fs()
+        temp, at = self._path(f"_{uuid.uuid4().hex}.new"), self._path(f"manifest-{info['version']:010d}.json")
         out = fs.create(temp, True)
         out.write(bytearray(json.dumps(info).encode()))
         out.close()
-        fs.delete(at, False)
-        fs.rename(temp, at)
-
-    def table(self, name: str, version: int | None = None) -> DataFrame | None:
-        v = version or self.info()["version"]
-        return self.spark.read.parquet(f"{self.root}/v{v}/{name}") if v else None
+        if fs.exists(at) or not fs.rename(temp, at):
+            fs.delete(temp, False)
+            raise RuntimeError(f"version {info['version']} was committed by another writer")
+        self._clean()
+
+    def _clean(self) -> None:
+        """Delete manifests before the last two, and data folders that neither of these names."""
+        fs, manifests = self._fs(), self._names("manifest-*.json")
+        for old in manifests[:-2]:
+            fs.delete(self._path(old), False)
+        used = {f for m in manifests[-2:] for f in self._read(m)["folders"].values()}
+        for folder in set(self._names("data-*")) - {f.split("/")[0] for f in used}:
+            fs.delete(self._path(folder), True)
+
+    def table(self, name: str, buckets: list[int] | None = None) -> DataFrame | None:
+        """A table's rows, of all buckets or of some; None before the first version."""
+        folders = self.info()["folders"]
+        at = [f"{self.root}/{f.split('/')[0]}/{name}/bucket={b}" for b, f in folders.items() if buckets is None or int(b) in buckets]
+        return self.spark.read.schema(self._schemas()[name]).parquet(*at) if at else None
+
+    def _schemas(self) -> dict:
+        """Columns of each table; chunk vectors and index statistics come with them."""
+        chunk = CHUNK + (", embedding array<float>" if self.info()["embedding_dim"] else "")
+        files = "file_path string, file_name string, file_extension string, file_size long, md5_hash string, modified_time timestamp, title string, source string, error string, chunk_count int"
+        return {"files": files, "chunks": chunk, "postings": "id string, dl int, term string, tf long, file_path string", "auto_tags": "file_path string, tag string, ord int"}
+
+    def stats(self) -> DataFrame:
+        """One row (n, avgdl) for keyword scores: from the chunks' lengths, without reading any term."""
+        return lexical.index_stats(self.table("postings").select("id", "dl"))
 
     def stale(self, embedder: Embedder) -> bool:
         """The stored vectors are of another dimension than the embedder's."""
         dim = self.info()["embedding_dim"]
         return dim is not None and dim != embedder.dim
 
+    def _tell(self, done: int, total: int, what: str) -> None:
+        if self.progress is not None:
+            self.progress(done, total, what)
+
     def sync(self, sources: SourceList, incremental: bool = True) -> dict:
         """Bring the index to what the enabled sources hold; unchanged files keep their rows. Returns the counts by change."""
         scan, errors = scan_sources(self.spark, sources)
         stats = {"new": 0, "updated": 0, "unchanged": 0, "removed": 0, "errors": errors, "sources": len(sources.enabled())}
         if scan is None:
             return stats
-        info = self.info()
-        old = self.table("files") if info["version"] else None
+        self._tell(0, 3, "scan")
+        old = self.table("files")
         if old is not None and incremental:
             marked = diff(scan, old.where("error is null"))
-            stats["removed"] = orphans(scan, old).count()
+            gone = orphans(scan, old).select("file_path")
+            stats["removed"] = gone.count()
         else:
-            marked = scan.withColumn("change", F.lit("new"))
+            marked, gone = scan.withColumn("change", F.lit("new")), None if old is None else orphans(scan, old).select("file_path")
         stats |= {r.change: r["count"] for r in marked.groupBy("change").count().collect()}
         if old is not None and incremental and not (stats["new"] or stats["updated"] or stats["removed"]):
             return stats
-        self._write(marked, info, incremental and old is not None)
-        stats["errors"] = errors + [{"source": r.file_path, "error": r.error} for r in self.table("files").where("error is not null").select("file_path", "error").collect()]
+        failed = self._write(marked.where("change <> 'unchanged'").drop("change"), gone)
+        stats["errors"] = errors + [{"source": k, "error": v} for k, v in failed.items()]
         return stats
 
-    def _write(self, marked: DataFrame, info: dict, keep: bool) -> None:
-        v = info["version"] + 1
-        at = f"{self.root}/v{v}"
-        changed = marked.where("change <> 'unchanged'")
-        same = marked.where("change = 'unchanged'").select("file_path") if keep else None
-        chunk_files(changed, self.config).write.parquet(f"{at}/_parsed")
-        parsed = self.spark.read.parquet(f"{at}/_parsed")
-        chunks = explode_chunks(parsed)
-        if self.embedder is not None:
-            chunks = embed(chunks, self.embedder)
-        meta = changed.drop("content", "change").join(parsed.select("file_path", "error", F.size("chunks").alias("chunk_count")), "file_path", "left")
-        body = parsed.select("file_path", F.array_join(F.transform("chunks", lambda c: c["content"]), "\n").alias("text"))
-        named = body.join(changed.select("file_path", F.coalesce("title", "file_name").alias("title")), "file_path")
-        made = {"files": meta, "chunks": chunks, "auto_tags": keyword_tags(named).select("file_path", "tag", "ord")}
-        made["postings"] = lexical.postings(chunks.select(F.col("chunk_id").alias("id"), "content"), text="content")
-        for name in TABLES:
-            t = made[name]
-            if same is not None:
-                old = self.table(name, info["version"])
-                if name == "postings":
-                    ids = self.table("chunks", info["version"]).join(same, "file_path", "left_semi").select(F.col("chunk_id").alias("id"))
-                    old = old.join(ids, "id", "left_semi")
-                else:
-                    old = old.join(same, "file_path", "left_semi")
-                t = t.unionByName(old, allowMissingColumns=True)
-            if name == "postings":
-                t = t.repartitionByRange("term").sortWithinPartitions("term")  # row groups hold few terms each, so a term's filter skips the rest
-            t.write.parquet(f"{at}/{name}")
-        self._commit({"version": v, "embedding_dim": self.embedder.dim if self.embedder else None})
+    def reindex(self, sources: SourceList, paths: list[str]) -> dict[str, str | None]:
+        """Index these files anew, whatever their hashes: path -> None, or why it failed. A file that is gone loses its rows."""
+        asked = self.spark.createDataFrame([(p,) for p in dict.fromkeys(paths)], "file_path string")
+        scan, _ = scan_sources(self.spark, sources)
+        there = None if scan is None else scan.join(F.broadcast(asked), "file_path", "left_semi")  # the caller's few paths
+        found = set() if there is None else {r.file_path for r in there.select("file_path").collect()}
+        missing = [p for p in dict.fromkeys(paths) if p not in found]
+        out: dict[str, str | None] = dict.fromkeys(paths) | {p: "not found in any enabled source" for p in missing}
+        if there is None or not paths:
+            return out
+        gone = self.spark.createDataFrame([(p,) for p in missing], "file_path string")
+        return out | self._write(there, gone)
 
     def remove(self, paths: list[str]) -> None:
         """A version without these files."""
+        if paths and self.info()["version"]:
+            self._write(None, self.spark.createDataFrame([(p,) for p in paths], "file_path string"))
+
+    def _bucket(self, n: int):
+        return F.pmod(F.xxhash64("file_path"), F.lit(n)).cast("int")
+
+    def _write(self, changed: DataFrame | None, gone: DataFrame | None) -> dict[str, str]:
+        """Commit a version with the rows of ``changed`` new and those of ``gone`` out; returns path -> error of unreadable files."""
         info = self.info()
-        gone = self.spark.createDataFrame([(p,) for p in paths], "file_path string")
-        v = info["version"] + 1
-        old_chunks = self.table("chunks")
-        ids = old_chunks.join(gone, "file_path", "left_semi").select(F.col("chunk_id").alias("id"))
+        n = info["buckets"]
+        folder = f"data-{info['version'] + 1:010d}-{uuid.uuid4().hex[:8]}"
+        at = f"{self.root}/{folder}"
+        made, touched, errors = {}, [], {}
+        if changed is not None:
+            self._tell(1, 3, "parse")
+            chunk_files(changed, self.config).write.parquet(f"{at}/_parsed")
+            parsed = self.spark.read.parquet(f"{at}/_parsed")
+            chunks = explode_chunks(parsed)
+            if self.embedder is not None:
+                chunks = embed(chunks, self.embedder)
+            meta = changed.drop("content").join(parsed.select("file_path", "error", F.size("chunks").alias("chunk_count")), "file_path", "left")
+            body = parsed.select("file_path", F.array_join(F.transform("chunks", lambda c: c["content"]), "\n").alias("text"))
+            named = body.join(changed.select("file_path", F.coalesce("title", "file_name").alias("title")), "file_path")
+            post = lexical.postings(chunks.select(F.struct("chunk_id", "file_path").alias("id"), "content"), text="content")
+            made = {"files": meta, "chunks": chunks, "auto_tags": keyword_tags(named).select("file_path", "tag", "ord"), "postings": post.select(F.col("id.chunk_id").alias("id"), "dl", "term", "tf", F.col("id.file_path").alias("file_path"))}
+            touched.append(parsed.select("file_path"))
+            errors = {r.file_path: r.error for r in parsed.where("error is not null").select("file_path", "error").collect()}
+        if gone is not None:
+            touched.append(gone.select("file_path"))
+        touched = reduce(DataFrame.unionByName, touched).distinct()
+        hit = sorted(r[0] for r in touched.select(self._bucket(n)).distinct().collect())  # at most the number of buckets
+        self._tell(2, 3, "write")
+        dim = self.embedder.dim if self.embedder else info["embedding_dim"]
         for name in TABLES:
-            t = self.table(name, info["version"])
-            (t.join(ids, "id", "left_anti") if name == "postings" else t.join(gone, "file_path", "left_anti")).write.parquet(f"{self.root}/v{v}/{name}")
-        self._commit(info | {"version": v})
+            old = self.table(name, hit)
+            parts = [t for t in (made.get(name), None if old is None else old.join(sized(touched), "file_path", "left_anti")) if t is not None]
+            if parts:
+                t = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts).withColumn("bucket", self._bucket(n))
+                order = ["bucket", "term"] if name == "postings" else ["bucket", "file_path"]  # sorted: a term's filter skips most row groups
+                t.repartition("bucket").sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{at}/{name}")
+        for name in TABLES:  # a bucket without rows has an empty folder
+            for b in hit:
+                self._fs().mkdirs(self._path(f"{folder}/{name}/bucket={b}"))
+        self._fs().delete(self._path(f"{folder}/_parsed"), True)
+        self._commit(info | {"version": info["version"] + 1, "embedding_dim": dim, "folders": info["folders"] | {str(b): f"{folder}/{b}" for b in hit}})
+        self._tell(3, 3, "done")
+        return errors
 
     def searchable(self, own_tags: DataFrame | None = None) -> DataFrame:
         """Chunks with id and file_tags, ready for the search engine."""
@@ -140,3 +206,7 @@ class Index:
         tags = self.table("auto_tags")
         tags = add_tags(own_tags, tags) if own_tags is not None else tags
         return self.table("chunks").withColumnRenamed("chunk_id", "id").join(tags_of(tags), "file_path", "left").withColumn("file_tags", F.coalesce("file_tags", F.array().cast("array<string>")))
+
+    def engine(self, mode: str = "hybrid", own_tags: DataFrame | None = None) -> Engine:
+        """A search engine over the stored chunks, postings and vectors."""
+        return Engine(self.searchable(own_tags), self.embedder, mode, self.table("postings"), self.stats())

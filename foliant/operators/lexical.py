@@ -1,11 +1,14 @@
-"""BM25 over a postings table."""
+"""BM25 over a stored postings table, or over texts in one pass for the statistics and one over the texts that hold a term."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.text import lexical_tokens
+from foliant.functions.text import let, lexical_tokens
 
 K1, B = 1.2, 0.75
 
@@ -34,33 +37,44 @@ def query_terms(spark, query: str) -> list[str]:
     return list(row.t)
 
 
-def _count(term: str):
-    return F.size(F.filter("__t", lambda x: x == term))
+def _count(tokens: Column, low: Column, term: str) -> Column:
+    return F.when(F.contains(low, F.lit(term)), F.size(F.filter(tokens, lambda x: x == term))).otherwise(F.lit(0))
+
+
+def profiles(docs: DataFrame, terms: list[str], keep: list[str], text: str = "text") -> DataFrame:
+    """``keep`` columns, dl (tokens) and tf (occurrences of each term). The generator keeps conditions on dl and tf above it, so a
+    text is tokenised once whatever follows."""
+    low = F.lower(F.col(text))
+    x = let(lexical_tokens(F.col(text)), lambda t: F.struct(F.size(t).alias("dl"), F.array(*[_count(t, low, w) for w in terms]).cast("array<int>").alias("tf")))
+    return docs.select(*keep, F.explode_outer(F.array(x)).alias("__x")).select(*keep, "__x.dl", "__x.tf")
 
 
 def bm25(docs: DataFrame, query: str, key: str = "id", text: str = "text", where=None) -> DataFrame:
     """(key, lexical_score) of documents that hold a query term, unsorted.
 
-    The query's terms are literals, so a document's tokens are counted inside its row and only matching documents leave
-    the scan: one pass, and besides the scores only n, avgdl and the terms' frequencies (one row) are aggregated. ``where``
-    restricts the result, not the statistics.
+    One pass counts n, avgdl and the terms' frequencies, one row that the driver reads; scores then come from the texts that
+    hold a term as a substring, a search that needs no tokens. ``where`` restricts the result, not the statistics. A corpus that
+    is searched often should be indexed: ``bm25_indexed``.
     """
     terms = query_terms(docs.sparkSession, query)
-    tokens = docs.select("*", lexical_tokens(F.col(text)).alias("__t")).select(*docs.columns, F.size("__t").alias("dl"), *[_count(t).alias(f"__f{i}") for i, t in enumerate(terms)])
-    stats = tokens.where("dl > 0").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"__f{i}") > 0).alias(f"__d{i}") for i in range(len(terms))])
-    t = tokens.where(where) if where is not None else tokens
-    t = t.where(" or ".join(f"__f{i} > 0" for i in range(len(terms))) or "false").crossJoin(F.broadcast(stats))  # one row
+    holds = reduce(lambda a, b: a | b, [F.contains(F.lower(F.col(text)), F.lit(w)) for w in terms], F.lit(False))
+    t = (docs.where(where) if where is not None else docs).where(holds)
+    s = profiles(docs, terms, [], text).where("dl > 0").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col("tf")[i] > 0).alias(f"d{i}") for i in range(len(terms))]).first() if terms else None
     score = F.lit(0.0)
-    for i in range(len(terms)):
-        f, df = F.col(f"__f{i}"), F.col(f"__d{i}")
-        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-        score = score + F.when(f > 0, idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).otherwise(F.lit(0.0))
-    return t.select(key, score.alias("lexical_score")).where("lexical_score > 0")
+    for i in range(len(terms) if s and s.n else 0):
+        f, idf = F.col("tf")[i], math.log(1 + (s.n - s[f"d{i}"] + 0.5) / (s[f"d{i}"] + 0.5))
+        score = score + F.lit(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.lit(float(s.avgdl))))
+    return profiles(t, terms, [key], text).select(key, score.alias("lexical_score")).where("lexical_score > 0")
+
+
+def index_stats(post: DataFrame, key: str = "id") -> DataFrame:
+    """One row (n, avgdl) of a postings table, to be stored beside it."""
+    return post.groupBy(key).agg(F.first("dl").alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def bm25_indexed(post: DataFrame, terms: list[str], key: str = "id") -> DataFrame:
-    """The same scores from a stored postings table: only the query's terms are read (pushed down)."""
-    size = post.select(key, "dl").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+def bm25_indexed(post: DataFrame, terms: list[str], key: str = "id", stats: DataFrame | None = None) -> DataFrame:
+    """The same scores from a stored postings table: with the stored ``stats`` only the query's terms are read (pushed down)."""
+    size = index_stats(post, key) if stats is None else stats.select("n", "avgdl")
     hit = post.where(F.col("term").isin(terms))
     df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     j = hit.join(F.broadcast(df), "term").crossJoin(F.broadcast(size))  # a row a query term, and one row

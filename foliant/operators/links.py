@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from foliant.functions.paths import MARKDOWN, basename, extension, stem
-from foliant.scale import ship
+from foliant.functions.paths import MARKDOWN, basename, extension, normal_path, stem
 
+#: What the link syntax of Markdown and of wikis fixes: the target between double brackets, or in round ones after a label.
+WIKILINK = r"\[\[([^\[\]]+)\]\]"
+LABELLED = r"(?<!!)\[[^\]]*\]\(([^)]+)\)"
+FENCE = r"(?md)^ *```.*$"
 #: Targets that leave the corpus.
 EXTERNAL = ("http://", "https://", "mailto:", "ftp://", "data:", "#", "//")
 
@@ -19,43 +19,46 @@ def guess_type(raw: Column) -> Column:
     return F.when(raw.startswith("/"), "abspath").when(extension(raw).isin(*MARKDOWN) | raw.contains("/") | raw.contains("\\"), "relpath").otherwise("wikilink")
 
 
+def outside_fences(text: Column) -> Column:
+    """Array of (start, body): the runs of text between fenced blocks, with the line number that each begins on.
+
+    The text is cut at its fence lines; every second piece is fenced. A fence line's own rest is an empty first line.
+    """
+    add = lambda a, piece: F.struct((a["line"] + F.length(piece) - F.length(F.replace(piece, F.lit("\n"), F.lit("")))).cast("int").alias("line"), F.concat(a["all"], F.array(F.struct(a["line"].alias("start"), piece.alias("body")))).alias("all"))
+    none = F.struct(F.lit(0).alias("line"), F.array().cast("array<struct<start:int,body:string>>").alias("all"))
+    return F.filter(F.aggregate(F.split(text, FENCE, -1), none, add, lambda a: a["all"]), lambda _, i: i % 2 == 0)
+
+
 def extract_links(files: DataFrame) -> DataFrame:
-    """(source, target_raw, link_type, line, context) of (file_path, text), in the row: fence parity is a fold over the lines."""
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"), F.trim(x).startswith("```").alias("fence")))
-    marks = F.transform(F.filter(lines, lambda s: s["fence"]), lambda s: s["i"])
-    t = files.select("file_path", lines.alias("lines"), marks.alias("marks"))
-    # A line is inside a fence if an odd number of fence lines stands before it.
-    t = t.select("file_path", "marks", F.explode("lines").alias("l")).where("not l.fence").where(F.size(F.filter("marks", lambda m: m < F.col("l.i"))) % 2 == 0)
-    wiki = F.transform(F.regexp_extract_all("l.x", F.lit(r"\[\[([^\[\]]+)\]\]"), F.lit(1)), lambda m: F.struct(F.trim(F.substring_index(F.substring_index(F.trim(m), "|", 1), "#", 1)).alias("raw"), F.lit("wikilink").alias("kind")))
-    md = F.transform(F.regexp_extract_all("l.x", F.lit(r"(?<!!)\[[^\]]*\]\(([^)]+)\)"), F.lit(1)), lambda m: F.struct(F.trim(m).alias("raw"), F.when(F.trim(m).startswith("/"), "abspath").otherwise("relpath").alias("kind")))
+    """(source, target_raw, link_type, line, context) of (file_path, text), fenced blocks left out. No shuffle."""
+    t = files.select("file_path", F.explode(outside_fences(F.col("text"))).alias("p")).where(F.contains("p.body", F.lit("](")) | F.contains("p.body", F.lit("[[")))
+    t = t.select("file_path", "p.start", F.posexplode(F.split("p.body", "\n")).alias("at", "x")).select("file_path", (F.col("start") + F.col("at")).alias("i"), "x")
+    wiki = F.transform(F.regexp_extract_all("x", F.lit(WIKILINK), F.lit(1)), lambda m: F.struct(F.trim(F.substring_index(F.substring_index(F.trim(m), "|", 1), "#", 1)).alias("raw"), F.lit("wikilink").alias("kind")))
+    md = F.transform(F.regexp_extract_all("x", F.lit(LABELLED), F.lit(1)), lambda m: F.struct(F.trim(m).alias("raw"), F.when(F.trim(m).startswith("/"), "abspath").otherwise("relpath").alias("kind")))
     external = F.lit(False)
     for p in EXTERNAL:
         external = external | F.lower(F.col("k.raw")).startswith(p)
-    t = t.select("file_path", "l", F.explode(F.concat(wiki, md)).alias("k")).where("k.raw <> ''").where((F.col("k.kind") == "wikilink") | ~external)
-    return t.select(F.col("file_path").alias("source"), F.col("k.raw").alias("target_raw"), F.col("k.kind").alias("link_type"), F.col("l.i").alias("line"), F.substring(F.trim("l.x"), 1, 200).alias("context"))
+    t = t.select("file_path", "i", "x", F.explode(F.concat(wiki, md)).alias("k")).where("k.raw <> ''").where((F.col("k.kind") == "wikilink") | ~external)
+    return t.select(F.col("file_path").alias("source"), F.col("k.raw").alias("target_raw"), F.col("k.kind").alias("link_type"), F.col("i").alias("line"), F.substring(F.trim("x"), 1, 200).alias("context"))
 
 
-@F.udf(T.StringType(), useArrow=True)
-def joined_path(source: str, raw: str, root: str):
+def joined_path(source: Column, raw: Column, root: Column) -> Column:
     """Target path of a link as written: against its folder, or against the source's root."""
-    path = raw.split("#", 1)[0].split("?", 1)[0]
-    if path.startswith("/"):
-        return os.path.normpath(f"{root or ''}/{path.lstrip('/')}")
-    return os.path.normpath(os.path.join(os.path.dirname(source), path))
+    path = F.regexp_replace(raw, "[#?].*$", "")
+    folder = F.when(source.contains("/"), F.regexp_replace(source, "[^/]*$", "")).otherwise("")
+    return normal_path(F.when(path.startswith("/"), F.concat(F.coalesce(root, F.lit("")), path)).otherwise(F.concat(folder, path)))
 
 
 def resolve_links(links: DataFrame, files: DataFrame) -> DataFrame:
     """``links`` with target: for paths the exact path, then the same base name in the same source, then in any; for wikilinks
     title in the same source, stem in the same source, any title, any stem. Within a level the least path; null if none.
 
-    Each level is one equi-join on a key of which the files table keeps the least path, so no join multiplies rows. The path
-    arithmetic is the only row function in Python, and runs on links alone.
+    Each level is one equi-join on a key of which the files table keeps the least path, so no join multiplies rows.
     """
-    ship(links.sparkSession)
     f = files.select("file_path", "source", F.lower(F.coalesce("title", F.lit(""))).alias("title"), F.lower(stem(F.col("file_path"))).alias("stem"), F.lower(basename(F.col("file_path"))).alias("base"))
     t = links.join(f.select(F.col("file_path").alias("source_path"), F.col("source").alias("root")), links["source"] == F.col("source_path"), "left").drop("source_path")
     is_path = F.col("link_type") != "wikilink"
-    t = t.withColumn("__exact", F.when(is_path, joined_path("source", "target_raw", "root")))
+    t = t.withColumn("__exact", F.when(is_path, joined_path(F.col("source"), F.col("target_raw"), F.col("root"))))
     clean = F.regexp_replace("target_raw", "[#?].*$", "")
     t = t.withColumn("__base", F.when(is_path, F.lower(basename(clean)))).withColumn("__name", F.when(~is_path, F.lower(F.regexp_replace(basename(F.col("target_raw")), r"(?i)\.(md|markdown|mdown|mkd|mdx|mdwn)$", ""))))
 

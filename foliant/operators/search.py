@@ -30,6 +30,9 @@ class Engine:
     chunks: DataFrame
     embedder: vectors.Embedder | None = None
     mode: str = "hybrid"
+    #: The stored index of the chunks: (id, term, tf, dl) and one row (n, avgdl). Without it keyword searches read all texts.
+    postings: DataFrame | None = None
+    stats: DataFrame | None = None
 
     def __post_init__(self):
         self.set_mode(self.mode)
@@ -86,17 +89,22 @@ class Engine:
         near = vectors.knn(self.chunks, list(self.embedder.encode([words])[0]), k, where=where).select("id", "similarity", "distance")
         return near.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), "id")))
 
+    def _keyword(self, text: str, where) -> DataFrame:
+        if self.postings is None:
+            return lexical.bm25(self.chunks, text, text="content", where=where)
+        scored = lexical.bm25_indexed(self.postings, lexical.query_terms(self.chunks.sparkSession, text), "id", self.stats)
+        return scored if where is None else scored.join(self.chunks.where(where).select("id"), "id", "left_semi")
+
     def retrieve(self, text: str, mode: str, k: int, where, fetch: int | None = None) -> DataFrame:
         """Ranked ids with scores, joined back to the k rows they name, so wide columns stay out of ranking."""
         fetch = fetch or overfetch(k)
         lex = sem = None
         if mode != "semantic":
-            lex = lexical.top(lexical.bm25(self.chunks, text, text="content", where=where), "lexical_score", k if mode == "keyword" else fetch)
+            lex = lexical.top(self._keyword(text, where), "lexical_score", k if mode == "keyword" else fetch)
         if mode != "keyword":
             sem = self._semantic(text, k if mode == "semantic" else fetch, where)
         if mode == "hybrid":
-            ranked = fusion.rrf(sem, lex, top_n=k).select("id", "rrf_score", "rank")
-            ranked = ranked.join(sem.drop("rank"), "id", "left").join(lex.drop("rank"), "id", "left")
+            ranked = fusion.rrf(sem, lex, top_n=k).drop("sem_rank", "lex_rank")
         else:
             ranked = lex if mode == "keyword" else sem
         return self.chunks.join(F.broadcast(ranked), "id")  # at most k rows

@@ -17,7 +17,7 @@ class SnapshotError(ValueError):
 
 
 def create_snapshot(data_dir: str, target: str, model: str, embedding_dim: int, sources: list[dict] = ()) -> str:
-    """Zip the folder, with a description of what it holds."""
+    """Zip the folder, with a description of what it holds. The description's file name and keys."""
     meta = {"app_version": "1", "model": model, "embedding_dim": embedding_dim, "created_at": time.strftime("%Y-%m-%dT%H:%M:%S"), "sources": list(sources)}
     with open(os.path.join(data_dir, "meta.json"), "w", encoding="utf-8") as f:
         json.dump(meta, f)
@@ -58,6 +58,8 @@ def restore_snapshot(archive: str, data_dir: str, model: str, embedding_dim: int
 
 @dataclass
 class Settings:
+    """The application's settings. Names and defaults are those of the settings file."""
+
     top_k: int = 10
     search_mode: str = "hybrid"
     model: str = "hash"
@@ -77,13 +79,18 @@ class Settings:
 
     @classmethod
     def load(cls, path: str) -> Settings:
-        """From JSON; unknown keys are dropped, an unreadable file gives the defaults."""
+        """From JSON, field by field; a value of another kind than the default's, or none, leaves the default, as does an unreadable file."""
+        out = cls()
         try:
             with open(path, encoding="utf-8") as f:
-                data = json.load(f)
-            return cls(**{k: v for k, v in data.items() if k in cls.__dataclass_fields__})
-        except (OSError, ValueError, AttributeError):
-            return cls()
+                stored = json.load(f)
+        except (OSError, ValueError):
+            return out
+        for name, usual in asdict(out).items():
+            value = stored.get(name) if isinstance(stored, dict) else None
+            if type(value) is type(usual):
+                setattr(out, name, value)
+        return out
 
     def save(self, path: str) -> None:
         with open(path, "w", encoding="utf-8") as f:

@@ -44,30 +44,6 @@ def knn(chunks: DataFrame, query: list[float], k: int, key: str = "id", vector:
     return t.orderBy(F.desc("similarity"), key).limit(k)
 
 
-def knn_batches(chunks: DataFrame, queries: np.ndarray, k: int, key: str = "id", vector: str = "embedding") -> DataFrame:
-    """(query, key, similarity): the k nearest rows of each of a block of queries; every task keeps k a query before the shuffle."""
-    ship(chunks.sparkSession)
-    q = queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)
-
-    def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            m = np.array(b.column(1).to_pylist(), float)
-            sims = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)) @ q.T
-            n = min(k, len(m))
-            ids = b.column(0)
-            for j in range(len(q)):
-                kth = np.partition(sims[:, j], len(m) - n)[len(m) - n]  # rows that tie with it all go on
-                at = np.flatnonzero(sims[:, j] >= kth)
-                yield pa.RecordBatch.from_arrays([pa.array([j] * len(at), pa.int32()), ids.take(pa.array(at)), pa.array(sims[at, j])], names=["query", key, "similarity"])
-
-    kind = chunks.schema[key].dataType.simpleString()
-    near = chunks.select(key, vector).mapInArrow(run, f"query int, {key} {kind}, similarity double")
-    w = Window.partitionBy("query").orderBy(F.desc("similarity"), key)
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def knn_join(chunks: DataFrame, queries: DataFrame, k: int, key: str = "id", vector: str = "embedding", block: int = 2048) -> DataFrame:
     """(query, key, similarity, rank): the k nearest rows of ``chunks`` of every row of ``queries`` (same key and vector columns).
 

@@ -16,7 +16,7 @@ from foliant.operators.export import export_rows
 from foliant.operators.search import Engine, chunks_of, exclude_rows, files_with_tags
 from foliant.plans.compiler import any_value, predicate
 from foliant.plans.querylang import combine, parse_query, tag_query
-from foliant.scale import read_table, ship
+from foliant.scale import read_table, ship, stash
 from foliant.sources.parsing import ChunkConfig, chunk_files, explode_chunks, paragraphs_of, title_of
 from foliant.sources.scan import documents_as_files
 from foliant.streaming.watch import debounce
@@ -115,14 +115,6 @@ def knn_prefiltered(spark, d):
     return _ranked(vectors.knn(_vectors(spark, d), _probe(spark, d), 10, where=any_value(label=[1, 2])), "similarity").select("id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
-def knn_block(spark, d):
-    import numpy as np
-
-    rows = read_table(spark, d, "embeddings").where("vec_id < 5").orderBy("vec_id").collect()
-    near = vectors.knn_batches(_vectors(spark, d), np.array([r.embedding for r in rows], float), 5)
-    return near.select(F.col("query").cast("long").alias("probe"), "id", F.round("similarity", 6).alias("similarity"), "rank")
-
-
 def knn_all_blocks(spark, d):
     v = _vectors(spark, d)
     near = vectors.knn_join(v, v.where("id % 20 = 0"), 5)
@@ -157,7 +149,7 @@ def rrf(spark, d):
 
 def hybrid(spark, d):
     near, lex = _lists(spark, d)
-    t = fusion.rrf(near, lex, top_n=10).join(near.drop("rank"), "id", "left").join(lex.drop("rank"), "id", "left")
+    t = fusion.rrf(near, lex, top_n=10)
     shown = F.coalesce("similarity", fusion.display_score(F.col("lexical_score")))
     return t.select("id", "rrf_score", "rank", F.round(shown, 6).alias("similarity"), F.round("lexical_score", 6).alias("lexical_score"))
 
@@ -171,6 +163,14 @@ def keyword_search(spark, d):
     return engine(spark, d).search(TEXT, 10).select("id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+def indexed_search(spark, d):
+    """Keyword search over stored postings and statistics; the texts are only read for the rows that are shown."""
+    c = chunks(spark, d)
+    post = stash(lexical.postings(c.select("id", "content"), text="content").repartitionByRange("term").sortWithinPartitions("term"))
+    e = Engine(c, None, "keyword", post, stash(lexical.index_stats(post)))
+    return e.search(TEXT, 10).select("id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
 def boolean_search(spark, d):
     return engine(spark, d).search("(license OR token) NOT tag:toxic", 10).select("id", F.round("lexical_score", 6).alias("lexical_score"), "rank")
 
@@ -465,7 +465,6 @@ QUERIES = {
     "matched_terms": matched,
     "knn_topk": knn,
     "knn_prefiltered": knn_prefiltered,
-    "knn_query_block": knn_block,
     "knn_query_blocks": knn_all_blocks,
     "query_similar_by_label": similar,
     "file_vector_meanpool": mean_pool,
@@ -474,6 +473,7 @@ QUERIES = {
     "hybrid_search": hybrid,
     "normalize_minmax": min_max,
     "keyword_normalised": keyword_search,
+    "indexed_search": indexed_search,
     "boolean_search": boolean_search,
     "exact_dups_md5": exact_dups,
     "group_by_file": group_file,
@@ -601,8 +601,6 @@ ORACLE = {
     "matched_terms": f"""SELECT doc_id AS id, array_to_string({_HAS.format("['license', 'the', 'token']", "text")}, ',') AS terms FROM documents""",
     "knn_topk": f"WITH {_V} {_NEAR.format(w='true', k=10)}",
     "knn_prefiltered": f"WITH {_V} {_NEAR.format(w='label IN (1, 2)', k=10)}",
-    "knn_query_block": f"""WITH {_V} SELECT a.id AS probe, b.id AS id, round(list_cosine_similarity(a.e, b.e), 6) AS similarity,
-  CAST(row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.id) AS INT) AS rank FROM v a, v b WHERE a.id < 5 QUALIFY rank <= 5""",
     "knn_query_blocks": f"""WITH {_V} SELECT a.id AS probe, b.id AS id, round(list_cosine_similarity(a.e, b.e), 6) AS similarity,
   CAST(row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.id) AS INT) AS rank FROM v a, v b WHERE a.id % 20 = 0 QUALIFY rank <= 5""",
     "query_similar_by_label": f"""WITH {_V}, x AS (SELECT label, unnest(e) AS y, generate_subscripts(e, 1) AS i FROM v), m AS (SELECT list(y ORDER BY i) AS q FROM (SELECT i, avg(y) AS y FROM x WHERE label = 0 GROUP BY i)),
@@ -614,6 +612,7 @@ ORACLE = {
     "hybrid_search": f"{_FUSED} SELECT id, round(x, 6) AS rrf_score, rank, round(coalesce(sim, lexical_score / max(lexical_score) OVER ()), 6) AS similarity, round(lexical_score, 6) AS lexical_score FROM g WHERE rank <= 10",
     "normalize_minmax": f"WITH {_bm25(_TERMS)}, k AS (SELECT id, lexical_score AS x FROM s ORDER BY x DESC, id LIMIT 30) SELECT id, round((x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ()), 6) AS lexical_score_norm FROM k",
     "keyword_normalised": f"WITH {_bm25(_TERMS)}, k AS (SELECT id, lexical_score AS x, CAST(row_number() OVER (ORDER BY lexical_score DESC, id) AS INT) AS rank FROM s QUALIFY rank <= 10) SELECT id, round(x / max(x) OVER (), 6) AS similarity, rank FROM k",
+    "indexed_search": f"WITH {_bm25(_TERMS)}, k AS (SELECT id, lexical_score AS x, CAST(row_number() OVER (ORDER BY lexical_score DESC, id) AS INT) AS rank FROM s QUALIFY rank <= 10) SELECT id, round(x / max(x) OVER (), 6) AS similarity, rank FROM k",
     "boolean_search": f"""WITH {_C}, {_bm25(["license", "token"])}, k AS (SELECT s.id, lexical_score FROM s JOIN c USING (id) WHERE (contains(lower(content), 'license') OR contains(lower(content), 'token')) AND NOT list_contains(file_tags, 'toxic'))
   SELECT id, round(lexical_score, 6) AS lexical_score, CAST(row_number() OVER (ORDER BY lexical_score DESC, id) AS INT) AS rank FROM k QUALIFY rank <= 10""",
     "exact_dups_md5": "SELECT md5(text) AS md5_hash, count(*) AS n_files, min('/'||source||'/'||lang||'/'||doc_id||'.txt') AS first_path FROM documents GROUP BY md5(text) HAVING count(*) > 1",

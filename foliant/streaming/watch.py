@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from functools import reduce
 
@@ -48,22 +49,72 @@ def debounce(events: DataFrame, keys: list[str] = (), quiet_ms: int = QUIET_MS,
 
 
 class Watcher:
-    """Runs ``sync`` once per micro-batch with relevant changes; micro-batches are serial, so syncs never overlap."""
+    """Calls ``sync`` once a burst: when no relevant change has come for ``quiet_ms``. Syncs never overlap.
 
-    def __init__(self, spark: SparkSession, sources: SourceList, sync: Callable[[SourceList], dict], checkpoint: str):
-        self.spark, self.sources, self.sync, self.checkpoint = spark, sources, sync, checkpoint
-        self.queries, self.results = [], []
+    A micro-batch with relevant changes starts the quiet time anew, so a burst that spans batches gives one sync, after its end.
+    A failed sync is tried again after the quiet time, doubled each time, up to ``retries`` times; the stream goes on meanwhile,
+    and changes that come during a sync start a burst of their own.
+    """
 
-    def _flush(self, batch: DataFrame, _: int) -> None:
+    def __init__(self, spark: SparkSession, sources: SourceList, sync: Callable[[SourceList], dict], checkpoint: str, quiet_ms: int = QUIET_MS, retries: int = 3):
+        self.spark, self.sources, self.sync, self.checkpoint, self.quiet, self.retries = spark, sources, sync, checkpoint, quiet_ms / 1000, retries
+        self.queries, self.results, self.errors = [], [], []
+        self._timer: threading.Timer | None = None
+        self._state, self._running = threading.Lock(), threading.Lock()
+
+    def _arm(self, wait: float, failures: int) -> None:
+        with self._state:
+            if self._timer is not None:
+                self._timer.cancel()
+            self._timer = threading.Timer(wait, self._run, (failures,))
+            self._timer.daemon = True
+            self._timer.start()
+
+    def changed(self) -> None:
+        """A relevant change: the quiet time begins anew."""
+        self._arm(self.quiet, 0)
+
+    def _run(self, failures: int = 0) -> None:
+        with self._state:
+            self._timer = None
+        with self._running:
+            try:
+                self.results.append(self.sync(self.sources))
+                return
+            except Exception as e:  # the watcher outlives a failed sync
+                self.errors.append(f"{type(e).__name__}: {e}")
+        with self._state:
+            again = self._timer is None and failures < self.retries
+        if again:
+            self._arm(self.quiet * 2 ** (failures + 1), failures + 1)
+
+    def pending(self) -> bool:
+        with self._state:
+            return self._timer is not None
+
+    def flush(self) -> None:
+        """Run what is pending now; wait for a sync that runs."""
+        with self._state:
+            due, self._timer = self._timer, None
+            if due is not None:
+                due.cancel()
+        if due is not None:
+            self._run(self.retries)
+        with self._running:
+            pass
+
+    def _batch(self, batch: DataFrame, _: int) -> None:
         if not batch.where(relevant(F.col("path"), self.sources.items)).isEmpty():
-            self.results.append(self.sync(self.sources))
+            self.changed()
 
     def start(self, **trigger) -> None:
         for i, s in enumerate(self.sources.enabled()):
-            out = changes(self.spark, s).writeStream.foreachBatch(self._flush).option("checkpointLocation", f"{self.checkpoint}/{i}")
+            out = changes(self.spark, s).writeStream.foreachBatch(self._batch).option("checkpointLocation", f"{self.checkpoint}/{i}")
             self.queries.append(out.trigger(**(trigger or {"processingTime": f"{QUIET_MS} milliseconds"})).start())
 
     def stop(self) -> None:
+        """End the streams; a pending sync still runs."""
         for q in self.queries:
             q.stop()
         self.queries.clear()
+        self.flush()

@@ -1,15 +1,18 @@
 """Query language, parsers, ranking, index, links, streaming and state on small cases."""
 
+import csv
+import io
 import json
+import time
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from foliant.functions.paths import excluded, path_matches
+from foliant.functions.paths import excluded, normal_path, path_matches
 from foliant.functions.text import highlights, lexical_tokens, tag_tokens
-from foliant.operators import fusion, grouping, lexical, links, snapshot, vectors
+from foliant.operators import export, fusion, grouping, lexical, links, snapshot, vectors
 from foliant.operators.clusters import estimate_k
 from foliant.operators.indexer import Index
 from foliant.operators.search import Engine
@@ -111,6 +114,7 @@ def test_index_and_watch(spark, tmp_path):
     (d / "keep.txt").unlink()
     stats = index.sync(sources)
     assert (stats["updated"], stats["removed"]) == (1, 1) and index.table("files").count() == 1
+    assert index.engine("keyword").search("神经网络").count() == 1 and index.engine("keyword").search("plain").count() == 0
     assert index.stale(vectors.HashEmbedder(64)) and not index.stale(vectors.HashEmbedder(32))
     assert Engine(index.searchable()).search("神经网络", mode="keyword").count() == 1
     done = []
@@ -119,7 +123,7 @@ def test_index_and_watch(spark, tmp_path):
     for q in w.queries:
         q.awaitTermination(60)
     w.stop()
-    assert done
+    assert done == [1] and not w.pending()
     path = lambda p: spark.range(1).select(relevant(F.lit(p), sources.items)).first()[0]
     assert path(f"{d}/ok.md") and not any(map(path, [f"{d}/~$r.docx", f"{d}/n.tmp", f"{d}/a.swp", f"{d}/secret.md", "/elsewhere/a.md"]))
 
@@ -175,3 +179,101 @@ def test_knn_of_all_queries(spark):
             want |= {(i, r + 1): (j, round(float(u[i] @ u[j]), 9)) for r, j in enumerate(near)}
         assert got == want
     assert vectors.knn_join(df, df.where("false"), 3).count() == vectors.knn_join(df.where("false"), df, 3).count() == 0
+
+
+def test_texts_are_tokenised_once(spark):
+    docs = spark.createDataFrame([(1, "Alpha beta beta"), (2, "beta"), (3, None), (4, "神经网络 beta"), (5, "alphabet")], "id long, text string")
+    scored = lexical.bm25(docs, "beta 神经 alpha")
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[a-z0-9]+") <= 2  # two branches of one CASE
+    got = {r.id: r.lexical_score for r in scored.collect()}
+    post = lexical.postings(docs)
+    indexed = {r.id: r.lexical_score for r in lexical.bm25_indexed(post, ["beta", "神经", "alpha"], stats=lexical.index_stats(post)).collect()}
+    assert set(got) == {1, 2, 4} and got == pytest.approx(indexed)
+    assert lexical.bm25(docs, "").count() == 0 and lexical.bm25(docs.where("false"), "beta").count() == 0
+
+
+def test_spans_and_paths(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert [(x.start, x.end) for x in one(highlights(F.lit("aaa a.b A.B"), ["aa"]))] == [(0, 2), (1, 3)]
+    assert [x.start for x in one(highlights(F.lit("aaa a.b A.Bacb"), ["a.b"]))] == [4, 8]
+    import posixpath
+
+    paths = ["/a/./b//c/../d", "a/../../b", "", "/..", "../x/./y/..", "/a/b/../../../c", "."]
+    rows = spark.createDataFrame([(p,) for p in paths], "p string").select("p", normal_path(F.col("p")).alias("n")).collect()
+    assert {r.p: r.n for r in rows} == {p: posixpath.normpath(p) for p in paths}
+    text = "[[A]]\n  ```py\n[[B]]\n```\n[[C]] ![[D]]\n```\n[[E]]"
+    found = links.extract_links(spark.createDataFrame([("/n.md", text), ("/e.md", ""), ("/z.md", None)], "file_path string, text string")).collect()
+    assert [(r.target_raw, r.line) for r in found] == [("A", 0), ("C", 4), ("D", 4)]
+
+
+def test_index_changes_only_what_changed(spark, tmp_path, monkeypatch):
+    d = tmp_path / "docs"
+    d.mkdir()
+    for i in range(8):
+        (d / f"n{i}.md").write_text(f"# Title {i}\nbody word{i} common")
+    sources, steps = SourceList([Source(str(d))]), []
+    index = Index(spark, str(tmp_path / "index"), buckets=4, progress=lambda *a: steps.append(a))
+    assert index.sync(sources)["new"] == 8 and steps[-1] == (3, 3, "done")
+    before = index.info()
+    (d / "n3.md").write_text("# Title 3\nfresh words")
+    assert index.sync(sources)["updated"] == 1
+    after = index.info()
+    assert sum(after["folders"][b] != f for b, f in before["folders"].items()) == 1
+    assert index.table("files").count() == 8 and index.engine("keyword").search("common", 20).count() == 7
+    # A crash after the data is written and before the manifest is there leaves the old version; the next sync works.
+    (d / "n4.md").write_text("# Title 4\nlater words")
+    with monkeypatch.context() as m:
+        m.setattr(Index, "_commit", lambda *_: (_ for _ in ()).throw(RuntimeError("crash")))
+        with pytest.raises(RuntimeError):
+            index.sync(sources)
+    assert index.info() == after and index.engine("keyword").search("later").count() == 0
+    assert index.sync(sources)["updated"] == 1 and index.engine("keyword").search("later").count() == 1
+    with pytest.raises(RuntimeError):
+        index._commit(index.info())
+    # One file and a batch, whatever their hashes; what fails is told file by file.
+    (d / "bad.docx").write_bytes(b"no zip")
+    (d / "n5.md").unlink()
+    got = index.reindex(sources, [f"{d}/n1.md", f"{d}/n5.md", f"{d}/bad.docx"])
+    assert got[f"{d}/n1.md"] is None and "not found" in got[f"{d}/n5.md"] and "BadZipFile" in got[f"{d}/bad.docx"]
+    assert index.table("files").count() == 8 and index.engine("keyword").search("word5").count() == 0
+    index.remove([f"{d}/n{i}.md" for i in range(8)])
+    assert {r.file_name for r in index.table("files").collect()} == {"bad.docx"} and index.table("postings").count() == 0
+    kept = {p.name for p in (tmp_path / "index").iterdir() if p.name.startswith("data-")}
+    assert kept <= {f.split("/")[0] for m in index._names("manifest-*.json") for f in index._read(m)["folders"].values()}
+
+
+def test_watcher_waits_and_tries_again(spark):
+    calls, fail = [], [2]
+
+    def sync(_):
+        calls.append(time.monotonic())
+        if fail[0]:
+            fail[0] -= 1
+            raise OSError("busy")
+        return {"n": len(calls)}
+
+    w = Watcher(spark, SourceList(), sync, "", quiet_ms=150)
+    for _ in range(4):  # one burst: changes closer than the quiet time
+        w.changed()
+        time.sleep(0.05)
+    last = time.monotonic()
+    assert not calls and w.pending()
+    time.sleep(2.5)
+    assert len(calls) == 3 and len(w.errors) == 2 and w.results == [{"n": 3}] and calls[0] - last < 0.5
+    w.changed()
+    time.sleep(0.6)
+    w.changed()
+    w.flush()
+    assert len(calls) == 5 and not w.pending()
+
+
+def test_exports(spark):
+    rows = spark.createDataFrame([("/a|b.md", "n", "t", 'one "two",\nthree <4>', 0.91234, None, 0.5, 1), ("/c.md", "", None, None, 0.55, 0.0512, None, 2)], "file_path string, file_name string, title string, snippet string, similarity double, rrf_score double, lexical_score double, rank int")
+    md = export.to_markdown(rows)
+    assert md.split("\n")[0] == export.TITLE and "共 2 条结果" in md and "| /a\\|b.md | n | one \"two\", three <4> | 0.9123 |" in md and "| /c.md |  |  | 0.0512 |" in md
+    table = list(csv.reader(io.StringIO(export.to_csv(rows), newline="")))
+    assert table[0][0] == "文件路径" and table[1][2] == 'one "two",\nthree <4>' and len(table) == 3
+    assert json.loads(export.to_json(rows))[0]["score"] == "0.9123"
+    assert "three &lt;4&gt;" in export.to_html(rows) and export.to_html(rows).count("<tr>") == 3
+    assert export.to_csv(rows.where("false")).count("\r\n") == 1
