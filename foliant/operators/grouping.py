@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.paths import under
+from foliant.scale import sized
 
 UNTAGGED, ELSEWHERE = "未标记", "其他"
 
@@ -39,7 +40,7 @@ def by_tag(rows: DataFrame) -> DataFrame:
 
 def source_of(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """``rows`` with the first source (by ord) whose folder holds the file, null if none; sources are the user's few folders."""
-    s = F.broadcast(sources.select(F.col("source").alias("__s"), F.col("ord").alias("__o")))
+    s = sized(sources.select(F.col("source").alias("__s"), F.col("ord").alias("__o")))
     hit = rows.join(s, under(F.col("file_path"), F.col("__s")), "left")
     first = F.row_number().over(Window.partitionBy("file_path", "rank").orderBy(F.asc_nulls_last("__o")))
     return hit.withColumn("__n", first).where("__n = 1").withColumnRenamed("__s", "source_root").drop("__n")

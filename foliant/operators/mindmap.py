@@ -2,81 +2,88 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.paths import stem
+from foliant.functions.text import let, one_line
 from foliant.operators.grouping import per_file_cap
 from foliant.operators.tags import keyword_tags
-from foliant.scale import ship
-from foliant.sources.parsing import Paragraph, parse_html, parse_markdown
+from foliant.scale import ship, stash
+from foliant.sources.parsing import PARAGRAPHS, paragraph_array, parse_html, parse_markdown
 
 ROWS = "root_id string, node_id string, parent_id string, ord int, level int, label string, weight double"
+NODE = "struct<node_id:string,parent_id:string,ord:int,level:int,label:string,weight:double>"
+#: Sections of a map and keywords of a file; least length and cut of a paragraph's label, under a heading and in a
+#: text without headings (there only the first paragraphs count); weights of main headings, others, paragraphs, keyword nodes.
+SECTIONS, KEYWORDS, PLAIN = 20, 8, 10
+LONGER_THAN, CUT, PLAIN_LONGER_THAN, PLAIN_CUT = 20, 40, 30, 50
+MAIN, MINOR, LEAF, GROUP = 1.0, 0.7, 0.5, 0.8
+KEYWORD_LABEL, TOPICS_LABEL = "关键词", "共同主题"
 
 
-@dataclass
-class Node:
-    label: str
-    level: int = 0
-    weight: float = 1.0
-    children: list[Node] = field(default_factory=list)
-
+def node(node_id: Column, parent: Column, at: Column, level: Column | int, label: Column, weight: Column | float) -> Column:
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.struct(node_id, parent, at.cast("int"), lit(level).cast("int"), label, lit(weight).cast("double")).cast(NODE)
 
-def summary(text: str, size: int) -> str:
-    flat = " ".join(text.split())
-    return flat if len(flat) <= size else flat[:size] + "..."
 
+def _texts(paragraphs: Column, longer: int) -> Column:
+    return F.filter(paragraphs, lambda p: p["type"].isin("paragraph", "list") & (F.length(p["content"]) > longer))
 
-def hierarchy(paragraphs: list[Paragraph]) -> list[Node]:
-    """Up to 20 sections: a heading with the summaries of the longer paragraphs after it; without headings, the first ten
-    paragraphs' longer ones."""
-    out: list[Node] = []
-    for p in paragraphs:
-        if p.type == "heading":
-            out.append(Node(p.content, p.level or 1, 1.0 if p.level <= 2 else 0.7))
-        elif p.type in ("paragraph", "list") and len(p.content) > 20 and out:
-            out[-1].children.append(Node(summary(p.content, 40), 3, 0.5))
-    if not out:
-        out = [Node(summary(p.content, 50), 1, 0.5) for p in paragraphs[:10] if p.type in ("paragraph", "list") and len(p.content) > 30]
-    return out[:20]
 
+def section_nodes(ps: Column) -> Column:
+    """Tree nodes of a file's paragraphs: each of the first headings with the longer texts up to the next heading; without
+    headings, the longer ones of the first paragraphs."""
+    place = lambda *parts: F.concat_ws(".", F.lit("0"), *[x.cast("string") for x in parts])
 
-def flatten(root_id: str, root: Node) -> list[tuple]:
-    rows: list[tuple] = []
+    def section(heads: Column, h: Column, k: Column) -> Column:
+        end = F.coalesce(F.get(heads, k + 1)["i"], F.size(ps))
+        own = node(place(k), F.lit("0"), k, F.greatest(h["p"]["level"], F.lit(1)), h["p"]["content"], F.when(h["p"]["level"] <= 2, MAIN).otherwise(MINOR))
+        below = _texts(F.slice(ps, h["i"] + 2, F.greatest(end - h["i"] - 1, F.lit(0))), LONGER_THAN)
+        return F.concat(F.array(own), F.transform(below, lambda p, j: node(place(k, j), place(k), j, 3, one_line(p["content"], CUT), LEAF)))
 
-    def add(node: Node, node_id: str, parent: str | None, at: int) -> None:
-        rows.append((root_id, node_id, parent, at, node.level, node.label, node.weight))
-        for i, c in enumerate(node.children):
-            add(c, f"{node_id}.{i}", node_id, i)
+    heads = F.filter(F.transform(ps, lambda p, i: F.struct(i.alias("i"), p.alias("p"))), lambda h: h["p"]["type"] == "heading")
+    plain = F.transform(_texts(F.slice(ps, 1, PLAIN), PLAIN_LONGER_THAN), lambda p, k: node(place(k), F.lit("0"), k, 1, one_line(p["content"], PLAIN_CUT), LEAF))
+    return let(heads, lambda hs: F.when(F.size(hs) > 0, F.flatten(F.transform(F.slice(hs, 1, SECTIONS), lambda h, k: section(hs, h, k)))).otherwise(plain))
 
-    add(root, "0", None, 0)
-    return rows
 
-
-def _sections(batches):
+def _parse(batches):
     for b in batches:
-        for r in b.to_pylist():
-            ps = (parse_html if r["is_html"] else parse_markdown)(r["text"] or "")
-            title = next((p.content for p in ps if p.type == "heading" and p.level <= 2), r["name"])
-            rows = flatten(r["file_path"], Node(title, 0, 1.0, hierarchy(ps)))
-            cols = list(zip(*rows, strict=True))
-            kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in ROWS.split(", ")])
+        for path, text, html in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), paragraph_array([(parse_html if html else parse_markdown)(text or "")])], names=["file_path", "ps"])
 
 
 def from_files(files: DataFrame) -> DataFrame:
-    """The map of each file of (file_path, text): its sections, then a node of at most eight keywords."""
+    """The map of each file of (file_path, text): its sections, then a node of at most eight keywords.
+
+    Parsing, the one Python step, is stored: trees, titles and keywords follow from it as Columns. One shuffle finds the keywords.
+    """
     ship(files.sparkSession)
     html = F.lower("file_path").rlike(r"\.html?$")
-    rows = files.select("file_path", "text", html.alias("is_html"), stem(F.col("file_path")).alias("name")).mapInArrow(_sections, ROWS)
-    roots = rows.where("node_id = '0'").select(F.col("root_id").alias("file_path"), F.col("label").alias("title"))
-    words = keyword_tags(files.select("file_path", "text").join(roots, "file_path")).where("ord <= 8")
-    head = words.select("file_path").distinct().select(F.col("file_path").alias("root_id"), F.lit("0.k").alias("node_id"), F.lit("0").alias("parent_id"), F.lit(1000).alias("ord"), F.lit(1).alias("level"), F.lit("关键词").alias("label"), F.lit(0.8).alias("weight"))
-    leaves = words.select(F.col("file_path").alias("root_id"), F.concat(F.lit("0.k."), F.col("ord").cast("string")).alias("node_id"), F.lit("0.k").alias("parent_id"), F.col("ord").cast("int").alias("ord"), F.lit(2).alias("level"), F.col("tag").alias("label"), F.lit(0.5).alias("weight"))
-    return rows.unionByName(head).unionByName(leaves)
+    parsed = files.select("file_path", "text", html.alias("is_html")).mapInArrow(_parse, f"file_path string, ps {PARAGRAPHS}")
+    first = F.get(F.filter("ps", lambda p: (p["type"] == "heading") & (p["level"] <= 2)), F.lit(0))["content"]
+    parsed = stash(parsed.select("file_path", F.coalesce(first, stem(F.col("file_path"))).alias("title"), section_nodes(F.col("ps")).alias("nodes")))
+    root = node(F.lit("0"), F.lit(None).cast("string"), F.lit(0), 0, F.col("title"), MAIN)
+    words = keyword_tags(files.select("file_path", "text").join(parsed.select("file_path", "title"), "file_path")).where(F.col("ord") <= KEYWORDS)
+    words = words.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("ord", "tag"))).alias("words"))
+    head = node(F.lit("0.k"), F.lit("0"), F.lit(1000), 1, F.lit(KEYWORD_LABEL), GROUP)
+    leaves = F.transform("words", lambda w: node(F.concat(F.lit("0.k."), w["ord"].cast("string")), F.lit("0.k"), w["ord"], 2, w["tag"], LEAF))
+    every = parsed.select("file_path", F.concat(F.array(root), F.col("nodes")).alias("nodes")).unionByName(words.select("file_path", F.concat(F.array(head), leaves).alias("nodes")))
+    return every.select(F.col("file_path").alias("root_id"), F.explode("nodes").alias("n")).select("root_id", "n.*")
+
+
+def from_many(files: DataFrame, label: str, top: int = 10) -> DataFrame:
+    """One map of many files: a root, each file's map below it one level down, and a node of the keywords that files share."""
+    maps = stash(from_files(files))
+    below = maps.select(F.lit("files").alias("root_id"), F.concat_ws("/", "root_id", "node_id").alias("node_id"), F.when(F.col("parent_id").isNull(), F.lit("0")).otherwise(F.concat_ws("/", "root_id", "parent_id")).alias("parent_id"), "ord", (F.col("level") + 1).alias("level"), "label", F.when(F.col("parent_id").isNull(), F.lit(GROUP)).otherwise(F.col("weight")).alias("weight"))
+    words = maps.where("parent_id = '0.k'").select(F.col("root_id").alias("file_path"), F.col("label").alias("tag"))
+    shared = shared_keywords(words, top).select(F.row_number().over(Window.orderBy(F.desc("n_files"), "tag")).alias("ord"), "tag", "weight")  # at most ``top`` rows
+    topics = shared.agg(F.array_sort(F.collect_list(F.struct("ord", "tag", "weight"))).alias("w")).where(F.size("w") > 0)
+    leaves = F.transform("w", lambda x: node(F.concat(F.lit("t."), x["ord"].cast("string")), F.lit("t"), x["ord"], 2, x["tag"], x["weight"]))
+    topics = topics.select(F.explode(F.concat(F.array(node(F.lit("t"), F.lit("0"), F.lit(1 << 20), 1, F.lit(TOPICS_LABEL), GROUP)), leaves)).alias("n"))
+    root = files.sparkSession.range(1).select(node(F.lit("0"), F.lit(None).cast("string"), F.lit(0), 0, F.lit(label), MAIN).alias("n"))
+    return root.unionByName(topics).select(F.lit("files").alias("root_id"), "n.*").unionByName(below)
 
 
 def shared_keywords(keywords: DataFrame, top: int = 10) -> DataFrame:

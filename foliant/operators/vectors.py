@@ -96,7 +96,7 @@ def similar_files(chunks: DataFrame, path: str, k: int = 5, file: str = "file_pa
 
 
 def duplicate_pairs(vectors: DataFrame, threshold: float = 0.85, key: str = "id", vector: str = "vec", block: int = 2048) -> DataFrame:
-    """(a, b, similarity), a < b, of all pairs with cosine >= threshold; zero vectors pair with nothing.
+    """(a, b, similarity), a < b, of all pairs with cosine >= threshold, most similar first; zero vectors pair with nothing.
 
     Blocked: each row goes to the block pairs of its block, and one matrix product a block pair emits only pairs over the
     threshold. The number of blocks follows the row count, so a task holds two blocks whatever the input.
@@ -123,7 +123,7 @@ def duplicate_pairs(vectors: DataFrame, threshold: float = 0.85, key: str = "id"
         low, high = np.where(k[x] < k[y], k[x], k[y]), np.where(k[x] < k[y], k[y], k[x])
         return pa.table({"a": pa.array(low, table.column("k").type), "b": pa.array(high, table.column("k").type), "similarity": pa.array(sims, pa.float64())})
 
-    return spread.groupBy("i", "j").applyInArrow(compare, f"a {kind}, b {kind}, similarity double")
+    return spread.groupBy("i", "j").applyInArrow(compare, f"a {kind}, b {kind}, similarity double").orderBy(F.desc("similarity"), "a", "b")
 
 
 class Embedder(Protocol):
@@ -149,6 +149,47 @@ class HashEmbedder:
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
+def masked_mean(tokens: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Mean of the token vectors (texts, tokens, dim) that the mask (texts, tokens) keeps, then of unit length."""
+    kept = mask[..., None].astype(float)
+    mean = (tokens * kept).sum(1) / np.maximum(kept.sum(1), 1e-9)
+    return mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-12)
+
+
+class PooledEmbedder:
+    """An embedder over a token model, which ``load`` makes where it is first used: once in each worker.
+
+    The model takes texts and a number of tokens, and gives token vectors and their mask, (texts, tokens, dim) and (texts, tokens).
+    Blank texts are a single space; texts go in batches; tokens beyond ``max_tokens`` are left out by the model and again here.
+    """
+
+    def __init__(self, load, dim: int, name: str = "", max_tokens: int = 512, batch: int = 32):
+        self.load, self.dim, self.name, self.max_tokens, self.batch = load, dim, name, max_tokens, batch
+        self._model = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_model": None}  # a loaded model stays where it is
+
+    def preload(self) -> None:
+        if self._model is None:
+            self._model = self.load()
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        self.preload()
+        out = [np.zeros((0, self.dim))]
+        for at in range(0, len(texts), self.batch):
+            tokens, mask = self._model([t if t.strip() else " " for t in texts[at : at + self.batch]], self.max_tokens)
+            out.append(masked_mean(np.asarray(tokens, float)[:, : self.max_tokens], np.asarray(mask)[:, : self.max_tokens]))
+        return np.concatenate(out)
+
+
+def embedder_status(spark, embedder: Embedder | None) -> DataFrame:
+    """One row: model, backend, dim, ready, loaded (in this process)."""
+    loaded = embedder is not None and getattr(embedder, "_model", True) is not None
+    row = (getattr(embedder, "name", None) or None, type(embedder).__name__ if embedder else None, embedder.dim if embedder else None, embedder is not None, loaded)
+    return spark.createDataFrame([row], "model string, backend string, dim int, ready boolean, loaded boolean")
+
+
 def embed(df: DataFrame, embedder: Embedder, text: str = "content", out: str = "embedding") -> DataFrame:
     """``df`` with a vector column; texts pass to the workers as their lexical tokens, in Arrow batches, 32 at a time."""
     ship(df.sparkSession)

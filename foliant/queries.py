@@ -18,6 +18,7 @@ from foliant.plans.compiler import any_value, predicate
 from foliant.plans.querylang import combine, parse_query, tag_query
 from foliant.scale import read_table, ship, stash
 from foliant.sources.parsing import ChunkConfig, chunk_files, explode_chunks, paragraphs_of, title_of
+from foliant.sources.parsing import section_ids as section_ids_of
 from foliant.sources.scan import documents_as_files
 from foliant.streaming.watch import debounce
 
@@ -292,8 +293,9 @@ def searches(spark, d):
 
 
 def section_ids(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return read_table(spark, d, "conversations").select("conv_id", "turn", F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(w).alias("section"))
+    """Conversations as paragraphs: a user's turn is a heading."""
+    t = read_table(spark, d, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("pos"), F.when(F.col("role") == "user", "heading").otherwise("paragraph").alias("type"), F.lit(1).alias("level"))
+    return section_ids_of(t).select(F.col("id").alias("conv_id"), F.col("pos").alias("turn"), "section")
 
 
 def exclude(spark, d):
@@ -334,7 +336,11 @@ def mindmap_rows(spark, d):
 
 
 def mindmap_results(spark, d):
-    return mindmap.from_results(_hits(spark, d))
+    return mindmap.from_results(_hits(spark, d)).withColumn("weight", F.round("weight", 6))
+
+
+def mindmap_many(spark, d):
+    return mindmap.from_many(documents_as_files(read_table(spark, d, "documents")).select("file_path", "text"), "documents")
 
 
 def shared_topics(spark, d):
@@ -364,14 +370,17 @@ def distinct_hits(spark, d):
     return grouping.distinct_rows(_hits(spark, d).withColumn("file_path", F.regexp_replace("file_path", "/[^/]*$", ""))).select("file_path")
 
 
-def merged_clusters(spark, d):
+def _label_clusters(spark, d):
     c = _vectors(spark, d).groupBy("label").agg(F.array_sort(F.collect_list("id")).alias("files"))
-    c = c.select(F.col("label").alias("id"), F.concat(F.lit("c"), F.col("label").cast("string")).alias("label"), "files")
-    return tags.merge_clusters(c, [2, 1], "both").select("id", "label", F.array_join(F.transform("files", lambda x: x.cast("string")), ",").alias("files"))
+    return c.select(F.col("label").alias("id"), F.concat(F.lit("c"), F.col("label").cast("string")).alias("label"), "files")
+
+
+def merged_clusters(spark, d):
+    return tags.merge_clusters(_label_clusters(spark, d), [2, 1], "both").select("id", "label", F.array_join(F.transform("files", lambda x: x.cast("string")), ",").alias("files"))
 
 
 def cluster_sizes(spark, d):
-    return _vectors(spark, d).groupBy("label").agg(F.count(F.lit(1)).alias("n_files"))
+    return clusters.cluster_sizes(_label_clusters(spark, d))
 
 
 def retagged(spark, d):
@@ -504,6 +513,7 @@ QUERIES = {
     "semantic_hybrid_search": semantic_search,
     "mindmap_rows": mindmap_rows,
     "mindmap_results": mindmap_results,
+    "mindmap_many": mindmap_many,
     "shared_topics": shared_topics,
     "exclude_paths": exclude_paths,
     "tag_picker_or": tag_picker,
@@ -648,7 +658,7 @@ ORACLE = {
     "distinct_hits": f"{_HITS} SELECT DISTINCT regexp_replace(file_path, '/[^/]*$', '') AS file_path FROM h",
     "cluster_merge": """WITH c AS (SELECT label AS id, 'c' || label AS label, string_agg(vec_id, ',' ORDER BY vec_id) AS files FROM embeddings GROUP BY 1, 2)
   SELECT * FROM c WHERE id NOT IN (1, 2) UNION ALL SELECT 2, 'both', concat_ws(',', max(files) FILTER (id = 2), max(files) FILTER (id = 1)) FROM c HAVING count(*) FILTER (id IN (1, 2)) > 0""",
-    "cluster_sizes": "SELECT label, count(*) AS n_files FROM embeddings GROUP BY label",
+    "cluster_sizes": "SELECT 'c' || label AS label, CAST(count(*) AS INT) AS n_files FROM embeddings GROUP BY label",
     "set_tags": f"WITH {_C} SELECT file_path, CASE WHEN list_contains(file_tags, 'toxic') THEN 'review,hidden' ELSE array_to_string(file_tags, ',') END AS tags FROM c WHERE len(file_tags) > 0",
     "remove_files": f"{_FT} SELECT file_path, tag FROM ft WHERE file_path NOT IN (SELECT file_path FROM ft WHERE tag = 'toxic')",
     "link_neighbours": f"{_HREF} SELECT DISTINCT coalesce(target, -1) AS path, 'out' AS direction FROM e WHERE source = 0 UNION SELECT source, 'in' FROM e WHERE target = 0",
@@ -664,5 +674,16 @@ ORACLE = {
     "text_paragraphs": """WITH a AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
   b AS (SELECT doc_id, i, regexp_replace(x, '^\\s+|\\s+$', '', 'g') AS x, count(*) FILTER (NOT regexp_matches(x, '\\S')) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM a)
   SELECT CAST(doc_id AS VARCHAR) AS id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) - 1 AS INT) AS pos, CAST(min(i) AS INT) AS line, md5(string_agg(x, chr(10) ORDER BY i)) AS content_md5 FROM b WHERE x <> '' GROUP BY doc_id, g""",
-    "section_groups": "SELECT conv_id, turn, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS section FROM conversations",
+    "section_groups": "SELECT conv_id, turn, CAST(sum(CASE WHEN role = 'user' OR f = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS section FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS f FROM conversations)",
+    "markdown_paragraphs": f"""{_HREF}, k AS (SELECT source, CASE WHEN target IS NULL THEN '[x](../b/' || md5(href) || '.md)' ELSE '[[' || target || '|x]]' END AS s FROM e)
+  SELECT '/a/' || page_id || '.md' AS id, 0::INT AS pos, 'heading' AS type, 'note' AS content, 0::INT AS line, 1::INT AS level FROM pages
+  UNION ALL SELECT '/a/' || page_id || '.md', 1, 'code', '```' || chr(10) || '[[hidden]]' || chr(10) || '```', 1, 0 FROM pages
+  UNION ALL SELECT '/a/' || source || '.md', 2, 'paragraph', string_agg(s, chr(10) ORDER BY s), 4, 0 FROM k GROUP BY source""",
+    "mindmap_results": f"""{_HITS} SELECT 'results' AS root_id, file_path AS node_id, '0' AS parent_id, rank AS ord, 1::INT AS level, CAST(id AS VARCHAR) AS label, 0.8::DOUBLE AS weight FROM h
+  UNION ALL SELECT 'results', file_path || '#1', file_path, 1, 2, substr(content, 1, 100) || '...', round(similarity, 6) FROM h""",
+    "export_rows": f"""{_HITS}, i AS (SELECT *, length(content) AS n, instr(lower(content), 'license') - 1 AS i FROM h), x AS (SELECT *, least(n, greatest(0, i - 40) + 240) AS e FROM i)
+  SELECT file_path, file_name AS filename, CASE WHEN i < 0 THEN CASE WHEN n > 240 THEN substr(content, 1, 240) || '…' ELSE content END
+    ELSE (CASE WHEN e > 240 THEN '…' ELSE '' END) || substr(content, CAST(greatest(0, e - 240) + 1 AS BIGINT), CAST(e - greatest(0, e - 240) AS BIGINT)) || (CASE WHEN e < n THEN '…' ELSE '' END) END AS snippet,
+    CAST(round(similarity, 4) AS VARCHAR) AS score FROM x""",
 }
+ORACLE["shared_topics"] = f"SELECT tag, count(DISTINCT id) AS n_files, count(DISTINCT id) * 0.3::DOUBLE AS weight FROM ({ORACLE['keyword_tags_top5']}) GROUP BY tag HAVING count(DISTINCT id) >= 2 ORDER BY n_files DESC, tag LIMIT 10"

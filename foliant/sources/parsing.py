@@ -14,7 +14,7 @@ from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.paths import MARKDOWN
@@ -197,11 +197,15 @@ class ChunkConfig:
     overlap: int = 100
 
 
+#: A heading of this level or higher up opens a section.
+SECTION_LEVEL = 3
+
+
 def sections(paragraphs: list[Paragraph]) -> list[list[Paragraph]]:
     """Groups that a heading of level 1 to 3 opens; what comes before the first one is a group of its own."""
     out: list[list[Paragraph]] = []
     for p in paragraphs:
-        if not out or p.type == "heading" and p.level <= 3:
+        if not out or p.type == "heading" and p.level <= SECTION_LEVEL:
             out.append([])
         out[-1].append(p)
     return out
@@ -280,6 +284,21 @@ def explode_chunks(done: DataFrame) -> DataFrame:
     return done.select(F.explode("chunks").alias("c")).select("c.*")
 
 
+_PARAGRAPHS = pa.list_(pa.struct([("type", pa.string()), ("content", pa.string()), ("line", pa.int32()), ("level", pa.int32())]))
+
+
+def paragraph_array(parsed: list[list[Paragraph]]) -> pa.Array:
+    return pa.array([[{"type": p.type, "content": p.content, "line": p.line, "level": p.level} for p in ps] for ps in parsed], _PARAGRAPHS)
+
+
+def section_ids(paragraphs: DataFrame) -> DataFrame:
+    """``paragraphs`` (id, pos, type, level, ...) with section: which of the groups of ``sections`` each belongs to, from 0."""
+    order = Window.partitionBy("id").orderBy("pos")
+    opens = ((F.col("type") == "heading") & (F.col("level") <= SECTION_LEVEL)) | (F.row_number().over(order) == 1)
+    running = order.rowsBetween(Window.unboundedPreceding, 0)
+    return paragraphs.withColumn("__opens", opens.cast("int")).withColumn("section", F.sum("__opens").over(running) - 1).drop("__opens")
+
+
 def paragraphs_of(texts: DataFrame, kind: str) -> DataFrame:
     """(id, text) -> (id, pos, type, content, line, level) by the parser ``kind``: markdown, html or text."""
     ship(texts.sparkSession)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions.paths import SUPPORTED, basename, excluded, extension
-from foliant.sources.parsing import title_of
+from foliant.sources.parsing import parse_file, title_of
 
 FILE_COLUMNS = ("file_path", "file_name", "file_extension", "file_size", "md5_hash", "modified_time", "title", "source", "content")
 
@@ -100,6 +100,16 @@ def scan_sources(spark: SparkSession, sources: SourceList) -> tuple[DataFrame |
     return (reduce(DataFrame.unionByName, frames) if frames else None), errors
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """A file's whole text: paragraphs of PDF and Word files one a line, others decoded; empty if it can't be read."""
+    suffix = os.path.splitext(path)[1].lower()
+    try:
+        content = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+        return "\n".join(p.content for p in parse_file(suffix, content)) if suffix in (".pdf", ".docx") else content.decode("utf-8", "ignore")
+    except Exception:  # whatever a reader or parser raises, the caller gets an empty text
+        return ""
+
+
 def documents_as_files(documents: DataFrame) -> DataFrame:
     """The documents table as files: /source/lang/doc_id.txt, hash of the text as content hash."""
     path = F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))

@@ -1,24 +1,34 @@
 """Query language, parsers, ranking, index, links, streaming and state on small cases."""
 
 import csv
+import html
 import io
 import json
+import os
+import pickle
+import re
+import sys
 import time
+import types
+from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from foliant import queries, scale
 from foliant.functions.paths import excluded, normal_path, path_matches
 from foliant.functions.text import highlights, lexical_tokens, tag_tokens
-from foliant.operators import export, fusion, grouping, lexical, links, snapshot, vectors
+from foliant.operators import export, fusion, grouping, lexical, links, mindmap, snapshot, status, vectors
 from foliant.operators.clusters import estimate_k
 from foliant.operators.indexer import Index
 from foliant.operators.search import Engine
 from foliant.plans.querylang import And, Not, Or, Tag, combine, parse_query, tag_query
-from foliant.sources.parsing import ChunkConfig, chunk, parse_html, parse_markdown, parse_text
-from foliant.sources.scan import Source, SourceList
+from foliant.sources.parsing import ChunkConfig, chunk, parse_file, parse_html, parse_markdown, parse_text, section_ids, sections
+from foliant.sources.scan import Source, SourceList, read_text
 from foliant.streaming.watch import Watcher, debounce, relevant
 
 
@@ -277,3 +287,150 @@ def test_exports(spark):
     assert json.loads(export.to_json(rows))[0]["score"] == "0.9123"
     assert "three &lt;4&gt;" in export.to_html(rows) and export.to_html(rows).count("<tr>") == 3
     assert export.to_csv(rows.where("false")).count("\r\n") == 1
+
+
+def plain_map(ps, title):
+    """Sections and their longer paragraphs, walked in order."""
+    flat = lambda t, n: (lambda x: x if len(x) <= n else x[:n] + "...")(" ".join(t.split()))
+    rows, heads = [("0", None, 0, 0, title, 1.0)], 0
+    if any(p.type == "heading" for p in ps):
+        for p in ps:
+            if p.type == "heading":
+                heads, below = heads + 1, 0
+                if heads <= 20:
+                    rows.append((f"0.{heads - 1}", "0", heads - 1, max(p.level, 1), p.content, 1.0 if p.level <= 2 else 0.7))
+            elif 0 < heads <= 20 and p.type in ("paragraph", "list") and len(p.content) > 20:
+                rows.append((f"0.{heads - 1}.{below}", f"0.{heads - 1}", below, 3, flat(p.content, 40), 0.5))
+                below += 1
+    else:
+        long = [p for p in ps[:10] if p.type in ("paragraph", "list") and len(p.content) > 30]
+        rows += [(f"0.{k}", "0", k, 1, flat(p.content, 50), 0.5) for k, p in enumerate(long)]
+    return rows
+
+
+def test_maps_against_a_plain_walk(spark, sf):
+    files = queries.documents_as_files(spark.read.parquet(f"{sf}/documents.parquet")).select("file_path", "text")
+    many = "\n".join(f"{'#' * (1 + i % 4)} head {i}\n\nshort\n\na longer paragraph with   more than forty characters, number {i}\n- a list item of more than twenty" for i in range(25))
+    files = files.unionByName(spark.createDataFrame([("/x/many.md", many), ("/x/none.md", None), ("/x/page.html", "<h2>Top</h2><p>a paragraph that is longer than twenty")], "file_path string, text string"))
+    got = {}
+    for r in mindmap.from_files(files).collect():
+        got.setdefault(r.root_id, []).append(tuple(r)[1:])
+    for r in files.collect():
+        ps = (parse_html if r.file_path.endswith("html") else parse_markdown)(r.text or "")
+        title = next((p.content for p in ps if p.type == "heading" and p.level <= 2), r.file_path.split("/")[-1].rsplit(".", 1)[0])
+        assert sorted((x for x in got[r.file_path] if not x[0].startswith("0.k")), key=str) == sorted(plain_map(ps, title), key=str)
+        assert sum(x[1] == "0.k" for x in got[r.file_path]) <= 8
+    two = spark.createDataFrame([("/a.md", "# A\nshared words here"), ("/b.md", "# B\nshared words there")], "file_path string, text string")
+    rows = mindmap.from_many(two, "all").collect()
+    assert {r.parent_id for r in rows if r.level == 1} == {"0"} and sum(r.parent_id is None for r in rows) == 1
+    assert {r.label for r in rows if r.parent_id == "t"} == {"shared", "words"} and {r.parent_id for r in rows} - {None} <= {r.node_id for r in rows}
+
+
+def plain_chunks(text, size=800, keep=100):
+    """Blocks between blank lines, put together up to the size; each chunk begins with the end of the one before."""
+    blocks, at = [], 0
+    for part in re.split(r"(?:\n[^\S\n]*)*\n[^\S\n]*(?=\n)|\Z", text):
+        body = [(at + i, x.strip()) for i, x in enumerate(part.split("\n")) if x.strip()]
+        at += part.count("\n")
+        if body:
+            blocks.append("\n".join(x for _, x in body))
+    out, held = [], []
+    for b in blocks:
+        if held and sum(map(len, held)) + len(b) > size:
+            out.append("\n\n".join(held))
+            joined = "\n".join(held)
+            tail = joined if len(joined) <= keep else joined[-keep:]
+            cut = tail.find("\n") if len(joined) > keep else -1
+            held = [tail[cut + 1 :] if cut > 0 else tail]
+        held.append(b)
+    return out + (["\n\n".join(held)] if held else [])
+
+
+def test_chunks_against_plain_blocks(spark, sf):
+    text = {str(r.doc_id): r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {}
+    for r in queries.chunk_documents(spark, sf).orderBy("chunk_index").collect():
+        got.setdefault(r.file_name.removesuffix(".txt"), []).append(r.content)
+        assert r.total_chunks >= r.chunk_index + 1 and r.chunk_id.startswith(r.file_path)
+    assert got == {k: plain_chunks(t) for k, t in text.items() if plain_chunks(t)}
+
+
+def test_sections_and_page_paragraphs(spark, sf):
+    ps = parse_markdown("intro\n\n# A\nx\n\n#### deep\ny\n\n## B\nz")
+    df = spark.createDataFrame([("d", i, p.type, p.level) for i, p in enumerate(ps)], "id string, pos int, type string, level int")
+    want = [k for k, group in enumerate(sections(ps)) for _ in group]
+    assert [r.section for r in section_ids(df).orderBy("pos").collect()] == want
+    pages = {str(r.page_id): r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    rows = queries.parse_pages(spark, sf).collect()
+    bare = {k: " ".join(html.unescape(re.sub(r"(?s)<[^>]*>", "", re.sub(r"(?s)<(script|style|nav|footer)\b.*?</\1>", "", h))).split()) for k, h in pages.items()}
+    assert {r.id for r in rows} == set(pages) and all("".join(r.content.split()) in bare[r.id].replace(" ", "") for r in rows)
+    assert all(r.level == int(r.type == "heading" and r.level) and (r.type != "paragraph" or len(r.content) > 10) for r in rows)
+
+
+def test_clusters_hold_every_file_once(spark, sf):
+    rows = queries.kmeans(spark, sf).collect()
+    files = [f for r in rows for f in r.files]
+    ids = {f"/v/{r.vec_id}": r for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    assert sorted(files) == sorted(ids) and len(rows) == estimate_k(len(ids))
+    for r in rows:
+        tags = Counter(f"t{ids[f].label}" for f in r.files)
+        assert r.label == min(tags, key=lambda t: (-tags[t], t)) and set(r.sample_titles) <= set(r.files) and 1 <= len(r.sample_titles) <= 3
+
+
+def test_embedder_contract_and_status(spark, tmp_path):
+    loads = []
+
+    def load():
+        loads.append(1)
+        return lambda texts, most: (np.array([[[float(len(t)), 1.0], [3.0, 4.0], [9.0, 9.0]] for t in texts]), np.array([[1, t != " ", 0] for t in texts]))
+
+    e = vectors.PooledEmbedder(load, 2, "toy", batch=2)
+    assert vectors.embedder_status(spark, e).first().asDict() == {"model": "toy", "backend": "PooledEmbedder", "dim": 2, "ready": True, "loaded": False}
+    got = e.encode(["ab", "  ", "abc"])
+    want = np.array([[2.5, 2.5], [1, 1], [3, 2.5]])
+    assert np.allclose(got, want / np.linalg.norm(want, axis=1, keepdims=True)) and loads == [1]
+    e.preload()
+    assert loads == [1] and vectors.embedder_status(spark, e).first().loaded and pickle.loads(cloudpickle.dumps(e))._model is None
+    assert not vectors.embedder_status(spark, None).first().ready
+    (tmp_path / "a.md").write_bytes("# T\nü".encode() + b"\xff")
+    assert read_text(spark, str(tmp_path / "a.md")) == "# T\nü" and read_text(spark, str(tmp_path / "no.md")) == ""
+    c = queries.chunks(spark, "/root/testdata/sf0.001")
+    post = lexical.postings(c.select("id", "content"), text="content")
+    row = status.rollup(c, c, queries.file_tags(spark, "/root/testdata/sf0.001"), c.limit(0), post, queries._label_clusters(spark, "/root/testdata/sf0.001")).first()
+    assert 0 < row.lexical_chunks <= row.total_chunks and [x.n_files for x in row.tag_distribution] == sorted((x.n_files for x in row.tag_distribution), reverse=True) and len(row.cluster_distribution) == 10
+
+
+def test_pdf_by_a_stand_in(monkeypatch):
+    class Page:
+        def get_text(self, kind):
+            return [(0, 0, 0, 0, " first block "), (0, 0, 0, 0, "  "), (0, 0, 0, 0, "second")]
+
+    class Pdf(list):
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            return None
+
+    monkeypatch.setitem(sys.modules, "fitz", types.SimpleNamespace(open=lambda stream, filetype: Pdf([Page(), Page()])))
+    assert [(p.content, p.line) for p in parse_file(".PDF", b"x")] == [("first block", 0), ("second", 1), ("first block", 2), ("second", 3)]
+    monkeypatch.setitem(sys.modules, "fitz", None)
+    with pytest.raises(ValueError, match="unsupported"):
+        parse_file(".pdf", b"x")
+
+
+def test_broadcasts_are_measured_in_bytes(spark, monkeypatch):
+    few_wide = spark.range(10).select("id", F.repeat(F.lit("x"), 1 << 18).alias("s"), F.array(F.struct(F.repeat(F.lit("y"), 4).alias("t"))).alias("a"))
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString()
+    assert hinted(scale.sized(few_wide)) and not hinted(scale.sized(few_wide, 1 << 20)) and not hinted(scale.sized(spark.range(100), 1000))
+    monkeypatch.setattr(type(spark.conf), "get", lambda _, k, d=None: {"spark.master": "spark://host:7077"}.get(k, d))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scale.shared_dir(spark)
+
+
+def test_scratch_deletes_its_stashes(spark):
+    with scale.scratch(spark):
+        df = scale.stash(spark.range(3))
+        at = df.inputFiles()[0].removeprefix("file://")
+        assert df.count() == 3 and os.path.exists(at)
+    assert not os.path.exists(at)
