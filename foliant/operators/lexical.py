@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.text import let, lexical_tokens
+from foliant.scale import spread
 
 K1, B = 1.2, 0.75
 
@@ -16,7 +17,8 @@ K1, B = 1.2, 0.75
 def postings(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """(key, term, tf, dl) of texts with a token. dl, the token count, comes from the same array, so one shuffle does it all;
     partial aggregation counts within a document before anything moves."""
-    t = docs.select(key, lexical_tokens(F.col(text)).alias("__t"))
+    t = spread(docs.select(key, text), key)
+    t = t.select(key, lexical_tokens(F.col(text)).alias("__t"))
     return t.select(key, F.size("__t").alias("dl"), F.explode("__t").alias("term")).groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -59,12 +61,12 @@ def bm25(docs: DataFrame, query: str, key: str = "id", text: str = "text", where
     terms = query_terms(docs.sparkSession, query)
     holds = reduce(lambda a, b: a | b, [F.contains(F.lower(F.col(text)), F.lit(w)) for w in terms], F.lit(False))
     t = (docs.where(where) if where is not None else docs).where(holds)
-    s = profiles(docs, terms, [], text).where("dl > 0").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col("tf")[i] > 0).alias(f"d{i}") for i in range(len(terms))]).first() if terms else None
+    s = profiles(spread(docs.select(key, text), key), terms, [], text).where("dl > 0").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col("tf")[i] > 0).alias(f"d{i}") for i in range(len(terms))]).first() if terms else None
     score = F.lit(0.0)
     for i in range(len(terms) if s and s.n else 0):
         f, idf = F.col("tf")[i], math.log(1 + (s.n - s[f"d{i}"] + 0.5) / (s[f"d{i}"] + 0.5))
         score = score + F.lit(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.lit(float(s.avgdl))))
-    return profiles(t, terms, [key], text).select(key, score.alias("lexical_score")).where("lexical_score > 0")
+    return profiles(spread(t.select(key, text), key), terms, [key], text).select(key, score.alias("lexical_score")).where("lexical_score > 0")
 
 
 def index_stats(post: DataFrame, key: str = "id") -> DataFrame:

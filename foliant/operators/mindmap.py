@@ -10,7 +10,7 @@ from foliant.functions.paths import stem
 from foliant.functions.text import let, one_line
 from foliant.operators.grouping import per_file_cap
 from foliant.operators.tags import keyword_tags
-from foliant.scale import ship, stash
+from foliant.scale import ship, spread, stash
 from foliant.sources.parsing import PARAGRAPHS, paragraph_array, parse_html, parse_markdown
 
 ROWS = "root_id string, node_id string, parent_id string, ord int, level int, label string, weight double"
@@ -61,7 +61,7 @@ def from_files(files: DataFrame) -> DataFrame:
     """
     ship(files.sparkSession)
     html = F.lower("file_path").rlike(r"\.html?$")
-    parsed = files.select("file_path", "text", html.alias("is_html")).mapInArrow(_parse, f"file_path string, ps {PARAGRAPHS}")
+    parsed = spread(files.select("file_path", "text"), "file_path").select("file_path", "text", html.alias("is_html")).mapInArrow(_parse, f"file_path string, ps {PARAGRAPHS}")
     first = F.get(F.filter("ps", lambda p: (p["type"] == "heading") & (p["level"] <= 2)), F.lit(0))["content"]
     parsed = stash(parsed.select("file_path", F.coalesce(first, stem(F.col("file_path"))).alias("title"), section_nodes(F.col("ps")).alias("nodes")))
     root = node(F.lit("0"), F.lit(None).cast("string"), F.lit(0), 0, F.col("title"), MAIN)

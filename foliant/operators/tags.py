@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.text import STOP_WORDS, count_of, tag_tokens
+from foliant.scale import spread
 
 TITLE_WEIGHT, BODY_CHARS, MAX_TAGS = 3, 5000, 5
 
@@ -22,6 +23,7 @@ def keyword_tags(files: DataFrame, key: str = "file_path", text: str = "text", t
         F.transform(tag_tokens(F.coalesce(F.col(title), F.lit(""))), lambda w: F.struct(w.alias("w"), F.lit(TITLE_WEIGHT).alias("k"))),
         F.transform(tag_tokens(F.substring(text, 1, BODY_CHARS)), lambda w: F.struct(w.alias("w"), F.lit(1).alias("k"))),
     )
+    files = spread(files.select(key, text, title), key)
     t = files.select(key, F.posexplode(words).alias("pos", "x")).select(key, "pos", "x.w", "x.k").where((F.length("w") > 1) & ~F.col("w").isin(*STOP_WORDS))
     t = t.groupBy(key, "w").agg(F.sum("k").alias("weight"), F.min("pos").alias("first"))
     ranked = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("weight"), "first"))

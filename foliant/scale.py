@@ -17,6 +17,9 @@ from pyspark.sql import types as T
 #: Measured bytes up to which a side is broadcast. It is hashed in the driver and in each executor, at some three times this.
 BROADCAST_BYTES = 16 << 20
 
+#: Estimated input bytes below which rows are dealt out to all cores before work that is heavy for each row.
+SPREAD_BYTES = 256 << 20
+
 _own_dir: str | None = None
 #: Stashes that ``release`` deletes.
 _made: list[str] = []
@@ -112,6 +115,18 @@ def sized(df: DataFrame, limit: int | None = None) -> DataFrame:
     return F.broadcast(df) if rows <= most and (total or 0) <= limit else df
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Estimated bytes of the tables that ``df`` reads, from the plan alone."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt out to all cores by ``key`` if its tables are small: a small file is one row group and so one task, however
+    much work a row takes. Tables of SPREAD_BYTES or more have tasks enough, and are never shuffled by this."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key) if input_bytes(df) < SPREAD_BYTES else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
