@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.functions.text import let
 from foliant.scale import sized, stash
 
 SHINGLE = 5
@@ -19,11 +20,6 @@ EIGHTH = 8
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once, whatever the optimiser inlines."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def sketch(text: Column) -> Column:
     """The least window digests, chosen windows first; a text of fewer words than a window is one window, one without words has none."""
 

@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.folding import let, near_copy_classes
+from foliant.functions.text import let
+from foliant.llm.folding import near_copy_classes
 from foliant.scale import read_table, sized, stash
 
 #: Leading tokens on the path to a leaf.

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.folding import let
+from foliant.functions.text import let
 from foliant.llm.ordering import prefix_offsets
 from foliant.scale import read_table, sized, stash
 

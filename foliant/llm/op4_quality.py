@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.folding import WORD, let, near_copy_classes
+from foliant.functions.text import let
+from foliant.llm.folding import WORD, near_copy_classes
 from foliant.scale import read_table, sized, stash
 
 SPACES = "\t\n\x0b\x0c\r "
