@@ -63,7 +63,11 @@ class Index:
         return sorted(f.getPath().getName() for f in self._fs().globStatus(self._path(pattern)) or [])
 
     def _read(self, name: str) -> dict:
-        return json.loads("".join(r[0] for r in self.spark.read.text(self._path(name).toString()).collect()))
+        stream = self._fs().open(self._path(name))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def info(self) -> dict:
         """The current manifest: version, embedding_dim, buckets (number), folders (bucket -> folder)."""
