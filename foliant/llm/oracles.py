@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that it can express, over whole tables and texts; strings stand where the operators hash."""
 
-from foliant.llm import folding, op4_quality, op6_jaccard, op9_decontamination, op10_templates
+from foliant.llm import folding, op4_quality, op6_jaccard, op9_decontamination, op10_templates, op11_infill, op12_codes, op13_warc
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -74,3 +74,42 @@ LINE_TEMPLATES = f"""WITH d AS (SELECT doc_id, text, coalesce(text, '') AS t FRO
   out AS (SELECT doc_id, x, i, kept.m IS NOT NULL AS gone FROM line LEFT JOIN (SELECT m FROM kept JOIN recur USING (template)) kept ON line.m = kept.m)
   SELECT doc_id, CASE WHEN bool_or(gone) THEN coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT gone), '') ELSE any_value(text) END AS text, count(*) FILTER (regexp_matches(x, '{_WORD}')) AS n_lines,
     count(*) FILTER (gone) AS n_dropped, coalesce(sum(len({_words("x")})) FILTER (gone), 0)::BIGINT AS dropped_words FROM out JOIN d USING (doc_id) GROUP BY doc_id"""
+
+INFILL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('{op11_infill.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+  r AS (SELECT doc_id, t, n, {", ".join(f"('0x' || substr(h, {8 * i + 1}, 8))::BIGINT AS h{i + 1}" for i in range(4))} FROM d),
+  c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(t, '{op11_infill.PREFIX}') OR contains(t, '{op11_infill.SUFFIX}') OR contains(t, '{op11_infill.MIDDLE}') OR h3 % 100 >= {100 - op11_infill.PLAIN_PERCENT} THEN 'plain'
+      WHEN h4 % 100 < {op11_infill.SPM_PERCENT} THEN 'spm' ELSE 'psm' END AS form FROM r),
+  p AS (SELECT *, substr(t, 1, a) AS x, substr(t, a + 1, b - a) AS y, substr(t, b + 1) AS z FROM c)
+  SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+    sha256(CASE form WHEN 'psm' THEN '{op11_infill.PREFIX}' || x || '{op11_infill.SUFFIX}' || z || '{op11_infill.MIDDLE}' || y WHEN 'spm' THEN '{op11_infill.SUFFIX}' || z || '{op11_infill.PREFIX}' || x || '{op11_infill.MIDDLE}' || y ELSE t END) AS output_sha256,
+    sha256(t) AS restored_sha256 FROM p"""
+
+_DIST = "list_sum(list_transform(range(1, len(x) + 1), lambda j: (x[j] - c[j]) * (x[j] - c[j])))"
+_ASSIGN = "{1} AS (SELECT vec_id, p, arg_min(e, d * {2} + e) AS e, min(d) AS d FROM (SELECT v.vec_id, v.p, b.e, {3} AS d FROM v JOIN {0} b USING (p)) GROUP BY vec_id, p)"
+_MOVE = """{1}_s AS (SELECT v.p, a.e, j, sum(x[j])::BIGINT AS t, count(*) AS n FROM v JOIN {1} a USING (vec_id, p), unnest(range(1, len(x) + 1)) u(j) GROUP BY v.p, a.e, j),
+  {1}_m AS (SELECT p, e, list((t - ((t % n) + n) % n) // n ORDER BY j) AS c FROM {1}_s GROUP BY p, e),
+  {2} AS (SELECT p, e, coalesce(m.c, b.c) AS c FROM {0} b LEFT JOIN {1}_m m USING (p, e))"""
+
+
+def _lloyd(rounds: int) -> str:
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(_ASSIGN.format(f"b{i}", f"a{i}", op12_codes.ENTRIES, _DIST))
+        if i < rounds:
+            steps.append(_MOVE.format(f"b{i}", f"a{i}", f"b{i + 1}"))
+    return ",\n  ".join(steps)
+
+
+VECTOR_CODES = f"""WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda y: floor({op12_codes.SCALE} * y::DOUBLE)::BIGINT) AS q FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR isnan(y) OR isinf(y))) = 0),
+  v AS (SELECT vec_id, p, q[len(q) // {op12_codes.PARTS} * p + 1:len(q) // {op12_codes.PARTS} * (p + 1)] AS x FROM k, range({op12_codes.PARTS}) r(p)),
+  b0 AS (SELECT p, dense_rank() OVER (ORDER BY vec_id) - 1 AS e, x AS c FROM v WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT {op12_codes.ENTRIES})),
+  {_lloyd(op12_codes.ROUNDS)},
+  coded AS (SELECT vec_id, string_agg(lpad(to_hex(e), 2, '0'), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{op12_codes.ROUNDS} GROUP BY vec_id),
+  digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{op12_codes.ROUNDS})
+  SELECT vec_id, lower(code) AS code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN k USING (vec_id), digest"""
+
+WARC_MEMBERS = f"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+  f AS (SELECT *, CASE WHEN payload_bytes >= {op13_warc.MIN_PAYLOAD} THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
+  SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM f"""

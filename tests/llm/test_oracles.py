@@ -13,7 +13,7 @@ D = os.environ.get("QUERY_SF_DIR", "/root/testdata/sf0.001")
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings", "pages"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{D}/{t}.parquet'")
     df = QUERIES[name](spark, D)
     cols = sorted(df.columns)
