@@ -1,8 +1,10 @@
-"""Near copies as one: classes of texts that share most of a sketch, from DataFrame expressions only.
+"""Near copies as one: classes of texts that are nearly the same, from DataFrame expressions only.
 
-A text's sketch is the SKETCH least hashes of its windows of SHINGLE words. In each group of texts, every sketch hash names the
-first text (by digest) that holds it; a text joins the first of the texts so named with which it shares half of the larger
-sketch or more, else it stands for itself. What counts classes instead of texts can't be moved by one text's many variants.
+Two texts are near copies if the sets of their SHINGLE-word windows (A-Z in lower case) have a Jaccard similarity of PERCENT or
+more, which is what the pipeline's near-duplicate stage takes as well: texts that share much boilerplate but say different things
+stay apart. Sketches, the SKETCH least window digests of a text, only propose: in each group of texts, every sketch digest names
+the first text (by digest) that holds it, and whether a text is a near copy of a text so named is then decided on the whole sets.
+A text's class is the first of its near copies so found, or that one's own class.
 """
 
 from __future__ import annotations
@@ -14,35 +16,66 @@ from foliant.functions.text import let
 from foliant.scale import sized, stash
 
 SHINGLE = 5
-SKETCH = 8
+PERCENT = 80
+SKETCH = 16
 WORD = r"[^\x20\x09-\x0D]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def sketch(text: Column) -> Column:
-    """The least window digests; a text of fewer words than a window is one window, one without words has none."""
+def _windows(text: Column, of) -> Column:
+    """The distinct values of ``of`` for a text's windows; a text of fewer words than a window is one window, one without words has none."""
 
-    def least(words: Column) -> Column:
+    def each(words: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (SHINGLE - 1), F.lit(1)))
-        windows = F.transform(starts, lambda i: F.substring(F.md5(F.array_join(F.slice(words, i, F.lit(SHINGLE)), " ").cast("binary")), 1, 16))
-        return F.when(F.size(words) > 0, F.slice(F.sort_array(F.array_distinct(windows)), 1, SKETCH)).otherwise(F.array().cast("array<string>"))
+        return F.array_distinct(F.transform(starts, lambda i: of(F.array_join(F.slice(words, i, F.lit(SHINGLE)), " "))))
+
+    words = F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    return let(words, lambda w: F.when(F.size(w) > 0, each(w)))
+
 
-    return let(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0)), least)
+def sketch(text: Column) -> Column:
+    """(least, n): the least window digests and the number of different windows."""
+    digests = _windows(text, lambda w: F.substring(F.md5(w.cast("binary")), 1, 16))
+    none = F.array().cast("array<string>")
+    return let(digests, lambda d: F.struct(F.coalesce(F.slice(F.sort_array(d), 1, SKETCH), none).alias("least"), F.coalesce(F.size(d), F.lit(0)).alias("n")))
 
 
 def near_copy_classes(texts: DataFrame) -> DataFrame:
     """(grp, key, label) from (grp, key, text), a key for each different text; a null group is a group of its own.
 
-    Rows that share group and key count once. Each row goes to SKETCH groups by hash, of which only the first text is kept:
-    no pair of texts other than (text, first of its bucket) is made.
+    Rows that share group and key count once. Each row goes to SKETCH buckets by digest, of which only the first text is kept: no
+    pair of texts other than (text, first of its bucket) is made. Pairs whose sizes rule out the similarity go first; of the
+    others, the window sets are computed from the texts, which are read a second time.
     """
-    t = texts.select("grp", "key", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("own"), sketch(F.col("text")).alias("sketch"))
-    t = stash(t.groupBy("grp", "key").agg(F.first("own").alias("own"), F.first("sketch").alias("sketch")))
-    each = t.select("*", F.explode("sketch").alias("v"))
-    first = each.groupBy(F.col("grp").alias("__g"), F.col("v").alias("__v")).agg(F.min(F.struct("own", "sketch")).alias("r"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = sized(stash(first.select("__g", "__v", F.col("r.own").alias("__own"), F.col("r.sketch").alias("__sketch"))))
+    t = texts.select("grp", "key", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("own"), sketch(F.col("text")).alias("s"))
+    t = stash(t.groupBy("grp", "key").agg(F.first("own").alias("own"), F.first("s").alias("s")).select("grp", "key", "own", "s.least", "s.n"))
+    each = t.select("grp", "key", "own", "n", F.explode("least").alias("v"))
+    first = each.groupBy(F.col("grp").alias("__g"), F.col("v").alias("__v")).agg(F.min(F.struct("own", "key", "n")).alias("r"), F.count(F.lit(1)).alias("__c")).where("__c > 1")
+    first = sized(stash(first.select("__g", "__v", F.col("r.own").alias("__own"), F.col("r.key").alias("__lead"), F.col("r.n").alias("__n"))))
     met = each.join(first, each["grp"].eqNullSafe(first["__g"]) & (each["v"] == first["__v"])).where("own > __own")
-    met = met.where(2 * F.size(F.array_intersect("sketch", "__sketch")) >= F.greatest(F.size("sketch"), F.size("__sketch")))
-    label = met.groupBy(F.col("grp").alias("__lg"), F.col("key").alias("__lk")).agg(F.min("__own").alias("__label"))
-    label = sized(stash(label))
+    met = met.where(100 * F.least("n", "__n") >= PERCENT * F.greatest("n", "__n"))
+    pairs = stash(met.select("grp", "key", "own", "__lead", "__own").distinct())
+    near = _verified(texts, pairs)
+    label = near.groupBy("grp", "key").agg(F.min("own").alias("own"), F.min("__own").alias("label"))
+    label = stash(label)
+    up = sized(label.select(F.col("grp").alias("__ug"), F.col("own").alias("__uo"), F.col("label").alias("__ul")))
+    label = label.join(up, label["grp"].eqNullSafe(up["__ug"]) & (label["label"] == up["__uo"]), "left")
+    label = sized(stash(label.select(F.col("grp").alias("__lg"), F.col("key").alias("__lk"), F.coalesce("__ul", "label").alias("__label"))))
     out = t.join(label, t["grp"].eqNullSafe(label["__lg"]) & (t["key"] == label["__lk"]), "left")
     return out.select("grp", "key", F.coalesce("__label", "own").alias("label"))
+
+
+def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` (grp, key, own, __lead, __own) whose window sets are similar enough; a key has SKETCH leads at most."""
+    lead = sized(stash(pairs.select(F.col("grp").alias("__g"), F.col("__lead").alias("__k")).distinct()))
+    asked = pairs.groupBy(F.col("grp").alias("__g"), F.col("key").alias("__k")).agg(F.first("own").alias("own"), F.collect_set(F.struct("__lead", "__own")).alias("leads"))
+    asked = sized(stash(asked))
+    there = lambda other: texts["grp"].eqNullSafe(other["__g"]) & (texts["key"] == other["__k"])
+    windows = _windows(F.col("text"), F.xxhash64).alias("set")
+    sets = texts.join(lead, there(lead)).select("grp", "key", windows).dropDuplicates(["grp", "key"])
+    sets = sized(stash(sets.select(F.col("grp").alias("__sg"), F.col("key").alias("__sk"), F.col("set").alias("__set"))))
+    mine = texts.join(asked, there(asked)).select("grp", "key", "own", windows, F.explode("leads").alias("l")).select("grp", "key", "own", "set", "l.__lead", "l.__own")
+    j = mine.join(sets, mine["grp"].eqNullSafe(sets["__sg"]) & (mine["__lead"] == sets["__sk"]))
+    common = F.size(F.array_intersect("set", "__set"))
+    near = let(common, lambda c: 100 * c >= PERCENT * (F.size("set") + F.size("__set") - c))
+    return j.where(near).select("grp", "key", "own", "__lead", "__own")

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.llm import op1_sharding, op3_mixing, op4_quality
+from foliant.llm import op1_sharding, op3_mixing, op4_quality, op10_templates
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -156,19 +156,52 @@ def test_highest_quotients(spark):
 
 
 def brute_classes(texts):
-    """Text -> label: the first text, by digest, of a bucket that shares half the larger sketch."""
+    """Text -> label: the first text, by digest, of a bucket that is similar enough on all five-word windows, or that one's label."""
     md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
-    sketch, first = {}, {}
+    lower = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
+    windows, first = {}, {}
     for t in texts:
-        w = WORD.findall(t)
-        sketch[t] = sorted({md5(" ".join(w[i : i + 5]))[:16] for i in range(max(1, len(w) - 4))})[:8] if w else []
-        for v in sketch[t]:
+        w = WORD.findall(t.translate(lower))
+        windows[t] = {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    sketch = {t: sorted(md5(x)[:16] for x in s)[:16] for t, s in windows.items()}
+    for t, s in sketch.items():
+        for v in s:
             first[v] = min(first.get(v, t), t, key=md5)
     label = {}
     for t, s in sketch.items():
-        near = [f for f in map(first.get, s) if 2 * len(set(s) & set(sketch[f])) >= max(len(s), len(sketch[f]))]
-        label[t] = min(map(md5, [t, *near]))
-    return label
+        near = [f for f in map(first.get, s) if md5(f) < md5(t) and 100 * len(windows[t] & windows[f]) >= 80 * len(windows[t] | windows[f])]
+        label[t] = min(near, key=md5, default=t)
+    return {t: md5(label[f]) for t, f in label.items()}
+
+
+#: (shared words, own words) of documents that have the same menu and different texts.
+MENUS = [(30, 30), (60, 60), (45, 15), (75, 15), (120, 15)]
+
+
+def menu_documents(shared, own, n=200):
+    menu = "\n".join(" ".join(f"menu{chr(97 + i)}{chr(97 + j)}" for j in range(5)) for i in range(shared // 5))
+    return [(i, f"{menu}\n" + " ".join(f"own{i}x{j}" for j in range(own)), "en", "host", None) for i in range(n)]
+
+
+@pytest.mark.parametrize("shared,own", MENUS)
+def test_menus_of_unlike_documents_go(spark, shared, own):
+    """Documents that are mostly the same menu are no near copies: the menu is cut, and what is left of over 70 % is rejected."""
+    df = spark.createDataFrame(menu_documents(shared, own), DOC)
+    kept = own >= 0.3 * (shared + own)
+    got = op4_quality.quality_verdicts(df).collect()
+    assert {(r.kept, r.words_removed) for r in got} == {(kept, shared)}
+    assert {(r.n_dropped, r.dropped_words) for r in op10_templates.drop_recurrent(df).collect()} == {(shared // 5, shared)}
+    left = op4_quality.accepted(df).collect()
+    assert len(left) == (200 if kept else 0) and all("menu" not in r.text for r in left)
+
+
+def test_menu_on_near_copies(spark):
+    """Copies of one page in a crowd with the same menu: the menu goes, the copied page keeps its own lines."""
+    page = [" ".join(f"page{i}x{j}" for j in range(12)) for i in range(10)]
+    rows = menu_documents(30, 30) + [(1000 + i, "\n".join([*(" ".join(f"menu{chr(97 + k)}{chr(97 + j)}" for j in range(5)) for k in range(6)), *page[: i % 10], f"{page[i % 10]} changed{i}", *page[i % 10 + 1 :]]), "en", "host", None) for i in range(60)]
+    df = spark.createDataFrame(rows, DOC)
+    assert {(r.kept, r.words_removed) for r in op4_quality.quality_verdicts(df).collect()} == {(True, 30)}
+    assert {(r.n_dropped, r.dropped_words) for r in op10_templates.drop_recurrent(df).collect()} == {(6, 30)}
 
 
 def brute_quality(rows):
