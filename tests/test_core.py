@@ -8,7 +8,6 @@ import os
 import pickle
 import re
 import sys
-import time
 import types
 from collections import Counter
 
@@ -29,7 +28,7 @@ from foliant.operators.search import Engine
 from foliant.plans.querylang import And, Not, Or, Tag, combine, parse_query, tag_query
 from foliant.sources.parsing import ChunkConfig, chunk, parse_file, parse_html, parse_markdown, parse_text, section_ids, sections
 from foliant.sources.scan import Source, SourceList, read_text
-from foliant.streaming.watch import Watcher, debounce, relevant
+from foliant.streaming.watch import debounce, relevant
 
 
 def test_flat_queries():
@@ -110,7 +109,7 @@ def test_search_modes(spark):
         e.set_mode("other")
 
 
-def test_index_and_watch(spark, tmp_path):
+def test_index_and_relevance(spark, tmp_path):
     d = tmp_path / "docs"
     d.mkdir()
     (d / "ml.md").write_text("# 神经网络\n深度学习 模型")
@@ -127,13 +126,6 @@ def test_index_and_watch(spark, tmp_path):
     assert index.engine("keyword").search("神经网络").count() == 1 and index.engine("keyword").search("plain").count() == 0
     assert index.stale(vectors.HashEmbedder(64)) and not index.stale(vectors.HashEmbedder(32))
     assert Engine(index.searchable()).search("神经网络", mode="keyword").count() == 1
-    done = []
-    w = Watcher(spark, sources, lambda s: done.append(1) or {}, str(tmp_path / "cp"))
-    w.start(availableNow=True)
-    for q in w.queries:
-        q.awaitTermination(60)
-    w.stop()
-    assert done == [1] and not w.pending()
     path = lambda p: spark.range(1).select(relevant(F.lit(p), sources.items)).first()[0]
     assert path(f"{d}/ok.md") and not any(map(path, [f"{d}/~$r.docx", f"{d}/n.tmp", f"{d}/a.swp", f"{d}/secret.md", "/elsewhere/a.md"]))
 
@@ -253,31 +245,6 @@ def test_index_changes_only_what_changed(spark, tmp_path, monkeypatch):
     assert kept <= {f.split("/")[0] for m in index._names("manifest-*.json") for f in index._read(m)["folders"].values()}
 
 
-def test_watcher_waits_and_tries_again(spark):
-    calls, fail = [], [2]
-
-    def sync(_):
-        calls.append(time.monotonic())
-        if fail[0]:
-            fail[0] -= 1
-            raise OSError("busy")
-        return {"n": len(calls)}
-
-    w = Watcher(spark, SourceList(), sync, "", quiet_ms=150)
-    for _ in range(4):  # one burst: changes closer than the quiet time
-        w.changed()
-        time.sleep(0.05)
-    last = time.monotonic()
-    assert not calls and w.pending()
-    time.sleep(2.5)
-    assert len(calls) == 3 and len(w.errors) == 2 and w.results == [{"n": 3}] and calls[0] - last < 0.5
-    w.changed()
-    time.sleep(0.6)
-    w.changed()
-    w.flush()
-    assert len(calls) == 5 and not w.pending()
-
-
 def test_exports(spark):
     rows = spark.createDataFrame([("/a|b.md", "n", "t", 'one "two",\nthree <4>', 0.91234, None, 0.5, 1), ("/c.md", "", None, None, 0.55, 0.0512, None, 2)], "file_path string, file_name string, title string, snippet string, similarity double, rrf_score double, lexical_score double, rank int")
     md = export.to_markdown(rows)
