@@ -1,14 +1,16 @@
 """Near copies as one: classes of texts that are nearly the same, from DataFrame expressions only.
 
-Two texts are near copies if the sets of their SHINGLE-word windows (A-Z in lower case) have a Jaccard similarity of PERCENT or
-more, which is what the pipeline's near-duplicate stage takes as well: texts that share much boilerplate but say different things
-stay apart. Sketches, the SKETCH least window digests of a text, only propose: in each group of texts, every sketch digest names
-the first text (by digest) that holds it, and whether a text is a near copy of a text so named is then decided on the whole sets.
-A text's class is the first of its near copies so found, or that one's own class.
+Two texts are near copies if the sets of their SHINGLE-word windows have a Jaccard similarity of PERCENT or more, which is what
+the pipeline's near-duplicate stage takes as well: texts that share much boilerplate but say different things stay apart.
+Sketches, the SKETCH least window digests of a text, only propose: in each group of texts, every sketch digest names the first
+text (by digest) that holds it, and if two sketches have ALIKE digests or more in common (of two texts at PERCENT, one pair in
+5,000 has fewer), the whole sets decide. A text's class is the first of its near copies so found, or that one's own class.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,43 +19,42 @@ from foliant.scale import sized, stash
 
 SHINGLE = 5
 PERCENT = 80
-SKETCH = 16
+SKETCH, ALIKE = 16, 7
 WORD = r"[^\x20\x09-\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WINDOW = r"(?<![^ ])(?=(" + " ".join(["[^ ]++"] * SHINGLE) + "))"
 
 
-def _windows(text: Column, of) -> Column:
-    """The distinct values of ``of`` for a text's windows; a text of fewer words than a window is one window, one without words has none."""
+def windows(text: Column) -> Column:
+    """A text's windows, single-spaced; a text of fewer words than a window is one window, one without words has none."""
+    spaces = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(" ")), "\t\n\x0b\x0c\r", F.coalesce(text, F.lit("")))
+    flat = F.trim(F.when(F.contains(spaces, F.lit("  ")), F.regexp_replace(spaces, " {2,}", " ")).otherwise(spaces))
 
-    def each(words: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (SHINGLE - 1), F.lit(1)))
-        return F.array_distinct(F.transform(starts, lambda i: of(F.array_join(F.slice(words, i, F.lit(SHINGLE)), " "))))
+    def cut(t: Column) -> Column:
+        found = F.regexp_extract_all(t, F.lit(_WINDOW), F.lit(1))
+        return let(found, lambda w: F.when(F.size(w) > 0, w).when(t != "", F.array(t)).otherwise(F.array().cast("array<string>")))
 
-    words = F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
-    return let(words, lambda w: F.when(F.size(w) > 0, each(w)))
+    return let(flat, cut)
 
 
 def sketch(text: Column) -> Column:
-    """(least, n): the least window digests and the number of different windows."""
-    digests = _windows(text, lambda w: F.substring(F.md5(w.cast("binary")), 1, 16))
-    none = F.array().cast("array<string>")
-    return let(digests, lambda d: F.struct(F.coalesce(F.slice(F.sort_array(d), 1, SKETCH), none).alias("least"), F.coalesce(F.size(d), F.lit(0)).alias("n")))
+    digests = F.transform(windows(text), lambda w: F.substring(F.md5(w.cast("binary")), 1, 16))
+    return F.slice(F.sort_array(F.array_distinct(digests)), 1, SKETCH)
 
 
 def near_copy_classes(texts: DataFrame) -> DataFrame:
     """(grp, key, label) from (grp, key, text), a key for each different text; a null group is a group of its own.
 
     Rows that share group and key count once. Each row goes to SKETCH buckets by digest, of which only the first text is kept: no
-    pair of texts other than (text, first of its bucket) is made. Pairs whose sizes rule out the similarity go first; of the
-    others, the window sets are computed from the texts, which are read a second time.
+    pair of texts other than (text, first of its bucket) is made. The window sets of the pairs with alike sketches are computed
+    from the texts, which are read a second time.
     """
-    t = texts.select("grp", "key", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("own"), sketch(F.col("text")).alias("s"))
-    t = stash(t.groupBy("grp", "key").agg(F.first("own").alias("own"), F.first("s").alias("s")).select("grp", "key", "own", "s.least", "s.n"))
-    each = t.select("grp", "key", "own", "n", F.explode("least").alias("v"))
-    first = each.groupBy(F.col("grp").alias("__g"), F.col("v").alias("__v")).agg(F.min(F.struct("own", "key", "n")).alias("r"), F.count(F.lit(1)).alias("__c")).where("__c > 1")
-    first = sized(stash(first.select("__g", "__v", F.col("r.own").alias("__own"), F.col("r.key").alias("__lead"), F.col("r.n").alias("__n"))))
+    t = texts.select("grp", "key", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("own"), sketch(F.col("text")).alias("least"))
+    t = stash(t.groupBy("grp", "key").agg(F.first("own").alias("own"), F.first("least").alias("least")))
+    each = t.select("*", F.explode("least").alias("v"))
+    first = each.groupBy(F.col("grp").alias("__g"), F.col("v").alias("__v")).agg(F.min(F.struct("own", "key", "least")).alias("r"), F.count(F.lit(1)).alias("__c")).where("__c > 1")
+    first = sized(stash(first.select("__g", "__v", F.col("r.own").alias("__own"), F.col("r.key").alias("__lead"), F.col("r.least").alias("__least"))))
     met = each.join(first, each["grp"].eqNullSafe(first["__g"]) & (each["v"] == first["__v"])).where("own > __own")
-    met = met.where(100 * F.least("n", "__n") >= PERCENT * F.greatest("n", "__n"))
+    met = met.where(SKETCH * F.size(F.array_intersect("least", "__least")) >= ALIKE * F.greatest(F.size("least"), F.size("__least")))
     pairs = stash(met.select("grp", "key", "own", "__lead", "__own").distinct())
     near = _verified(texts, pairs)
     label = near.groupBy("grp", "key").agg(F.min("own").alias("own"), F.min("__own").alias("label"))
@@ -71,10 +72,10 @@ def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     asked = pairs.groupBy(F.col("grp").alias("__g"), F.col("key").alias("__k")).agg(F.first("own").alias("own"), F.collect_set(F.struct("__lead", "__own")).alias("leads"))
     asked = sized(stash(asked))
     there = lambda other: texts["grp"].eqNullSafe(other["__g"]) & (texts["key"] == other["__k"])
-    windows = _windows(F.col("text"), F.xxhash64).alias("set")
-    sets = texts.join(lead, there(lead)).select("grp", "key", windows).dropDuplicates(["grp", "key"])
+    held = F.array_distinct(F.transform(windows(F.col("text")), lambda w: F.xxhash64(w))).alias("set")
+    sets = texts.join(lead, there(lead)).select("grp", "key", held).dropDuplicates(["grp", "key"])
     sets = sized(stash(sets.select(F.col("grp").alias("__sg"), F.col("key").alias("__sk"), F.col("set").alias("__set"))))
-    mine = texts.join(asked, there(asked)).select("grp", "key", "own", windows, F.explode("leads").alias("l")).select("grp", "key", "own", "set", "l.__lead", "l.__own")
+    mine = texts.join(asked, there(asked)).select("grp", "key", "own", held, F.explode("leads").alias("l")).select("grp", "key", "own", "set", "l.__lead", "l.__own")
     j = mine.join(sets, mine["grp"].eqNullSafe(sets["__sg"]) & (mine["__lead"] == sets["__sk"]))
     common = F.size(F.array_intersect("set", "__set"))
     near = let(common, lambda c: 100 * c >= PERCENT * (F.size("set") + F.size("__set") - c))

@@ -156,12 +156,11 @@ def test_highest_quotients(spark):
 
 
 def brute_classes(texts):
-    """Text -> label: the first text, by digest, of a bucket that is similar enough on all five-word windows, or that one's label."""
+    """Text -> label: the first text, by digest, of a bucket with an alike sketch that is similar enough on all five-word windows, or that one's label."""
     md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
-    lower = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
     windows, first = {}, {}
     for t in texts:
-        w = WORD.findall(t.translate(lower))
+        w = WORD.findall(t)
         windows[t] = {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
     sketch = {t: sorted(md5(x)[:16] for x in s)[:16] for t, s in windows.items()}
     for t, s in sketch.items():
@@ -169,7 +168,8 @@ def brute_classes(texts):
             first[v] = min(first.get(v, t), t, key=md5)
     label = {}
     for t, s in sketch.items():
-        near = [f for f in map(first.get, s) if md5(f) < md5(t) and 100 * len(windows[t] & windows[f]) >= 80 * len(windows[t] | windows[f])]
+        alike = [f for f in map(first.get, s) if 16 * len(set(s) & set(sketch[f])) >= 7 * max(len(s), len(sketch[f]))]
+        near = [f for f in alike if md5(f) < md5(t) and 100 * len(windows[t] & windows[f]) >= 80 * len(windows[t] | windows[f])]
         label[t] = min(near, key=md5, default=t)
     return {t: md5(label[f]) for t, f in label.items()}
 
