@@ -2,8 +2,8 @@
 
 Two texts are near copies if the sets of their SHINGLE-word windows have a Jaccard similarity of PERCENT or more, which is what
 the pipeline's near-duplicate stage takes as well: texts that share much boilerplate but say different things stay apart.
-Sketches, the SKETCH least window digests of a text, only propose: in each group of texts, every sketch digest names the first
-text (by digest) that holds it, and if two sketches have ALIKE digests or more in common (of two texts at PERCENT, one pair in
+Sketches, the SKETCH least window hashes of a text, only propose: in each group of texts, every sketch hash names the first
+text (by digest) that holds it, and if two sketches have ALIKE hashes or more in common (of two texts at PERCENT, one pair in
 5,000 has fewer), the whole sets decide. A text's class is the first of its near copies so found, or that one's own class.
 """
 
@@ -36,29 +36,27 @@ def windows(text: Column) -> Column:
     return let(flat, cut)
 
 
-def sketch(text: Column) -> Column:
-    digests = F.transform(windows(text), lambda w: F.substring(F.md5(w.cast("binary")), 1, 16))
-    return F.slice(F.sort_array(F.array_distinct(digests)), 1, SKETCH)
+def window_set(text: Column) -> Column:
+    return F.array_distinct(F.transform(windows(text), lambda w: F.xxhash64(w)))
 
 
 def near_copy_classes(texts: DataFrame) -> DataFrame:
     """(grp, key, label) from (grp, key, text), a key for each different text; a null group is a group of its own.
 
-    Rows that share group and key count once. Each row goes to SKETCH buckets by digest, of which only the first text is kept: no
+    Rows that share group and key count once. Each row goes to SKETCH buckets by hash, of which only the first text is kept: no
     pair of texts other than (text, first of its bucket) is made. The window sets of the pairs with alike sketches are computed
     from the texts, which are read a second time.
     """
-    t = texts.select("grp", "key", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("own"), sketch(F.col("text")).alias("least"))
+    least = F.slice(F.sort_array(window_set(F.col("text"))), 1, SKETCH)
+    t = texts.select("grp", "key", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("own"), least.alias("least"))
     t = stash(t.groupBy("grp", "key").agg(F.first("own").alias("own"), F.first("least").alias("least")))
-    each = t.select("*", F.explode("least").alias("v"))
-    first = each.groupBy(F.col("grp").alias("__g"), F.col("v").alias("__v")).agg(F.min(F.struct("own", "key", "least")).alias("r"), F.count(F.lit(1)).alias("__c")).where("__c > 1")
-    first = sized(stash(first.select("__g", "__v", F.col("r.own").alias("__own"), F.col("r.key").alias("__lead"), F.col("r.least").alias("__least"))))
+    each = t.select("grp", "key", "own", F.explode("least").alias("v"))
+    first = each.groupBy(F.col("grp").alias("__g"), F.col("v").alias("__v")).agg(F.min(F.struct("own", "key")).alias("r"), F.count(F.lit(1)).alias("__c")).where("__c > 1")
+    first = sized(stash(first.select("__g", "__v", F.col("r.own").alias("__own"), F.col("r.key").alias("__lead"))))
     met = each.join(first, each["grp"].eqNullSafe(first["__g"]) & (each["v"] == first["__v"])).where("own > __own")
-    met = met.where(SKETCH * F.size(F.array_intersect("least", "__least")) >= ALIKE * F.greatest(F.size("least"), F.size("__least")))
-    pairs = stash(met.select("grp", "key", "own", "__lead", "__own").distinct())
-    near = _verified(texts, pairs)
-    label = near.groupBy("grp", "key").agg(F.min("own").alias("own"), F.min("__own").alias("label"))
-    label = stash(label)
+    pairs = _alike(t, stash(met.select("grp", "key", "own", "__lead", "__own").distinct()))
+    near = _verified(texts, stash(pairs))
+    label = stash(near.groupBy("grp", "key").agg(F.min("own").alias("own"), F.min("__own").alias("label")))
     up = sized(label.select(F.col("grp").alias("__ug"), F.col("own").alias("__uo"), F.col("label").alias("__ul")))
     label = label.join(up, label["grp"].eqNullSafe(up["__ug"]) & (label["label"] == up["__uo"]), "left")
     label = sized(stash(label.select(F.col("grp").alias("__lg"), F.col("key").alias("__lk"), F.coalesce("__ul", "label").alias("__label"))))
@@ -66,13 +64,26 @@ def near_copy_classes(texts: DataFrame) -> DataFrame:
     return out.select("grp", "key", F.coalesce("__label", "own").alias("label"))
 
 
+def _alike(t: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` (grp, key, own, __lead, __own) whose sketches have enough in common."""
+    sketches = lambda n: t.select(F.col("grp").alias(f"__g{n}"), F.col("key").alias(f"__k{n}"), F.col("least").alias(f"__s{n}"))
+    leads = pairs.select(F.col("grp").alias("__g"), F.col("__lead").alias("__l")).distinct()
+    theirs = sketches(1)
+    theirs = sized(stash(theirs.join(leads, theirs["__g1"].eqNullSafe(leads["__g"]) & (theirs["__k1"] == leads["__l"]), "left_semi")))
+    mine = sketches(0)
+    j = pairs.join(theirs, pairs["grp"].eqNullSafe(theirs["__g1"]) & (pairs["__lead"] == theirs["__k1"]))
+    j = j.join(mine, j["grp"].eqNullSafe(mine["__g0"]) & (j["key"] == mine["__k0"]))
+    enough = SKETCH * F.size(F.array_intersect("__s0", "__s1")) >= ALIKE * F.greatest(F.size("__s0"), F.size("__s1"))
+    return j.where(enough).select("grp", "key", "own", "__lead", "__own")
+
+
 def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The rows of ``pairs`` (grp, key, own, __lead, __own) whose window sets are similar enough; a key has SKETCH leads at most."""
     lead = sized(stash(pairs.select(F.col("grp").alias("__g"), F.col("__lead").alias("__k")).distinct()))
     asked = pairs.groupBy(F.col("grp").alias("__g"), F.col("key").alias("__k")).agg(F.first("own").alias("own"), F.collect_set(F.struct("__lead", "__own")).alias("leads"))
     asked = sized(stash(asked))
     there = lambda other: texts["grp"].eqNullSafe(other["__g"]) & (texts["key"] == other["__k"])
-    held = F.array_distinct(F.transform(windows(F.col("text")), lambda w: F.xxhash64(w))).alias("set")
+    held = window_set(F.col("text")).alias("set")
     sets = texts.join(lead, there(lead)).select("grp", "key", held).dropDuplicates(["grp", "key"])
     sets = sized(stash(sets.select(F.col("grp").alias("__sg"), F.col("key").alias("__sk"), F.col("set").alias("__set"))))
     mine = texts.join(asked, there(asked)).select("grp", "key", "own", held, F.explode("leads").alias("l")).select("grp", "key", "own", "set", "l.__lead", "l.__own")

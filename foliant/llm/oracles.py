@@ -13,16 +13,14 @@ def _words(text: str, kind: str = _WORD) -> str:
 
 
 def _classes(texts: str) -> str:
-    """CTEs that end in cls (grp, t, label) for the texts (grp, t) of the table ``texts``: near copies have one label."""
+    """CTEs that end in cls (grp, t, label) for the texts (grp, t) of the table ``texts``: near copies have one label. All pairs
+    that share a window are compared here, whatever their sketches."""
     return f"""kw AS (SELECT grp, t, md5(t) AS own, {_words("t")} AS w FROM (SELECT DISTINCT grp, t FROM {texts})),
-  ks AS (SELECT grp, t, own, list_distinct(list_transform(range(1, greatest(len(w) - {folding.SHINGLE - 2}, 2)), lambda i: array_to_string(w[i:i + {folding.SHINGLE - 1}], ' '))) AS s FROM kw WHERE len(w) > 0),
-  kx AS (SELECT grp, t, own, sk, unnest(sk) AS v FROM (SELECT grp, t, own, list_sort(list_transform(s, lambda x: left(md5(x), 16)))[1:{folding.SKETCH}] AS sk FROM ks)),
-  kf AS (SELECT grp, v, own AS f_own, t AS f_t, sk AS f_sk FROM kx QUALIFY row_number() OVER (PARTITION BY grp, v ORDER BY own) = 1),
-  kp AS (SELECT DISTINCT kx.grp, kx.t, own, f_t, f_own FROM kx JOIN kf ON kx.grp IS NOT DISTINCT FROM kf.grp AND kx.v = kf.v
-    WHERE own > f_own AND {folding.SKETCH} * len(list_intersect(sk, f_sk)) >= {folding.ALIKE} * greatest(len(sk), len(f_sk))),
-  kl AS (SELECT kp.grp, kp.t, kp.own, min(f_own) AS label FROM kp JOIN ks a ON kp.grp IS NOT DISTINCT FROM a.grp AND kp.t = a.t JOIN ks b ON kp.grp IS NOT DISTINCT FROM b.grp AND kp.f_t = b.t
-    WHERE 100 * len(list_intersect(a.s, b.s)) >= {folding.PERCENT} * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) GROUP BY kp.grp, kp.t, kp.own),
-  cls AS (SELECT kw.grp, kw.t, coalesce(up.label, kl.label, kw.own) AS label FROM kw LEFT JOIN kl ON kw.grp IS NOT DISTINCT FROM kl.grp AND kw.t = kl.t LEFT JOIN kl up ON kl.grp IS NOT DISTINCT FROM up.grp AND kl.label = up.own)"""
+  ks AS (SELECT grp, own, list_distinct(list_transform(range(1, greatest(len(w) - {folding.SHINGLE - 2}, 2)), lambda i: array_to_string(w[i:i + {folding.SHINGLE - 1}], ' '))) AS s FROM kw WHERE len(w) > 0),
+  kx AS (SELECT grp, own, len(s) AS n, unnest(s) AS g FROM ks),
+  kp AS (SELECT a.grp, a.own, b.own AS f_own FROM kx a JOIN kx b ON a.grp IS NOT DISTINCT FROM b.grp AND a.g = b.g AND a.own > b.own GROUP BY a.grp, a.own, b.own, a.n, b.n HAVING 100 * count(*) >= {folding.PERCENT} * (a.n + b.n - count(*))),
+  kl AS (SELECT grp, own, min(f_own) AS label FROM kp GROUP BY grp, own),
+  cls AS (SELECT kw.grp, kw.t, coalesce(up.label, kl.label, kw.own) AS label FROM kw LEFT JOIN kl ON kw.grp IS NOT DISTINCT FROM kl.grp AND kw.own = kl.own LEFT JOIN kl up ON kl.grp IS NOT DISTINCT FROM up.grp AND kl.label = up.own)"""
 
 
 LINE_FREQUENCY = f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, {_words("coalesce(text, '')")} AS w, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
