@@ -256,16 +256,29 @@ def title_of(text: Column, ext: Column, name: Column) -> Column:
     return F.coalesce(F.nullif(found, F.lit("")), name)
 
 
-def _map_files(config: ChunkConfig):
+#: Characters of chunks, or files, after which a map gives its rows on.
+OUT_CHARS, OUT_FILES = 1 << 22, 256
+
+
+def _map_files(config: ChunkConfig, keep: tuple[str, ...]):
+    """Rows (keep, error, chunks) of rows (keep, file_path, file_name, file_extension, title, content, read_error)."""
+
     def run(batches):
         for b in batches:
-            for r in b.to_pylist():
+            at, size, done, errors = 0, 0, [], []
+            for i in range(b.num_rows):
+                r = {c: b[c][i].as_py() for c in ("file_path", "file_name", "file_extension", "title", "content", "read_error")}
                 try:
-                    rows, error = chunk(r["file_path"], r["file_name"], r["title"], parse_file(r["file_extension"], r["content"] or b""), config), None
+                    rows, error = ([], r["read_error"]) if r["read_error"] else (chunk(r["file_path"], r["file_name"], r["title"], parse_file(r["file_extension"], r["content"] or b""), config), None)
                 except Exception as e:  # a bad file must not stop the others; the caller gets its message
                     rows, error = [], f"{type(e).__name__}: {e}"
-                cols = {"file_path": pa.array([r["file_path"]]), "error": pa.array([error], pa.string()), "chunks": pa.array([rows], _CHUNKS)}
-                yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+                done.append(rows)
+                errors.append(error)
+                size += sum(len(c["content"]) for c in rows)
+                if size > OUT_CHARS or len(done) >= OUT_FILES or i == b.num_rows - 1:
+                    kept = b.slice(at, len(done))
+                    yield pa.RecordBatch.from_arrays([*(kept[c] for c in keep), pa.array(errors, pa.string()), pa.array(done, _CHUNKS)], names=[*keep, "error", "chunks"])
+                    at, size, done, errors = i + 1, 0, [], []
 
     return run
 
@@ -273,11 +286,14 @@ def _map_files(config: ChunkConfig):
 _CHUNKS = pa.list_(pa.struct([(k, {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[t]) for k, t in (c.split() for c in CHUNK.split(", "))]))
 
 
-def chunk_files(files: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
-    """(file_path, error, chunks) of files with content; one bad file gives an error row."""
+def chunk_files(files: DataFrame, config: ChunkConfig = ChunkConfig(), keep: tuple[str, ...] = ("file_path",)) -> DataFrame:
+    """(keep, error, chunks) of files with content; one bad file gives an error row, and so does one with a ``read_error``."""
     ship(files.sparkSession)
     inner = ",".join(f"{k}:{t}" for k, t in (c.split() for c in CHUNK.split(", ")))
-    return files.select("file_path", "file_name", "file_extension", "title", "content").mapInArrow(_map_files(config), f"file_path string, error string, chunks array<struct<{inner}>>")
+    files = files if "read_error" in files.columns else files.withColumn("read_error", F.lit(None).cast("string"))
+    needed = dict.fromkeys((*keep, "file_path", "file_name", "file_extension", "title", "content", "read_error"))
+    kept = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in keep)
+    return files.select(*needed).mapInArrow(_map_files(config, tuple(keep)), f"{kept}, error string, chunks array<struct<{inner}>>")
 
 
 def explode_chunks(done: DataFrame) -> DataFrame:

@@ -209,42 +209,6 @@ def test_spans_and_paths(spark):
     assert [(r.target_raw, r.line) for r in found] == [("A", 0), ("C", 4), ("D", 4)]
 
 
-def test_index_changes_only_what_changed(spark, tmp_path, monkeypatch):
-    d = tmp_path / "docs"
-    d.mkdir()
-    for i in range(8):
-        (d / f"n{i}.md").write_text(f"# Title {i}\nbody word{i} common")
-    sources, steps = SourceList([Source(str(d))]), []
-    index = Index(spark, str(tmp_path / "index"), buckets=4, progress=lambda *a: steps.append(a))
-    assert index.sync(sources)["new"] == 8 and steps[-1] == (3, 3, "done")
-    before = index.info()
-    (d / "n3.md").write_text("# Title 3\nfresh words")
-    assert index.sync(sources)["updated"] == 1
-    after = index.info()
-    assert sum(after["folders"][b] != f for b, f in before["folders"].items()) == 1
-    assert index.table("files").count() == 8 and index.engine("keyword").search("common", 20).count() == 7
-    # A crash after the data is written and before the manifest is there leaves the old version; the next sync works.
-    (d / "n4.md").write_text("# Title 4\nlater words")
-    with monkeypatch.context() as m:
-        m.setattr(Index, "_commit", lambda *_: (_ for _ in ()).throw(RuntimeError("crash")))
-        with pytest.raises(RuntimeError):
-            index.sync(sources)
-    assert index.info() == after and index.engine("keyword").search("later").count() == 0
-    assert index.sync(sources)["updated"] == 1 and index.engine("keyword").search("later").count() == 1
-    with pytest.raises(RuntimeError):
-        index._commit(index.info())
-    # One file and a batch, whatever their hashes; what fails is told file by file.
-    (d / "bad.docx").write_bytes(b"no zip")
-    (d / "n5.md").unlink()
-    got = index.reindex(sources, [f"{d}/n1.md", f"{d}/n5.md", f"{d}/bad.docx"])
-    assert got[f"{d}/n1.md"] is None and "not found" in got[f"{d}/n5.md"] and "BadZipFile" in got[f"{d}/bad.docx"]
-    assert index.table("files").count() == 8 and index.engine("keyword").search("word5").count() == 0
-    index.remove([f"{d}/n{i}.md" for i in range(8)])
-    assert {r.file_name for r in index.table("files").collect()} == {"bad.docx"} and index.table("postings").count() == 0
-    kept = {p.name for p in (tmp_path / "index").iterdir() if p.name.startswith("data-")}
-    assert kept <= {f.split("/")[0] for m in index._names("manifest-*.json") for f in index._read(m)["folders"].values()}
-
-
 def test_exports(spark):
     rows = spark.createDataFrame([("/a|b.md", "n", "t", 'one "two",\nthree <4>', 0.91234, None, 0.5, 1), ("/c.md", "", None, None, 0.55, 0.0512, None, 2)], "file_path string, file_name string, title string, snippet string, similarity double, rrf_score double, lexical_score double, rank int")
     md = export.to_markdown(rows)
