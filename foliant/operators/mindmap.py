@@ -16,10 +16,10 @@ from foliant.sources.parsing import PARAGRAPHS, paragraph_array, parse_html, par
 ROWS = "root_id string, node_id string, parent_id string, ord int, level int, label string, weight double"
 NODE = "struct<node_id:string,parent_id:string,ord:int,level:int,label:string,weight:double>"
 #: Sections of a map and keywords of a file; least length and cut of a paragraph's label, under a heading and in a
-#: text without headings (there only the first paragraphs count); weights of main headings, others, paragraphs, keyword nodes.
+#: text without headings (there only the first paragraphs count); weights of main headings, others, paragraphs, keyword nodes, shared topics.
 SECTIONS, KEYWORDS, PLAIN = 20, 8, 10
 LONGER_THAN, CUT, PLAIN_LONGER_THAN, PLAIN_CUT = 20, 40, 30, 50
-MAIN, MINOR, LEAF, GROUP = 1.0, 0.7, 0.5, 0.8
+MAIN, MINOR, LEAF, GROUP, TOPICS = 1.0, 0.7, 0.5, 0.8, 0.9
 KEYWORD_LABEL, TOPICS_LABEL = "关键词", "共同主题"
 
 
@@ -74,14 +74,16 @@ def from_files(files: DataFrame) -> DataFrame:
 
 
 def from_many(files: DataFrame, label: str, top: int = 10) -> DataFrame:
-    """One map of many files: a root, each file's map below it one level down, and a node of the keywords that files share."""
+    """One map of many files: a root, each file's map below it one level down under the file's stem, and a node of the keywords
+    that files share, each with the number of its files."""
     maps = stash(from_files(files))
-    below = maps.select(F.lit("files").alias("root_id"), F.concat_ws("/", "root_id", "node_id").alias("node_id"), F.when(F.col("parent_id").isNull(), F.lit("0")).otherwise(F.concat_ws("/", "root_id", "parent_id")).alias("parent_id"), "ord", (F.col("level") + 1).alias("level"), "label", F.when(F.col("parent_id").isNull(), F.lit(GROUP)).otherwise(F.col("weight")).alias("weight"))
-    words = maps.where("parent_id = '0.k'").select(F.col("root_id").alias("file_path"), F.col("label").alias("tag"))
-    shared = shared_keywords(words, top).select(F.row_number().over(Window.orderBy(F.desc("n_files"), "tag")).alias("ord"), "tag", "weight")  # at most ``top`` rows
-    topics = shared.agg(F.array_sort(F.collect_list(F.struct("ord", "tag", "weight"))).alias("w")).where(F.size("w") > 0)
-    leaves = F.transform("w", lambda x: node(F.concat(F.lit("t."), x["ord"].cast("string")), F.lit("t"), x["ord"], 2, x["tag"], x["weight"]))
-    topics = topics.select(F.explode(F.concat(F.array(node(F.lit("t"), F.lit("0"), F.lit(1 << 20), 1, F.lit(TOPICS_LABEL), GROUP)), leaves)).alias("n"))
+    top_node = F.col("parent_id").isNull()
+    below = maps.select(F.lit("files").alias("root_id"), F.concat_ws("/", "root_id", "node_id").alias("node_id"), F.when(top_node, F.lit("0")).otherwise(F.concat_ws("/", "root_id", "parent_id")).alias("parent_id"), "ord", (F.col("level") + 1).alias("level"), F.when(top_node, stem(F.col("root_id"))).otherwise(F.col("label")).alias("label"), "weight")
+    words = keyword_tags(files.select("file_path", "text", stem(F.col("file_path")).alias("title"))).select("file_path", "tag")
+    shared = shared_keywords(words, top).select(F.row_number().over(Window.orderBy(F.desc("n_files"), "tag")).alias("ord"), "tag", "n_files", "weight")  # at most ``top`` rows
+    topics = shared.agg(F.array_sort(F.collect_list(F.struct("ord", "tag", "n_files", "weight"))).alias("w")).where(F.size("w") > 0)
+    leaves = F.transform("w", lambda x: node(F.concat(F.lit("t."), x["ord"].cast("string")), F.lit("t"), x["ord"], 2, F.format_string("%s (%d)", x["tag"], x["n_files"]), x["weight"]))
+    topics = topics.select(F.explode(F.concat(F.array(node(F.lit("t"), F.lit("0"), F.lit(1 << 20), 1, F.lit(TOPICS_LABEL), TOPICS)), leaves)).alias("n"))
     root = files.sparkSession.range(1).select(node(F.lit("0"), F.lit(None).cast("string"), F.lit(0), 0, F.lit(label), MAIN).alias("n"))
     return root.unionByName(topics).select(F.lit("files").alias("root_id"), "n.*").unionByName(below)
 

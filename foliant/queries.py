@@ -6,6 +6,8 @@ their file, pages are HTML files, events are the change log, conversations are o
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from foliant.operators.export import export_rows
 from foliant.operators.search import Engine, chunks_of, exclude_rows, files_with_tags
 from foliant.plans.compiler import any_value, predicate
 from foliant.plans.querylang import combine, parse_query, tag_query
-from foliant.scale import read_table, ship, stash
+from foliant.scale import numbered, read_table, release, shared_dir, ship, stash
 from foliant.sources.parsing import ChunkConfig, chunk_files, explode_chunks, paragraphs_of, title_of
 from foliant.sources.parsing import section_ids as section_ids_of
 from foliant.sources.scan import documents_as_files
@@ -220,6 +222,19 @@ def change_counts(spark, d):
     return indexer.diff(*_old_new(spark, d)).groupBy("change").agg(F.count(F.lit(1)).alias("n_files"))
 
 
+def index_sync(spark, d):
+    """An index of all files, then a second sync: a source has left, another has come, one language's texts have changed. Its files."""
+    f = documents_as_files(read_table(spark, d, "documents")).withColumn("modified_time", F.lit(None).cast("timestamp")).withColumn("content", F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    f = f.select("file_path", "file_name", "file_extension", "file_size", "modified_time", "source", "content")
+    older = f.where("source <> '/src2'").withColumn("content", F.when(F.col("file_path").contains("/de/"), F.encode(F.lit("older"), "UTF-8")).otherwise(F.col("content")))
+    index = indexer.Index(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    index.sync_files(older)
+    counts = index.sync_files(f.where("source <> '/src3'"))
+    out = stash(index.table("files").select("file_path", "md5_hash", (F.col("n_lex") > 0).alias("has_tokens"), *[F.lit(counts[k]).alias(f"n_{k}") for k in ("new", "updated", "unchanged", "removed")]))
+    release(spark, [index.root])
+    return out
+
+
 def orphan(spark, d):
     return indexer.orphans(*_old_new(spark, d)).select("file_path")
 
@@ -250,8 +265,7 @@ def recent(spark, d):
 def starred(spark, d):
     c = chunks(spark, d).select("file_path", "file_name")
     out = status.starred_first(c, c.where(F.col("file_path").contains("/en/")))
-    order = Window.orderBy(F.desc("starred"), F.lower("file_name"), "file_path")
-    return out.withColumn("pos", F.row_number().over(order)).select("file_path", "starred", "pos")
+    return numbered(out, [F.desc("starred"), F.lower("file_name"), F.col("file_path")], "pos").select("file_path", "starred", F.col("pos").cast("int").alias("pos"))
 
 
 def exact_dups(spark, d):
@@ -492,6 +506,7 @@ QUERIES = {
     "per_file_cap": cap,
     "incremental_diff": incremental,
     "change_counts": change_counts,
+    "index_sync": index_sync,
     "orphans": orphan,
     "merge_tags": merge_tags,
     "status_per_source": per_source,
@@ -633,6 +648,11 @@ ORACLE = {
     "per_file_cap": f"{_HITS} SELECT id, source AS file_path, CAST(row_number() OVER (PARTITION BY source ORDER BY rank) AS INT) AS nth FROM h QUALIFY nth <= 2",
     "incremental_diff": f"{_DIFF} SELECT file_path, change FROM d",
     "change_counts": f"{_DIFF} SELECT change, count(*) AS n_files FROM d GROUP BY change",
+    "index_sync": """WITH f AS (SELECT '/'||source||'/'||lang||'/'||doc_id||'.txt' AS file_path, md5(coalesce(text, '')) AS h, source, text FROM documents),
+  o AS (SELECT file_path, CASE WHEN contains(file_path, '/de/') THEN md5('older') ELSE h END AS h FROM f WHERE source <> 'src2'), n AS (SELECT * FROM f WHERE source <> 'src3'),
+  c AS (SELECT count(*) FILTER (o.h IS NULL) AS n_new, count(*) FILTER (o.h <> n.h) AS n_updated, count(*) FILTER (o.h = n.h) AS n_unchanged FROM n LEFT JOIN o USING (file_path))
+  SELECT file_path, h AS md5_hash, regexp_matches(lower(text), '[a-z0-9]') AS has_tokens, CAST(n_new AS INT) AS n_new, CAST(n_updated AS INT) AS n_updated, CAST(n_unchanged AS INT) AS n_unchanged,
+    CAST((SELECT count(*) FROM o WHERE file_path NOT IN (SELECT file_path FROM n)) AS INT) AS n_removed FROM n, c""",
     "orphans": f"{_OLDNEW} SELECT file_path FROM o WHERE file_path NOT IN (SELECT file_path FROM n)",
     "merge_tags": f"WITH {_C} SELECT file_path, array_to_string(list_concat(file_tags, CASE WHEN list_contains(file_tags, 'en') THEN ['added'] ELSE ['en', 'added'] END), ',') AS tags FROM c",
     "status_per_source": "SELECT s AS source, count(doc_id) AS n_files FROM (SELECT '/src' || i AS s FROM range(1, 8) t(i)) LEFT JOIN documents ON s = '/' || source GROUP BY s",

@@ -10,7 +10,7 @@ import uuid
 from contextlib import contextmanager, suppress
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -127,6 +127,19 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key) if input_bytes(df) < SPREAD_BYTES else df
 
 
+def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """``df`` with ``out``: each row's place from 1 in a total order, with no task that holds all rows.
+
+    Rows are dealt out by range and stored; a window numbers each range, and the ranges' counts, a row each, give their starts.
+    """
+    t = stash(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    sizes = t.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return t.withColumn(out, place).join(F.broadcast(starts), "__range").withColumn(out, F.col(out) + F.col("__start")).drop("__range", "__start")  # a row a range
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

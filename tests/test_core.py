@@ -254,7 +254,8 @@ def test_maps_against_a_plain_walk(spark, sf):
     two = spark.createDataFrame([("/a.md", "# A\nshared words here"), ("/b.md", "# B\nshared words there")], "file_path string, text string")
     rows = mindmap.from_many(two, "all").collect()
     assert {r.parent_id for r in rows if r.level == 1} == {"0"} and sum(r.parent_id is None for r in rows) == 1
-    assert {r.label for r in rows if r.parent_id == "t"} == {"shared", "words"} and {r.parent_id for r in rows} - {None} <= {r.node_id for r in rows}
+    assert {(r.label, r.weight) for r in rows if r.parent_id == "t"} == {("shared (2)", 0.6), ("words (2)", 0.6)} and [r.weight for r in rows if r.node_id == "t"] == [0.9]
+    assert {(r.label, r.weight) for r in rows if r.level == 1 and r.node_id != "t"} == {("a", 1.0), ("b", 1.0)} and {r.parent_id for r in rows} - {None} <= {r.node_id for r in rows}
 
 
 def plain_chunks(text, size=800, keep=100):
