@@ -95,35 +95,113 @@ def similar_files(chunks: DataFrame, path: str, k: int = 5, file: str = "file_pa
     return best.select(file, "b.similarity", F.col(f"b.{key}").alias(key)).orderBy(F.desc("similarity"), file).limit(k)
 
 
-def duplicate_pairs(vectors: DataFrame, threshold: float = 0.85, key: str = "id", vector: str = "vec", block: int = 2048) -> DataFrame:
-    """(a, b, similarity), a < b, of all pairs with cosine >= threshold, most similar first; zero vectors pair with nothing.
+#: Vectors drawn by hash as centres of the duplicate search, at most; and shells by angle around each.
+CENTRES, SHELLS = 512, 48
 
-    Blocked: each row goes to the block pairs of its block, and one matrix product a block pair emits only pairs over the
-    threshold. The number of blocks follows the row count, so a task holds two blocks whatever the input.
+
+def draw(t: DataFrame, n: int) -> np.ndarray:
+    """About ``n`` vectors of (k, v) that are not zero, of unit length, chosen by a hash of the key: at most ``n`` reach the driver."""
+    total = t.count()
+    t = t.where(F.pmod(F.xxhash64(F.lit(11), "k"), F.lit(1_000_000)) < max(1.0, 2e6 * n / max(total, 1)))
+    rows = t.select("v", F.xxhash64(F.lit(12), "k").alias("h")).orderBy("h", "v").limit(n).collect()
+    m = np.array([r.v for r in rows], float)
+    return m / np.linalg.norm(m, axis=1, keepdims=True) if len(rows) else m
+
+
+def _unit(column: pa.Array) -> np.ndarray:
+    m = np.array(column.to_pylist(), float)
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
+def _angles(m: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(m @ centres.T, -1, 1))
+
+
+def duplicate_pairs(vectors: DataFrame, threshold: float = 0.85, key: str = "id", vector: str = "vec", block: int = 2048, ordered: bool = False) -> DataFrame:
+    """(a, b, similarity), a < b, of all pairs with cosine >= threshold, most similar first if ``ordered``; zero vectors pair with nothing.
+
+    Exact. Each vector belongs to its nearest centre and there to a shell of angles; blocks are parts of shells. Angles obey the
+    triangle inequality, so a vector within acos(threshold) of one in a block has an angle to the block's centre that is at most
+    so far outside the shell's own angles: it is sent to those blocks alone, and of two blocks only to the later one. One matrix
+    product a pair of blocks emits the pairs over the threshold. Blocks and their visitors are split by size, so a task holds two
+    blocks whatever the input; one row a shell reaches the driver.
     """
-    ship(vectors.sparkSession)
+    spark = vectors.sparkSession
+    ship(spark)
     t = vectors.select(F.col(key).alias("k"), doubles(F.col(vector)).alias("v")).where(norm(F.col("v")) > 0)
-    n_blocks = max(1, -(-t.count() // block))
-    t = t.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(n_blocks)).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(n_blocks - 1)), lambda o: F.struct(F.least(o, F.col("b")).alias("i"), F.greatest(o, F.col("b")).alias("j")))
-    spread = t.withColumn("ij", F.explode(pairs)).select("k", "v", "b", "ij.i", "ij.j")
     kind = vectors.schema[key].dataType.simpleString()
+    centres = draw(t, CENTRES)
+    if not len(centres):
+        return spark.createDataFrame([], f"a {kind}, b {kind}, similarity double")
+
+    def place(batches):
+        for b in batches:
+            angle = _angles(_unit(b["v"]), centres) if b.num_rows else np.zeros((0, 1))
+            near = angle.argmin(1)
+            own = angle[np.arange(len(near)), near]
+            yield pa.RecordBatch.from_arrays([b["k"], b["v"], pa.array(near * SHELLS + np.minimum((own / np.pi * SHELLS).astype(int), SHELLS - 1)), pa.array(own)], ["k", "v", "shell", "angle"])
+
+    t = stash(t.mapInArrow(place, f"k {kind}, v array<double>, shell long, angle double").withColumn("h", F.xxhash64("k")))
+    shells = sorted(map(tuple, t.groupBy("shell").agg(F.count(F.lit(1)), F.min("angle"), F.max("angle")).collect()))  # CENTRES x SHELLS at most
+    number = {s[0]: i for i, s in enumerate(shells)}
+    centre = np.array([s[0] // SHELLS for s in shells])
+    parts = np.array([-(-s[1] // block) for s in shells])
+    low, high = np.array([s[2] for s in shells]), np.array([s[3] for s in shells])
+    base = np.concatenate(([0], np.cumsum(parts)))
+    reach = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6
+
+    def visited(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(own block, row, shell): which shells each row has to visit, its own among them where it has several parts."""
+        own = np.array([number[s] for s in b["shell"].to_pylist()], int)
+        at = base[own] + b["h"].to_numpy() % parts[own]
+        angle = _angles(_unit(b["v"]), centres)[:, centre]
+        row, shell = np.nonzero((angle - reach <= high) & (angle + reach >= low) & (np.arange(len(shells)) >= own[:, None]))
+        return at, row, shell
+
+    def count(batches):
+        total = np.zeros(len(shells), int)
+        for b in batches:
+            if b.num_rows:
+                total += np.bincount(visited(b)[2], minlength=len(shells))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(shells))), pa.array(total)], ["shell", "n"])
+
+    visits = dict(map(tuple, t.mapInArrow(count, "shell long, n long").groupBy("shell").agg(F.sum("n")).collect()))
+    groups = np.array([max(1, -(-visits.get(i, 0) // block)) for i in range(len(shells))])
+
+    def send(batches):
+        for b in batches:
+            for cut in (b.slice(o, 512) for o in range(0, b.num_rows, 512)):
+                at, row, shell = visited(cut)
+                h = cut["h"].to_numpy()
+                own = np.array([number[s] for s in cut["shell"].to_pylist()], int)
+                # Residents are in all groups of their block; a visitor is in one group of each part.
+                home = np.repeat(np.arange(len(at)), groups[own])
+                seat = np.concatenate([np.arange(g) for g in groups[own]])
+                guest = np.repeat(np.arange(len(row)), parts[shell])
+                to = base[shell[guest]] + np.concatenate([np.arange(p) for p in parts[shell]]) if len(row) else np.zeros(0, int)
+                later = to > at[row[guest]]
+                guest, to = guest[later], to[later]
+                group = (h[row[guest]] >> 20) % groups[shell[guest]]
+                who = np.concatenate((home, row[guest]))
+                cols = [cut["k"].take(pa.array(who)), cut["v"].take(pa.array(who)), pa.array(np.concatenate((at[home], to))), pa.array(np.concatenate((seat, group))), pa.array(np.arange(len(who)) >= len(home))]
+                yield pa.RecordBatch.from_arrays(cols, ["k", "v", "b", "g", "guest"])
 
     def compare(keys, table):
-        i, j = keys[0].as_py(), keys[1].as_py()
-        k, b = np.array(table.column("k").to_pylist()), table.column("b").to_numpy()
-        m = np.array(table.column("v").to_pylist(), float)
-        m /= np.linalg.norm(m, axis=1, keepdims=True)
-        left, right = np.flatnonzero(b == i), np.flatnonzero(b == j)
+        k, guest, m = np.array(table["k"].to_pylist()), table["guest"].to_numpy(), _unit(table["v"])
+        left, right = np.flatnonzero(guest), np.flatnonzero(~guest)
         x, y = np.nonzero(m[left] @ m[right].T >= threshold - 1e-12)
         x, y = left[x], right[y]
-        keep = k[x] < k[y] if i == j else k[x] != k[y]
+        if keys[1].as_py() == 0:
+            i, j = np.nonzero(np.triu(m[right] @ m[right].T >= threshold - 1e-12, 1))
+            x, y = np.concatenate((x, right[i])), np.concatenate((y, right[j]))
+        keep = k[x] != k[y]
         x, y = x[keep], y[keep]
-        sims = np.einsum("ij,ij->i", m[x], m[y])
-        low, high = np.where(k[x] < k[y], k[x], k[y]), np.where(k[x] < k[y], k[y], k[x])
-        return pa.table({"a": pa.array(low, table.column("k").type), "b": pa.array(high, table.column("k").type), "similarity": pa.array(sims, pa.float64())})
+        low_, high_ = np.where(k[x] < k[y], k[x], k[y]), np.where(k[x] < k[y], k[y], k[x])
+        return pa.table({"a": pa.array(low_, table["k"].type), "b": pa.array(high_, table["k"].type), "similarity": pa.array(np.einsum("ij,ij->i", m[x], m[y]), pa.float64())})
 
-    return spread.groupBy("i", "j").applyInArrow(compare, f"a {kind}, b {kind}, similarity double").orderBy(F.desc("similarity"), "a", "b")
+    sent = t.mapInArrow(send, f"k {kind}, v array<double>, b long, g long, guest boolean")
+    out = sent.groupBy("b", "g").applyInArrow(compare, f"a {kind}, b {kind}, similarity double")
+    return out.orderBy(F.desc("similarity"), "a", "b") if ordered else out
 
 
 class Embedder(Protocol):
