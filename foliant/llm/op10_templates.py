@@ -33,6 +33,15 @@ def spaced(line: Column) -> Column:
     return F.when(odd, F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))).otherwise(line)
 
 
+def spaced_lines(text: Column) -> Column:
+    """The lines of a text, single-spaced; a text that holds nothing odd is searched once, not line by line."""
+    odd = text.startswith(" ") | text.endswith(" ")
+    for c in ("  ", " \n", "\n ", *"\t\x0b\x0c\r"):
+        odd = odd | text.contains(c)
+    lines = F.split(text, "\n")
+    return F.when(odd, F.transform(lines, spaced)).otherwise(lines)
+
+
 def variable(flat: Column) -> Column:
     """A single-spaced line with its tokens that have a digit made variable."""
     return F.when(flat.rlike("[0-9]"), F.regexp_replace(flat, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", ANY)).otherwise(flat)
@@ -49,7 +58,7 @@ def line_leaves(text: Column) -> Column:
         n = F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
         return F.struct(n.alias("n"), F.xxhash64(n, variable(F.substring_index(x, " ", LEADING))).alias("leaf"), x.alias("flat"))
 
-    lines = F.filter(F.transform(F.split(text, "\n"), spaced), lambda x: x != "")
+    lines = F.filter(spaced_lines(text), lambda x: x != "")
     return F.transform(lines, of)
 
 
