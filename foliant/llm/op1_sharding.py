@@ -94,7 +94,8 @@ def hilbert_shards(df: DataFrame, n_shards: int = SHARDS, dimensions=DIMENSIONS,
     """All rows of ``df`` with ``shard`` (0 to n_shards - 1) and ``slot`` (0, 1, ... inside the shard).
 
     Rows are ordered by the Hilbert index of their (source, lang, size) cell, so a shard spans few values of each dimension;
-    shard row counts differ by one at most. Within a cell the order is a seeded hash of ``ties``. One shuffle of the rows.
+    shard row counts differ by one at most. Within a cell the order is a seeded hash of ``ties`` and of the whole row, so rows
+    that share a null or repeated id are dealt out as well, and only equal rows meet. One shuffle of the rows.
     Nulls take the first band; equal rows may trade places; an empty table gives no rows; input columns named shard or slot are
     replaced; names that begin with two underscores are the operator's own.
     """
@@ -110,12 +111,13 @@ def hilbert_shards(df: DataFrame, n_shards: int = SHARDS, dimensions=DIMENSIONS,
         F.coalesce(F.sum("__n").over(ordered), F.lit(0)).alias("__first"),
         F.sum("__n").over(Window.partitionBy()).alias("__total"),
     )
-    placed = prefix_offsets(t, "__cell", F.lit(1), [F.col(f"`{c}`") for c in ties], 17, "__off")
+    t = t.withColumn("__row", F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]))
+    placed = prefix_offsets(t, "__cell", F.lit(1), [*[F.col(f"`{c}`") for c in ties], F.col("__row")], 17, "__off")
     placed = placed.join(sized(stash(cells)), F.col("__cell") == F.col("__key"))
     at = F.col("__first") + F.col("__off")
     placed = placed.withColumn("__at", at).withColumn("shard", F.expr(f"int((__at * {n_shards}) div __total)"))
     slot = F.col("__at") - F.expr(f"(shard * __total + {n_shards - 1}) div {n_shards}")
-    return placed.withColumn("slot", slot.cast("long")).drop("__cell", "__key", "__first", "__total", "__off", "__at")
+    return placed.withColumn("slot", slot.cast("long")).drop("__cell", "__key", "__first", "__total", "__off", "__at", "__row")
 
 
 def shard_manifest(sharded: DataFrame, dimensions=DIMENSIONS) -> DataFrame:

@@ -1,9 +1,10 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
 The index is partitioned by document: a block holds the postings (term -> word positions, sorted) of some 512 KB of whole
-texts, and is one stored row. Searching a block needs no other block, so no posting is ever shuffled. For each test phrase
-that has all its terms in a block, the offset-adjusted lists are intersected from the rarest term on. A query set that is small
-by its bytes goes to every block; a larger one goes, by its windows' rarest terms, to the blocks that hold these terms.
+texts, and is one stored row. Searching a block needs no other block. For each test phrase that has all its terms in a block, the
+offset-adjusted lists are intersected from the rarest term on. A query set that is small by its bytes goes to every block, and no
+posting is shuffled; a larger one goes, by its windows' rarest terms, to the blocks that hold these terms, in a join that
+shuffles whole blocks once.
 """
 
 from __future__ import annotations

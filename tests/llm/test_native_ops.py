@@ -82,6 +82,16 @@ def test_sharding(spark, sf, tmp_path):
     assert have <= hit and len(hit) < 10
 
 
+def test_rows_without_an_id_are_dealt_out(spark, monkeypatch):
+    """A third of all rows in one cell without an id: no bucket, so no window task, has more than a few of them."""
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source"), F.lit(9).cast("long").alias("n_chars"))
+    seen = []
+    real = op1_sharding.prefix_offsets
+    monkeypatch.setattr(op1_sharding, "prefix_offsets", lambda t, group, weight, ties, seed, out: seen.append(t.groupBy(group, F.pmod(F.xxhash64(F.lit(seed), *ties), F.lit(64)).alias("b")).count().agg(F.max("count")).first()[0]) or real(t, group, weight, ties, seed, out))
+    _check_shards(op1_sharding.hilbert_shards(df, 7).collect(), 3000, 7)
+    assert seen[0] < 3 * 3000 / 64
+
+
 def brute_targets(sizes):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
