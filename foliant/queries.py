@@ -16,9 +16,10 @@ from foliant.functions.text import any_term, highlights, html_escape, lexical_to
 from foliant.operators import clusters, fusion, grouping, indexer, lexical, links, mindmap, snapshot, status, tags, vectors
 from foliant.operators.export import export_rows
 from foliant.operators.search import Engine, chunks_of, exclude_rows, files_with_tags
+from foliant.operators.vectorindex import VectorIndex
 from foliant.plans.compiler import any_value, predicate
 from foliant.plans.querylang import combine, parse_query, tag_query
-from foliant.scale import numbered, read_table, release, shared_dir, ship, stash
+from foliant.scale import numbered, read_table, release, shared_dir, ship, spread, stash
 from foliant.sources.parsing import ChunkConfig, chunk_files, explode_chunks, paragraphs_of, title_of
 from foliant.sources.parsing import section_ids as section_ids_of
 from foliant.sources.scan import documents_as_files
@@ -124,6 +125,15 @@ def knn_all_blocks(spark, d):
     return near.select(F.col("query").alias("probe"), "id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+def knn_index(spark, d):
+    """The nearest five of every row whose id is divisible by 20, from inverted lists over all rows; about those of ``knn_query_blocks``."""
+    v = _vectors(spark, d)
+    root = f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    near = stash(VectorIndex.build(v, root).search_all(v.where("id % 20 = 0"), 5))
+    release(spark, [root])
+    return near.select(F.col("query").alias("probe"), "id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
 def similar(spark, d):
     t = vectors.similar_files(_vectors(spark, d).withColumn("label", F.col("label").cast("string")), "0", 5, "label")
     return t.select("label", "id", F.round("similarity", 6).alias("similarity"))
@@ -222,19 +232,32 @@ def change_counts(spark, d):
     return indexer.diff(*_old_new(spark, d)).groupBy("change").agg(F.count(F.lit(1)).alias("n_files"))
 
 
-def index_sync(spark, d):
-    """An index of all files, then a second sync: a source has left, another has come, one language's texts have changed. Its files."""
+def _synced(spark, d, config=ChunkConfig()):
+    """An index of all files, synced again after a source has left, another has come and one language's texts have changed."""
     f = documents_as_files(read_table(spark, d, "documents")).withColumn("modified_time", F.lit(None).cast("timestamp")).withColumn("content", F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
-    f = f.select("file_path", "file_name", "file_extension", "file_size", "modified_time", "source", "content")
-    older = f.where("source <> '/src2'").withColumn("content", F.when(F.col("file_path").contains("/de/"), F.encode(F.lit("older"), "UTF-8")).otherwise(F.col("content")))
-    index = indexer.Index(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    f = spread(f.select("file_path", "file_name", "file_extension", "file_size", "modified_time", "source", "content"), "file_path")
+    older = f.where("source <> '/src2'").withColumn("content", F.when(F.col("file_path").contains("/de/"), F.encode(F.lit("older licensed license"), "UTF-8")).otherwise(F.col("content")))
+    index = indexer.Index(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", config=config)
     index.sync_files(older)
-    counts = index.sync_files(f.where("source <> '/src3'"))
+    return index, index.sync_files(f.where("source <> '/src3'"))
+
+
+def index_sync(spark, d):
+    """The files of an index after two syncs, and the second's counts."""
+    index, counts = _synced(spark, d)
     out = stash(index.table("files").select("file_path", "md5_hash", (F.col("n_lex") > 0).alias("has_tokens"), *[F.lit(counts[k]).alias(f"n_{k}") for k in ("new", "updated", "unchanged", "removed")]))
     release(spark, [index.root])
     return out
 
 
+def index_search(spark, d):
+    """Keyword search over an index after two syncs, a chunk a file: the terms' live postings, and statistics from the manifest."""
+    index, _ = _synced(spark, d, ChunkConfig(max_size=1 << 40))
+    out = stash(index.engine("keyword").search(TEXT, 10).select("file_path", F.round("lexical_score", 6).alias("lexical_score"), "rank"))
+    release(spark, [index.root])
+    return out
+
+
 def orphan(spark, d):
     return indexer.orphans(*_old_new(spark, d)).select("file_path")
 
@@ -322,7 +345,7 @@ def plain_filter(spark, d):
 
 def chunk_documents(spark, d):
     f = documents_as_files(read_table(spark, d, "documents")).withColumn("title", F.col("file_name")).withColumn("content", F.encode("text", "UTF-8"))
-    return explode_chunks(chunk_files(f, ChunkConfig()))
+    return explode_chunks(chunk_files(spread(f, "file_path"), ChunkConfig()))
 
 
 def parse_pages(spark, d):
@@ -489,6 +512,7 @@ QUERIES = {
     "knn_topk": knn,
     "knn_prefiltered": knn_prefiltered,
     "knn_query_blocks": knn_all_blocks,
+    "knn_index_blocks": knn_index,
     "query_similar_by_label": similar,
     "file_vector_meanpool": mean_pool,
     "dup_pairs_cosine": dup_pairs,
@@ -507,6 +531,7 @@ QUERIES = {
     "incremental_diff": incremental,
     "change_counts": change_counts,
     "index_sync": index_sync,
+    "index_search": index_search,
     "orphans": orphan,
     "merge_tags": merge_tags,
     "status_per_source": per_source,
@@ -648,8 +673,10 @@ ORACLE = {
     "per_file_cap": f"{_HITS} SELECT id, source AS file_path, CAST(row_number() OVER (PARTITION BY source ORDER BY rank) AS INT) AS nth FROM h QUALIFY nth <= 2",
     "incremental_diff": f"{_DIFF} SELECT file_path, change FROM d",
     "change_counts": f"{_DIFF} SELECT change, count(*) AS n_files FROM d GROUP BY change",
+    "index_search": f"""WITH {_bm25(_TERMS).replace("FROM documents", "FROM (SELECT * FROM documents WHERE source <> 'src3')")}, p AS (SELECT '/'||source||'/'||lang||'/'||doc_id||'.txt' AS file_path, lexical_score FROM s JOIN documents ON id = doc_id)
+  SELECT file_path, round(lexical_score, 6) AS lexical_score, CAST(row_number() OVER (ORDER BY lexical_score DESC, file_path) AS INT) AS rank FROM p QUALIFY rank <= 10""",
     "index_sync": """WITH f AS (SELECT '/'||source||'/'||lang||'/'||doc_id||'.txt' AS file_path, md5(coalesce(text, '')) AS h, source, text FROM documents),
-  o AS (SELECT file_path, CASE WHEN contains(file_path, '/de/') THEN md5('older') ELSE h END AS h FROM f WHERE source <> 'src2'), n AS (SELECT * FROM f WHERE source <> 'src3'),
+  o AS (SELECT file_path, CASE WHEN contains(file_path, '/de/') THEN md5('older licensed license') ELSE h END AS h FROM f WHERE source <> 'src2'), n AS (SELECT * FROM f WHERE source <> 'src3'),
   c AS (SELECT count(*) FILTER (o.h IS NULL) AS n_new, count(*) FILTER (o.h <> n.h) AS n_updated, count(*) FILTER (o.h = n.h) AS n_unchanged FROM n LEFT JOIN o USING (file_path))
   SELECT file_path, h AS md5_hash, regexp_matches(lower(text), '[a-z0-9]') AS has_tokens, CAST(n_new AS INT) AS n_new, CAST(n_updated AS INT) AS n_updated, CAST(n_unchanged AS INT) AS n_unchanged,
     CAST((SELECT count(*) FROM o WHERE file_path NOT IN (SELECT file_path FROM n)) AS INT) AS n_removed FROM n, c""",
