@@ -3,8 +3,8 @@
 Two texts are near copies if the sets of their SHINGLE-word windows have a Jaccard similarity of PERCENT or more, which is what
 the pipeline's near-duplicate stage takes as well: texts that share much boilerplate but say different things stay apart.
 Sketches, the SKETCH least window hashes of a text, only propose: in each group of texts, every sketch hash names the first
-text (by digest) that holds it, and if two sketches have ALIKE hashes or more in common (of two texts at PERCENT, one pair in
-5,000 has fewer), the whole sets decide. A text's class is the first of its near copies so found, or that one's own class.
+text (by digest) that holds it, and if two sketches have ALIKE hashes or more in common (of pairs of texts at PERCENT, about one
+in 4,000 has fewer), the whole sets decide. A text's class is the first of its near copies so found, or that one's own class.
 """
 
 from __future__ import annotations

@@ -109,8 +109,7 @@ def drop_recurrent(df: DataFrame, **limits) -> DataFrame:
     t = df.withColumn("__hash", text_hash(F.col("text"))).join(per, F.col("__hash") == F.col("__th"), "left")
     every = F.split(F.coalesce("text", F.lit("")), "\n")
     flagged = F.when(F.col("__drop").isNotNull(), F.transform(every, lambda x: F.struct(x.alias("x"), F.array_contains("__drop", F.xxhash64(masked(x))).alias("d"))))
-    # One search of the text: from a line's start over its white space to what is none.
-    t = t.withColumn("n_lines", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"(?:\A|\n)[\x20\x09\x0B-\x0D]*+[^\x20\x09-\x0D]")).cast("long"))
+    t = t.withColumn("n_lines", F.size(F.filter(spaced_lines(F.coalesce("text", F.lit(""))), lambda x: x != "")).cast("long"))
     words = lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+"))
     done = let(flagged, lambda f: F.struct(F.filter(f, lambda s: s["d"]).alias("gone"), F.array_join(F.transform(F.filter(f, lambda s: ~s["d"]), lambda s: s["x"]), "\n").alias("text")))
     t = t.withColumn("__done", F.when(F.col("__drop").isNotNull(), done)).withColumn("__gone", F.coalesce("__done.gone", F.array().cast("array<struct<x:string,d:boolean>>")))
