@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.paths import MARKDOWN, basename, extension, normal_path, stem
 
-#: What the link syntax of Markdown and of wikis fixes: the target between double brackets, or in round ones after a label.
+#: Fixed values, by the link syntax of Markdown and of wikis: the target between double brackets, or in round ones after a label.
 WIKILINK = r"\[\[([^\[\]]+)\]\]"
 LABELLED = r"(?<!!)\[[^\]]*\]\(([^)]+)\)"
 FENCE = r"(?md)^ *```.*$"

@@ -232,10 +232,15 @@ def change_counts(spark, d):
     return indexer.diff(*_old_new(spark, d)).groupBy("change").agg(F.count(F.lit(1)).alias("n_files"))
 
 
+def content_files(spark, d):
+    """The documents as files with content, for an index."""
+    f = documents_as_files(read_table(spark, d, "documents")).withColumn("modified_time", F.lit(None).cast("timestamp")).withColumn("content", F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    return spread(f.select("file_path", "file_name", "file_extension", "file_size", "modified_time", "source", "content"), "file_path")
+
+
 def _synced(spark, d, config=ChunkConfig()):
     """An index of all files, synced again after a source has left, another has come and one language's texts have changed."""
-    f = documents_as_files(read_table(spark, d, "documents")).withColumn("modified_time", F.lit(None).cast("timestamp")).withColumn("content", F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
-    f = spread(f.select("file_path", "file_name", "file_extension", "file_size", "modified_time", "source", "content"), "file_path")
+    f = content_files(spark, d)
     older = f.where("source <> '/src2'").withColumn("content", F.when(F.col("file_path").contains("/de/"), F.encode(F.lit("older licensed license"), "UTF-8")).otherwise(F.col("content")))
     index = indexer.Index(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", config=config)
     index.sync_files(older)
