@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.grams import frugal
-from foliant.scale import made, read_table, release, sized, stash
+from foliant.scale import made, read_table, release, ship, sized, stash
 
 PARTS, ENTRIES, ROUNDS, SCALE = 16, 64, 2, 256
 #: Integers are kept within this, so that squared distances of a part fit 64 bits.
@@ -209,6 +209,7 @@ def train(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label:
     are fewer. Unused entries stay. Repeated rows count as often as they occur, and get the same code. Extra columns aren't
     read. An empty table gives no rows and empty codebooks.
     """
+    ship(df.sparkSession)
     ints = integer_vectors(df, key, vector, label, parts)
     sizes = ints.groupBy(F.size("ints").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
     if sizes is None:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.grams import frugal
-from foliant.scale import read_table, release, shared_dir, sized, stash
+from foliant.scale import read_table, release, shared_dir, ship, sized, stash
 
 #: Payloads of fewer bytes are never replaced by a reference.
 MIN_PAYLOAD = 100
@@ -190,6 +190,7 @@ def normalise(spark: SparkSession, monolithic: str, folder: str) -> DataFrame:
 
     Files that already have a member a record, and plain ones, are read alike. No records, no archives and an empty index.
     """
+    ship(spark)
     _opened(folder)[0].create_dir(_opened(folder)[1] + "/archives", recursive=True)
     lines = spark.read.option("lineSep", "\n").text(monolithic).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("line"))
     lines.mapInArrow(_rewrite(f"{folder}/archives"), INDEX).write.parquet(f"{folder}/index")
@@ -236,6 +237,7 @@ def _read(folder: str):
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
     """RECORD rows of the records that ``index`` names (all, or those that a filter left); payload figures are of what is stored."""
+    ship(index.sparkSession)
     return index.select("archive", "offset", "length").mapInArrow(_read(f"{folder}/archives"), RECORD)
 
 
