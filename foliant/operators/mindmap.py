@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from foliant.functions.paths import stem
 from foliant.functions.text import let, one_line
 from foliant.operators.grouping import per_file_cap
-from foliant.operators.tags import keyword_tags
+from foliant.operators.tags import keyword_array, keyword_tags
 from foliant.scale import ship, spread, stash
 from foliant.sources.parsing import PARAGRAPHS, paragraph_array, parse_html, parse_markdown
 
@@ -50,27 +50,29 @@ def section_nodes(ps: Column) -> Column:
 
 def _parse(batches):
     for b in batches:
-        for path, text, html in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), paragraph_array([(parse_html if html else parse_markdown)(text or "")])], names=["file_path", "ps"])
+        for cut in (b.slice(at, 64) for at in range(0, b.num_rows, 64)):
+            found = [(parse_html if html else parse_markdown)(text or "") for text, html in zip(cut.column(1).to_pylist(), cut.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([cut.column(0), cut.column(1), paragraph_array(found)], names=["file_path", "text", "ps"])
 
 
 def from_files(files: DataFrame) -> DataFrame:
     """The map of each file of (file_path, text): its sections, then a node of at most eight keywords.
 
-    Parsing, the one Python step, is stored: trees, titles and keywords follow from it as Columns. One shuffle finds the keywords.
+    Parsing, the one Python step, hands the text on, so trees, titles and keywords are Columns of one row, and nothing is shuffled.
+    The trees are stored, small as they are, so that parsing is done once.
     """
     ship(files.sparkSession)
     html = F.lower("file_path").rlike(r"\.html?$")
-    parsed = spread(files.select("file_path", "text"), "file_path").select("file_path", "text", html.alias("is_html")).mapInArrow(_parse, f"file_path string, ps {PARAGRAPHS}")
+    parsed = spread(files.select("file_path", "text"), "file_path").select("file_path", "text", html.alias("is_html")).mapInArrow(_parse, f"file_path string, text string, ps {PARAGRAPHS}")
     first = F.get(F.filter("ps", lambda p: (p["type"] == "heading") & (p["level"] <= 2)), F.lit(0))["content"]
-    parsed = stash(parsed.select("file_path", F.coalesce(first, stem(F.col("file_path"))).alias("title"), section_nodes(F.col("ps")).alias("nodes")))
+    parsed = parsed.select("file_path", "text", F.coalesce(first, stem(F.col("file_path"))).alias("title"), section_nodes(F.col("ps")).alias("nodes"))
+    words = F.slice(F.transform(keyword_array(F.col("text"), F.col("title")), lambda w: w["tag"]), 1, KEYWORDS)
+    parsed = stash(parsed.select("file_path", "title", "nodes", F.when(F.col("file_path").isNotNull(), words).alias("words")))
     root = node(F.lit("0"), F.lit(None).cast("string"), F.lit(0), 0, F.col("title"), MAIN)
-    words = keyword_tags(files.select("file_path", "text").join(parsed.select("file_path", "title"), "file_path")).where(F.col("ord") <= KEYWORDS)
-    words = words.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("ord", "tag"))).alias("words"))
     head = node(F.lit("0.k"), F.lit("0"), F.lit(1000), 1, F.lit(KEYWORD_LABEL), GROUP)
-    leaves = F.transform("words", lambda w: node(F.concat(F.lit("0.k."), w["ord"].cast("string")), F.lit("0.k"), w["ord"], 2, w["tag"], LEAF))
-    every = parsed.select("file_path", F.concat(F.array(root), F.col("nodes")).alias("nodes")).unionByName(words.select("file_path", F.concat(F.array(head), leaves).alias("nodes")))
-    return every.select(F.col("file_path").alias("root_id"), F.explode("nodes").alias("n")).select("root_id", "n.*")
+    leaves = F.transform("words", lambda w, i: node(F.concat(F.lit("0.k."), (i + 1).cast("string")), F.lit("0.k"), i + 1, 2, w, LEAF))
+    keywords = F.when(F.size("words") > 0, F.concat(F.array(head), leaves)).otherwise(F.array().cast(f"array<{NODE}>"))
+    return parsed.select(F.col("file_path").alias("root_id"), F.explode(F.concat(F.array(root), F.col("nodes"), keywords)).alias("n")).select("root_id", "n.*")
 
 
 def from_many(files: DataFrame, label: str, top: int = 10) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from foliant import queries, scale
 from foliant.functions.paths import excluded, normal_path, path_matches
 from foliant.functions.text import highlights, lexical_tokens, tag_tokens
-from foliant.operators import export, fusion, grouping, lexical, links, mindmap, snapshot, status, vectors
+from foliant.operators import export, fusion, grouping, lexical, links, mindmap, snapshot, status, tags, vectors
 from foliant.operators.clusters import estimate_k
 from foliant.operators.indexer import Index
 from foliant.operators.search import Engine
@@ -377,3 +377,14 @@ def test_indexed_scores_do_not_depend_on_the_order_of_postings(spark):
     stats = spark.createDataFrame([(1000, 61.7)], "n long, avgdl double")
     got = {r.id: r.lexical_score for r in lexical.bm25_indexed(post, terms, stats=stats).collect()}
     assert len({got[i] for i in range(4)}) == 1
+
+
+def test_words_are_counted_without_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(scale, "SPREAD_BYTES", 0)
+    docs = spark.createDataFrame([(1, "bb aa aa cc bb bb", "t"), (2, None, "t"), (3, "", None), (None, "dd", None)], "id long, text string, title string")
+    post, words = lexical.postings(docs), tags.keyword_tags(docs, "id")
+    maps = mindmap.from_files(docs.select(F.concat(F.col("id").cast("string"), F.lit(".md")).alias("file_path"), "text").where("id is not null"))
+    assert not any("Exchange" in t._jdf.queryExecution().executedPlan().toString() for t in (post, words, maps))
+    assert sorted(map(tuple, post.where("id is not null").collect())) == [(1, 6, "aa", 2), (1, 6, "bb", 3), (1, 6, "cc", 1)]
+    assert sorted(map(tuple, words.collect())) == [(1, "aa", 2, 2), (1, "bb", 1, 3), (1, "cc", 3, 1)]
+    assert [(r.label, r.ord) for r in maps.where("root_id = '1.md' and level = 2").orderBy("ord").collect()] == [("bb", 1), ("aa", 2), ("cc", 3)]
