@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,8 +97,8 @@ def similar_files(chunks: DataFrame, path: str, k: int = 5, file: str = "file_pa
     return best.select(file, "b.similarity", F.col(f"b.{key}").alias(key)).orderBy(F.desc("similarity"), file).limit(k)
 
 
-#: Vectors drawn by hash as centres of the duplicate search, at most; and shells by angle around each.
-CENTRES, SHELLS = 512, 48
+#: Vectors drawn by hash as centres of the duplicate search, at most; shells by angle around each; rows compared at a time.
+CENTRES, SHELLS, SLICE = 512, 48, 1024
 
 
 def draw(t: DataFrame, n: int) -> np.ndarray:
@@ -108,8 +110,16 @@ def draw(t: DataFrame, n: int) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True) if len(rows) else m
 
 
-def _unit(column: pa.Array) -> np.ndarray:
-    m = np.array(column.to_pylist(), float)
+def _matrix(column: pa.Array) -> np.ndarray:
+    """The vectors of a list column as doubles, without a Python object for each number where all have one length and no nulls."""
+    size = pc.unique(pc.list_value_length(column))
+    if len(size) == 1 and size[0].is_valid and (flat := column.flatten()).null_count == 0:
+        return flat.to_numpy(zero_copy_only=False).astype(float).reshape(len(column), size[0].as_py())
+    return np.array(column.to_pylist(), float)
+
+
+def _unit(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    m = _matrix(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
@@ -117,23 +127,38 @@ def _angles(m: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(m @ centres.T, -1, 1))
 
 
-def duplicate_pairs(vectors: DataFrame, threshold: float = 0.85, key: str = "id", vector: str = "vec", block: int = 2048, ordered: bool = False) -> DataFrame:
+def _apart(centres: np.ndarray, reach: float) -> bool:
+    """Whether blocks around most of the centres lie so far apart that no pair can join them, by the centres' own distances."""
+    if len(centres) < 2:
+        return False
+    angle = _angles(centres, centres)
+    np.fill_diagonal(angle, np.pi)
+    return (angle <= 2 * np.median(angle.min(1)) + reach).mean() < 0.25
+
+
+def duplicate_pairs(vectors: DataFrame, threshold: float = 0.85, key: str = "id", vector: str = "vec", block: int = 8192, ordered: bool = False) -> DataFrame:
     """(a, b, similarity), a < b, of all pairs with cosine >= threshold, most similar first if ``ordered``; zero vectors pair with nothing.
 
-    Exact. Each vector belongs to its nearest centre and there to a shell of angles; blocks are parts of shells. Angles obey the
-    triangle inequality, so a vector within acos(threshold) of one in a block has an angle to the block's centre that is at most
+    Exact. Each vector belongs to its nearest centre and there to a shell of angles; blocks are parts of shells, and thin shells
+    that lie side by side make one block. A row is sent to each block that it may have a pair in; where the centres aren't apart
+    only some two a block are taken, so it is sent about as often as the table has full blocks. Angles obey the triangle inequality, so a vector within acos(threshold) of one in a block has an angle to the block's centre that is at most
     so far outside the shell's own angles: it is sent to those blocks alone, and of two blocks only to the later one. One matrix
-    product a pair of blocks emits the pairs over the threshold. Blocks and their visitors are split by size, so a task holds two
-    blocks whatever the input; one row a shell reaches the driver.
+    product a slice of a block emits the pairs over the threshold. Blocks and their visitors are split by size, so a task holds two
+    blocks and a slice's pairs whatever the input; one row a shell reaches the driver.
     """
     spark = vectors.sparkSession
     ship(spark)
-    t = vectors.select(F.col(key).alias("k"), doubles(F.col(vector)).alias("v")).where(norm(F.col("v")) > 0)
+    reach = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6
+    kept = "array<float>" if vectors.schema[vector].dataType.elementType == T.FloatType() else "array<double>"
+    t = vectors.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast(kept).alias("v")).where(norm(doubles(F.col("v"))) > 0)
     kind = vectors.schema[key].dataType.simpleString()
     centres = draw(t, CENTRES)
     if not len(centres):
         return spark.createDataFrame([], f"a {kind}, b {kind}, similarity double")
 
+    if not _apart(centres, reach):
+        centres = centres[: max(1, 2 * t.count() // block)]
+
     def place(batches):
         for b in batches:
             angle = _angles(_unit(b["v"]), centres) if b.num_rows else np.zeros((0, 1))
@@ -141,14 +166,21 @@ def duplicate_pairs(vectors: DataFrame, threshold: float = 0.85, key: str = "id"
             own = angle[np.arange(len(near)), near]
             yield pa.RecordBatch.from_arrays([b["k"], b["v"], pa.array(near * SHELLS + np.minimum((own / np.pi * SHELLS).astype(int), SHELLS - 1)), pa.array(own)], ["k", "v", "shell", "angle"])
 
-    t = stash(t.mapInArrow(place, f"k {kind}, v array<double>, shell long, angle double").withColumn("h", F.xxhash64("k")))
+    t = stash(t.mapInArrow(place, f"k {kind}, v {kept}, shell long, angle double").withColumn("h", F.xxhash64("k")))
     shells = sorted(map(tuple, t.groupBy("shell").agg(F.count(F.lit(1)), F.min("angle"), F.max("angle")).collect()))  # CENTRES x SHELLS at most
-    number = {s[0]: i for i, s in enumerate(shells)}
-    centre = np.array([s[0] // SHELLS for s in shells])
+    number, joined = {}, []
+    for s, n, near, far in shells:
+        last = joined[-1] if joined else None
+        if last and last[0] == s // SHELLS and last[1] + n <= block:
+            last[1:] = last[1] + n, min(last[2], near), max(last[3], far)
+        else:
+            joined.append([s // SHELLS, n, near, far])
+        number[s] = len(joined) - 1
+    shells = joined
+    centre = np.array([s[0] for s in shells])
     parts = np.array([-(-s[1] // block) for s in shells])
     low, high = np.array([s[2] for s in shells]), np.array([s[3] for s in shells])
     base = np.concatenate(([0], np.cumsum(parts)))
-    reach = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6
 
     def visited(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(own block, row, shell): which shells each row has to visit, its own among them where it has several parts."""
@@ -186,20 +218,30 @@ def duplicate_pairs(vectors: DataFrame, threshold: float = 0.85, key: str = "id"
                 cols = [cut["k"].take(pa.array(who)), cut["v"].take(pa.array(who)), pa.array(np.concatenate((at[home], to))), pa.array(np.concatenate((seat, group))), pa.array(np.arange(len(who)) >= len(home))]
                 yield pa.RecordBatch.from_arrays(cols, ["k", "v", "b", "g", "guest"])
 
-    def compare(keys, table):
-        k, guest, m = np.array(table["k"].to_pylist()), table["guest"].to_numpy(), _unit(table["v"])
+    def compare(keys: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        ids, guest, m = table["k"].combine_chunks(), table["guest"].to_numpy(), _unit(table["v"])
+        k = ids.to_numpy(zero_copy_only=False)
         left, right = np.flatnonzero(guest), np.flatnonzero(~guest)
-        x, y = np.nonzero(m[left] @ m[right].T >= threshold - 1e-12)
-        x, y = left[x], right[y]
+        home = m[right]
+        # Slices of visitors meet all residents; in one group, slices of residents meet those that follow.
+        slices = [(left[o : o + SLICE], 0, False) for o in range(0, len(left), SLICE)]
         if keys[1].as_py() == 0:
-            i, j = np.nonzero(np.triu(m[right] @ m[right].T >= threshold - 1e-12, 1))
-            x, y = np.concatenate((x, right[i])), np.concatenate((y, right[j]))
-        keep = k[x] != k[y]
-        x, y = x[keep], y[keep]
-        low_, high_ = np.where(k[x] < k[y], k[x], k[y]), np.where(k[x] < k[y], k[y], k[x])
-        return pa.table({"a": pa.array(low_, table["k"].type), "b": pa.array(high_, table["k"].type), "similarity": pa.array(np.einsum("ij,ij->i", m[x], m[y]), pa.float64())})
-
-    sent = t.mapInArrow(send, f"k {kind}, v array<double>, b long, g long, guest boolean")
+            slices += [(right[o : o + SLICE], o, True) for o in range(0, len(right), SLICE)]
+        for rows, first, same in slices:
+            sims = m[rows] @ home[first:].T
+            over = sims >= threshold - 1e-12
+            i, j = np.nonzero(np.triu(over, 1) if same else over)
+            s, x, y = sims[i, j], rows[i], right[first + j]
+            keep = k[x] != k[y]
+            s, x, y = s[keep], x[keep], y[keep]
+            swap = k[x] > k[y]
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            for o in range(0, len(s), 1 << 17):
+                cut = slice(o, o + (1 << 17))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(x[cut])), ids.take(pa.array(y[cut])), pa.array(s[cut])], ["a", "b", "similarity"])
+
+    sent = t.mapInArrow(send, f"k {kind}, v {kept}, b long, g long, guest boolean")
     out = sent.groupBy("b", "g").applyInArrow(compare, f"a {kind}, b {kind}, similarity double")
     return out.orderBy(F.desc("similarity"), "a", "b") if ordered else out
 

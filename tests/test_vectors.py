@@ -65,3 +65,39 @@ def test_recall_of_the_index(spark, tmp_path):
     assert "PartitionFilters: [list" in plan.replace("isnotnull(", "").replace("#", " ") or "list#" in plan.split("PartitionFilters: [")[1][:80]
     odd = spark.createDataFrame([(1, [0.0, 0.0]), (2, None), (3, [1.0, 0.0])], "id long, embedding array<double>")
     assert [r.id for r in VectorIndex.build(odd, str(tmp_path / "odd")).search([1.0, 0.1], 3).collect()] == [3]
+
+
+def sent_rows(monkeypatch, df):
+    """Rows that the last grouped Arrow step got, filled in as it is planned."""
+    plain, sent = type(df.groupBy("id")), []
+    real = plain.applyInArrow
+    monkeypatch.setattr(plain, "applyInArrow", lambda self, f, kind: sent.append(self._df.count()) or real(self, f, kind))
+    return sent
+
+
+def test_vectors_without_clusters_are_sent_once_a_block(spark, monkeypatch):
+    """4,000 vectors in blocks of 500: no row goes to more places than there are blocks and groups of visitors, thin shells or not."""
+    m = np.random.default_rng(3).normal(size=(4000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, vec array<float>")
+    sent = sent_rows(monkeypatch, df)
+    u = m.astype("float32").astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    assert vectors.duplicate_pairs(df, 0.6, block=500).count() == int(np.triu(u @ u.T >= 0.6, 1).sum())
+    assert sent[-1] <= len(m) * 40
+
+
+def test_the_index_sends_few_rows_at_once(spark, tmp_path, monkeypatch):
+    """A batch of queries is cut by the number of lists that each is sent to."""
+    made = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.random.default_rng(4).normal(size=(2000, 16)))], "id long, embedding array<double>").coalesce(1)
+    index = VectorIndex.build(made, str(tmp_path / "index"), lists=64)
+    most = []
+    real = type(made).mapInArrow
+
+    def watched(self, f, kind):
+        if kind.endswith("list long"):
+            most.append(max(b.num_rows for b in f(iter(made.select(F.col("id").alias("k"), F.col("embedding").alias("v")).toArrow().to_batches()))))
+        return real(self, f, kind)
+
+    monkeypatch.setattr(type(made), "mapInArrow", watched)
+    assert index.search_all(made, 5, probes=64).count() == 5 * 2000
+    assert most and max(most) <= 1 << 14
