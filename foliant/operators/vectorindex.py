@@ -10,6 +10,7 @@ of its lists, clustered data few. ``vectors.knn`` and ``knn_join`` stay the exac
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +23,8 @@ from foliant.scale import ship
 
 #: Rows that the centres are fitted on, rounds of that, rows of a list and queries that meet in one task.
 SAMPLE, ROUNDS, BLOCK = 20_000, 8, 4096
+#: Queries times lists that a task sends at once, and queries that it scores at once.
+ROUTED, SLICE = 1 << 14, 512
 TUNE, TARGET, NEIGHBOURS = 100, 0.97, 10
 RESCORE = 10
 
@@ -119,14 +122,15 @@ class VectorIndex:
         centres, kind, usual = self._centres()
         asked = queries.select(F.col(key).alias("k"), doubles(F.col(vector)).alias("v")).where(norm(F.col("v")) > 0)
         own = queries.schema[key].dataType.simpleString()
+        few = max(1, ROUTED // max(1, min(probes or usual, len(centres))))  # a query is sent once a probed list
 
         def route(batches):
             for b in batches:
-                if b.num_rows:
-                    m = _unit(b["v"])
+                for cut in (b.slice(at, few) for at in range(0, b.num_rows, few)):
+                    m = _unit(cut["v"])
                     near = np.argsort(-(m @ centres.T), axis=1, kind="stable")[:, : probes or usual]
-                    who = pa.array(np.repeat(np.arange(b.num_rows), near.shape[1]))
-                    yield pa.RecordBatch.from_arrays([b["k"].take(who), b["v"].take(who), pa.array(near.ravel())], ["k", "v", "list"])
+                    who = pa.array(np.repeat(np.arange(cut.num_rows), near.shape[1]))
+                    yield pa.RecordBatch.from_arrays([cut["k"].take(who), cut["v"].take(who), pa.array(near.ravel())], ["k", "v", "list"])
 
         sent = asked.mapInArrow(route, f"k {own}, v array<double>, list long")
         rows = self.rows(kind)
@@ -139,20 +143,21 @@ class VectorIndex:
         r = rows.select("list", "id", "step", "code").join(F.broadcast(blocks), "list").withColumn("j", place("id", "n_rows")).withColumn("i", every("n_asked"))
         both = q.select("list", "i", "j", "k", "v", empty("id", kind), empty("step", "double"), empty("code", "binary")).unionByName(r.select("list", "i", "j", empty("k", own), empty("v", "array<double>"), "id", "step", "code"))
 
-        def score(keys, table):
+        def score(keys: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(batches)
             asks = table["v"].is_valid().to_numpy()
             left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
-            out = {"query": pa.array([], table["k"].type), "list": pa.array([], pa.int64()), "id": pa.array([], table["id"].type), "about": pa.array([], pa.float64())}
             if len(left) and len(right):
                 c = centres[keys[0].as_py()]
-                m = _unit(table["v"].take(pa.array(left)))
-                code = np.frombuffer(b"".join(table["code"].take(pa.array(right)).to_pylist()), np.int8).reshape(len(right), -1)
-                about = (m @ c)[:, None] + (m @ code.T.astype(float)) * table["step"].take(pa.array(right)).to_numpy()[None]
-                n = min(rescore * k, len(right))
-                best = np.argpartition(-about, n - 1, axis=1)[:, :n]
-                x, y = np.repeat(np.arange(len(left)), n), best.ravel()
-                out = {"query": table["k"].take(pa.array(left[x])), "list": pa.array(np.full(len(x), keys[0].as_py())), "id": table["id"].take(pa.array(right[y])), "about": pa.array(about[x, y])}
-            return pa.table(out)
+                code = np.frombuffer(b"".join(table["code"].take(pa.array(right)).to_pylist()), np.int8).reshape(len(right), -1).astype(np.float32)
+                step, n = table["step"].take(pa.array(right)).to_numpy(), min(rescore * k, len(right))
+                asked_, ids = table["k"].combine_chunks(), table["id"].combine_chunks()
+                for rows in (left[at : at + SLICE] for at in range(0, len(left), SLICE)):
+                    m = _unit(table["v"].take(pa.array(rows)))
+                    about = (m @ c)[:, None] + (m.astype(np.float32) @ code.T) * step[None]
+                    best = np.argpartition(-about, n - 1, axis=1)[:, :n]
+                    x, y = np.repeat(np.arange(len(rows)), n), best.ravel()
+                    yield pa.RecordBatch.from_arrays([asked_.take(pa.array(rows[x])), pa.array(np.full(len(x), keys[0].as_py())), ids.take(pa.array(right[y])), pa.array(about[x, y])], ["query", "list", "id", "about"])
 
         near = both.groupBy("list", "i", "j").applyInArrow(score, f"query {own}, list long, id {kind}, about double")
         rank = lambda by: F.row_number().over(Window.partitionBy("query").orderBy(F.desc(by), "id"))
