@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 from typing import Protocol
@@ -254,6 +255,11 @@ class Embedder(Protocol):
     def encode(self, texts: list[str]) -> np.ndarray: ...
 
 
+@functools.lru_cache(1 << 16)
+def _hashed(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+
+
 class HashEmbedder:
     """Deterministic vectors of signed, hashed tokens; blank text is a single space."""
 
@@ -263,9 +269,8 @@ class HashEmbedder:
     def encode(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim))
         for i, words in enumerate(texts):
-            for w in words.split() or [" "]:
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                out[i, h % self.dim] += 1.0 if h >> 63 else -1.0
+            places = [_hashed(w) for w in words.split() or [" "]]
+            out[i] = np.bincount([h % self.dim for h in places], [1.0 if h >> 63 else -1.0 for h in places], self.dim)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 

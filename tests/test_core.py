@@ -388,3 +388,10 @@ def test_words_are_counted_without_a_shuffle(spark, monkeypatch):
     assert sorted(map(tuple, post.where("id is not null").collect())) == [(1, 6, "aa", 2), (1, 6, "bb", 3), (1, 6, "cc", 1)]
     assert sorted(map(tuple, words.collect())) == [(1, "aa", 2, 2), (1, "bb", 1, 3), (1, "cc", 3, 1)]
     assert [(r.label, r.ord) for r in maps.where("root_id = '1.md' and level = 2").orderBy("ord").collect()] == [("bb", 1), ("aa", 2), ("cc", 3)]
+
+
+def test_a_semantic_search_embeds_the_chunks_once(spark, sf):
+    out = queries.semantic_search(spark, sf)
+    assert "MapInArrow" not in out._jdf.queryExecution().optimizedPlan().toString() and out.count() == 10
+    v = vectors.HashEmbedder(8).encode(["a b a", ""])
+    assert np.allclose(np.linalg.norm(v, axis=1), 1) and np.array_equal(v[0], vectors.HashEmbedder(8).encode(["b a a"])[0])
