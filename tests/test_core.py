@@ -390,6 +390,17 @@ def test_words_are_counted_without_a_shuffle(spark, monkeypatch):
     assert [(r.label, r.ord) for r in maps.where("root_id = '1.md' and level = 2").orderBy("ord").collect()] == [("bb", 1), ("aa", 2), ("cc", 3)]
 
 
+def test_keywords_of_a_map_come_from_the_whole_text(spark):
+    text = "# Top\n\n" + "early word " * 600 + "\n\n" + "later " * 2000 + "last " * 1500
+    files = spark.createDataFrame([("/a.md", text), ("/b.md", text)], "file_path string, text string")
+    words = [r.label for r in mindmap.from_files(files).where("root_id = '/a.md' and parent_id = '0.k'").orderBy("ord").collect()]
+    assert words == ["later", "last", "early", "word", "top"]
+    topics = {r.label for r in mindmap.from_many(files, "all").collect() if r.parent_id == "t"}
+    assert {"later (2)", "last (2)"} <= topics
+    cut = tags.keyword_tags(files.select("file_path", "text", F.lit("").alias("title")), body_chars=5000)
+    assert {r.tag for r in cut.collect()} == {"early", "word", "top"}
+
+
 def test_a_semantic_search_embeds_the_chunks_once(spark, sf):
     out = queries.semantic_search(spark, sf)
     assert "MapInArrow" not in out._jdf.queryExecution().optimizedPlan().toString() and out.count() == 10
